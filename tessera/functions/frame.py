@@ -55,12 +55,14 @@ def long_values(df: DataFrame, cols: list[str], id_col: str | None = None,
 
     Every per-column statistic groups this long frame by ``column_name``, so
     a table of any width costs one scan and one shuffle, not one per column."""
-    ids = [id_col] if id_col else []
-    projected = df.select(*[qcol(c) for c in ids],
-                          *[qcol(c).cast("string").alias(c) for c in cols])
-    longf = projected.unpivot(ids, cols, "column_name", "value")
-    return longf.withColumn("pos", F.element_at(position_map(positions or cols),
-                                                F.col("column_name")))
+    ids = [qcol(id_col)] if id_col else []
+    order = positions or cols
+    # inline(array(struct)) rather than DataFrame.unpivot: the Expand node of
+    # unpivot trips a whole-stage codegen method-split bug when wide CASE
+    # expressions follow it, which silently drops to the interpreted path.
+    items = F.array(*[F.struct(F.lit(c).alias("column_name"), F.lit(order.index(c)).alias("pos"),
+                               qcol(c).cast("string").alias("value")) for c in cols])
+    return df.select(*ids, F.inline(items))
 
 
 def stack_row(row: DataFrame, items: list[tuple[str, int, dict[str, Column]]],

@@ -94,50 +94,68 @@ def looks_numeric(df: DataFrame, id_col: str | None = None) -> DataFrame:
     return stack_row(row, items)
 
 
-# ---------------------------------------------------------------- H3
-def numeric_issues(df: DataFrame, id_col: str) -> DataFrame:
-    """H3: per numeric-looking text column and issue: count, first example
-    (lowest id) and its suggested fix, and the example text
-    ``'value' → 'fix'``."""
-    text_cols = [c for c in columns_of_kind(df, "string") if c != id_col]
-    if not text_cols:
-        return df.sparkSession.createDataFrame(
-            [], "column_name string, pos int, issue string, issue_count long, "
-                "first_id long, example_value string, example_fix string, example string")
-    flags = looks_numeric(df.select(id_col, *[qcol(c) for c in text_cols]), id_col) \
-        .where("looks_numeric").select("column_name")
-    vals = long_values(df, text_cols, id_col, _profiled(df, id_col)) \
-        .join(F.broadcast(flags), "column_name")
+# ---------------------------------------------------------------- shared
+def value_stats(df: DataFrame, id_col: str | None, cols: list[str] | None = None) -> DataFrame:
+    """(column_name, pos, value, cnt, first_id): every distinct value of every
+    profiled column with its row count and lowest row id; NULL (and NaN) is
+    one value. One scan and one shuffle, combined map-side, so a value that
+    holds a third of all rows is pre-summed in every map task. H1-H6 all
+    derive from this frame; identical subtrees are reused by Spark's
+    exchange reuse, and rules that test text run once per distinct value."""
+    prof = _profiled(df, id_col)
+    cols = cols if cols is not None else prof
+    clean = df.select(*([qcol(id_col)] if id_col else []),
+                      *[F.when(~is_missing(df, c), qcol(c)).alias(c) for c in cols])
+    longf = long_values(clean, cols, id_col, prof)
+    aggs = [F.count(F.lit(1)).alias("cnt")]
+    aggs.append(F.min(qcol(id_col)).cast("long").alias("first_id") if id_col
+                else F.lit(None).cast("long").alias("first_id"))
+    return longf.groupBy("column_name", "pos", "value").agg(*aggs)
+
+
+def _text_filter(df: DataFrame, id_col: str | None):
+    return F.col("column_name").isin([c for c in columns_of_kind(df, "string") if c != id_col])
+
+
+def _looks_from(vs: DataFrame, df: DataFrame, id_col: str | None) -> DataFrame:
+    cnt, v = F.col("cnt"), F.col("value")
+    text = vs.where(_text_filter(df, id_col)).groupBy("column_name", "pos").agg(
+        F.sum(F.when(v.isNotNull(), cnt).otherwise(0)).alias("nn"),
+        F.sum(F.when(v.isNotNull() & ~N.parses(N.strip(v)), cnt).otherwise(0)).alias("bad"),
+        F.sum(F.when(N.digit_like(v), cnt).otherwise(0)).alias("dig"))
+    share = F.when(F.col("nn") > 0, F.col("dig") / F.col("nn"))
+    return text.select("column_name", "pos", (F.col("bad") == 0).alias("all_parse"),
+                       share.alias("digit_share"),
+                       ((F.col("bad") == 0) | F.coalesce(share > 0.5, F.lit(False))).alias("looks_numeric"))
+
+
+def _numeric_issues_from(vs: DataFrame, looks: DataFrame) -> DataFrame:
+    flags = looks.where("looks_numeric").select("column_name")
     issue, fix = N.numeric_issue(F.col("value"))
-    tagged = vals.select(F.col(id_col).alias("_id"), "column_name", "pos", "value",
-                         issue.alias("issue"), fix.alias("fix")).where(F.col("issue").isNotNull())
+    # per distinct value, weighted by its count; flags has O(columns) rows
+    tagged = vs.join(F.broadcast(flags), "column_name").select(
+        "column_name", "pos", "value", "cnt", "first_id", issue.alias("issue"), fix.alias("fix")) \
+        .where(F.col("issue").isNotNull())
     agg = tagged.groupBy("column_name", "pos", "issue").agg(
-        F.count(F.lit(1)).alias("issue_count"),
-        F.min(F.struct(F.col("_id"), F.col("value"), F.col("fix"))).alias("_first"))
+        F.sum("cnt").alias("issue_count"),
+        F.min(F.struct(F.col("first_id"), F.col("value"), F.col("fix"))).alias("_first"))
     return agg.select(
         "column_name", "pos", "issue", "issue_count",
-        F.col("_first._id").cast("long").alias("first_id"),
+        F.col("_first.first_id").alias("first_id"),
         F.col("_first.value").alias("example_value"),
         F.col("_first.fix").alias("example_fix"),
         F.format_string("'%s' → '%s'", F.col("_first.value"),
                         F.coalesce(F.col("_first.fix"), F.lit("None"))).alias("example"))
 
 
-# ---------------------------------------------------------------- H4 / H5
-def value_counts(df: DataFrame, cols: list[str], positions: list[str] | None = None) -> DataFrame:
-    """A3: (column_name, pos, value, cnt) for every column, NULL included as
-    its own value. One unpivot + one aggregate (map-side combined)."""
-    return long_values(df, cols, None, positions).groupBy("column_name", "pos", "value") \
-        .agg(F.count(F.lit(1)).alias("cnt"))
+def _nulls_from(vs: DataFrame) -> DataFrame:
+    return vs.groupBy("column_name", "pos").agg(
+        F.sum("cnt").cast("long").alias("n_rows"),
+        F.sum(F.when(F.col("value").isNull(), F.col("cnt")).otherwise(0)).cast("long").alias("null_count"))
 
 
-def majority_value(df: DataFrame, rep_thresh: float = 70.0, id_col: str | None = None) -> DataFrame:
-    """H4: top non-null value per column (ties -> smallest text), its share
-    of ALL rows, issue iff share >= threshold."""
-    cols = _profiled(df, id_col)
-    # the row total is the sum of all value counts of the column (NULL
-    # included), so no separate count job or join is needed
-    top = value_counts(df, cols).groupBy("column_name", "pos").agg(
+def _majority_from(vs: DataFrame, rep_thresh: float) -> DataFrame:
+    top = vs.groupBy("column_name", "pos").agg(
         F.sum("cnt").alias("n_rows"),
         F.min(F.when(F.col("value").isNotNull(),
                      F.struct((-F.col("cnt")).alias("neg"), F.col("value")))).alias("_t"))
@@ -152,45 +170,24 @@ def majority_value(df: DataFrame, rep_thresh: float = 70.0, id_col: str | None =
                         F.expr(pct_text_sql("cnt", "n_rows", True))).alias("example"))
 
 
-def cardinality(df: DataFrame, cat_thresh: int = 5, id_col: str | None = None) -> DataFrame:
-    """H5: distinct values of each text column, NULL counted as a value;
-    issue iff the count is above the threshold."""
-    cols = [c for c in columns_of_kind(df, "string") if c != id_col]
-    if not cols:
-        return df.sparkSession.createDataFrame(
-            [], "column_name string, pos int, n_distinct long, issue boolean")
-    pos = position_map(_profiled(df, id_col))
-    out = value_counts(df, cols).groupBy("column_name") \
+def _cardinality_from(vs: DataFrame, df: DataFrame, id_col: str | None, cat_thresh: int) -> DataFrame:
+    out = vs.where(_text_filter(df, id_col)).groupBy("column_name", "pos") \
         .agg(F.count(F.lit(1)).alias("n_distinct"))
-    return out.select("column_name", F.element_at(pos, F.col("column_name")).alias("pos"),
-                      "n_distinct", (F.col("n_distinct") > F.lit(cat_thresh)).alias("issue"))
-
+    return out.select("column_name", "pos", "n_distinct",
+                      (F.col("n_distinct") > F.lit(cat_thresh)).alias("issue"))
 
-# ---------------------------------------------------------------- H6
-def char_issues(df: DataFrame, id_col: str, cols: list[str] | None = None,
-                report_apostrophe: bool = False) -> DataFrame:
-    """H6: per text column and odd character: occurrences, first value
-    holding it (lowest id), replacement and label.
 
-    Characters: the listed marks plus any non-ASCII character outside
-    ``åäöÅÄÖ``; the ASCII apostrophe only on request; the ASCII double quote
-    never. The plan explodes only (id, column, character) -- never the
-    text -- and fetches the example text with a join on (column, id), so a
-    long document is never copied once per character."""
-    cols = cols if cols is not None else [c for c in columns_of_kind(df, "string") if c != id_col]
-    if not cols:
-        return df.sparkSession.createDataFrame(
-            [], "column_name string, pos int, ch string, occurrences long, first_id long, "
-                "issue string, replacement string, example string, is_mark boolean, first_pos int")
+def _char_issues_from(vs: DataFrame, report_apostrophe: bool) -> DataFrame:
+    """Explode (column, first_id, cnt, character) only -- never the text --
+    and fetch the example text back from the distinct-value frame by
+    (column, first_id), so a long document is not copied per character."""
     pattern = TX.NON_ASCII_OR_APOSTROPHE_PATTERN if report_apostrophe else TX.NON_ASCII_PATTERN
-    vals = long_values(df, cols, id_col, _profiled(df, id_col)).withColumnRenamed(id_col, "_id")
-    chars = vals.select("_id", "column_name", "pos",
-                        F.explode(F.regexp_extract_all(F.col("value"), F.lit(pattern), 0)).alias("ch")) \
+    chars = vs.select("column_name", "pos", "first_id", "cnt",
+                      F.explode(F.regexp_extract_all(F.col("value"), F.lit(pattern), 0)).alias("ch")) \
         .where(~F.col("ch").isin(list(TX.ALLOWED_LETTERS)))
     agg = chars.groupBy("column_name", "pos", "ch").agg(
-        F.count(F.lit(1)).alias("occurrences"), F.min("_id").alias("first_id"))
-    examples = vals.select(F.col("_id").alias("first_id"), "column_name", "value")
-    joined = agg.join(examples, ["column_name", "first_id"])
+        F.sum("cnt").alias("occurrences"), F.min("first_id").alias("first_id"))
+    joined = agg.join(vs.select("column_name", "first_id", "value"), ["column_name", "first_id"])
     mark_label = F.create_map(*[x for c, _, lab in TX.MARKS for x in (F.lit(c), F.lit(lab))])
     mark_repl = F.create_map(*[x for c, r, _ in TX.MARKS for x in (F.lit(c), F.lit(r))])
     label = F.coalesce(F.element_at(mark_label, F.col("ch")),
@@ -200,59 +197,108 @@ def char_issues(df: DataFrame, id_col: str, cols: list[str] | None = None,
                      F.format_string("'%s' ('%s' → '%s')", F.col("value"), F.col("ch"), repl)) \
         .otherwise(F.format_string("'%s' (character: '%s')", F.col("value"), F.col("ch")))
     return joined.select(
-        "column_name", "pos", "ch", "occurrences", F.col("first_id").cast("long").alias("first_id"),
-        label.alias("issue"), repl.alias("replacement"), example.alias("example"),
+        "column_name", "pos", "ch", F.col("occurrences").cast("long").alias("occurrences"),
+        "first_id", label.alias("issue"), repl.alias("replacement"), example.alias("example"),
         repl.isNotNull().alias("is_mark"), F.instr(F.col("value"), F.col("ch")).alias("first_pos"))
 
 
+# ---------------------------------------------------------------- H3
+def numeric_issues(df: DataFrame, id_col: str) -> DataFrame:
+    """H3: per numeric-looking text column and issue: count, first example
+    (lowest id), its suggested fix, and the text ``'value' → 'fix'``."""
+    text_cols = [c for c in columns_of_kind(df, "string") if c != id_col]
+    vs = value_stats(df, id_col, text_cols)
+    return _numeric_issues_from(vs, _looks_from(vs, df, id_col))
+
+
+# ---------------------------------------------------------------- H4 / H5
+def value_counts(df: DataFrame, cols: list[str], positions: list[str] | None = None) -> DataFrame:
+    """A3: (column_name, pos, value, cnt) for every column, NULL included as
+    its own value. One unpivot + one aggregate (map-side combined)."""
+    return long_values(df, cols, None, positions).groupBy("column_name", "pos", "value") \
+        .agg(F.count(F.lit(1)).alias("cnt"))
+
+
+def majority_value(df: DataFrame, rep_thresh: float = 70.0, id_col: str | None = None) -> DataFrame:
+    """H4: top non-null value per column (ties -> smallest text), its share
+    of ALL rows, issue iff share >= threshold."""
+    return _majority_from(value_stats(df, id_col), rep_thresh)
+
+
+def cardinality(df: DataFrame, cat_thresh: int = 5, id_col: str | None = None) -> DataFrame:
+    """H5: distinct values of each text column, NULL counted as a value;
+    issue iff the count is above the threshold."""
+    text_cols = [c for c in columns_of_kind(df, "string") if c != id_col]
+    vs = value_stats(df.drop(id_col) if id_col else df, None, text_cols)
+    return _cardinality_from(vs, df, id_col, cat_thresh)
+
+
+# ---------------------------------------------------------------- H6
+def char_issues(df: DataFrame, id_col: str, cols: list[str] | None = None,
+                report_apostrophe: bool = False) -> DataFrame:
+    """H6: per text column and odd character: occurrences, first value
+    holding it (lowest id), replacement and label. Characters: the listed
+    marks plus any non-ASCII character outside ``åäöÅÄÖ``; the ASCII
+    apostrophe only on request; the ASCII double quote never."""
+    cols = cols if cols is not None else [c for c in columns_of_kind(df, "string") if c != id_col]
+    return _char_issues_from(value_stats(df, id_col, cols), report_apostrophe)
+
+
 # ---------------------------------------------------------------- H7 / H8
+_ISSUE_COLS = ["column_name", "pos", "stage", "k1", "k2", "k3", "issue", "count_text",
+               "example", "category"]
+
+
 def issue_rows(df: DataFrame, id_col: str, thresholds: Thresholds = Thresholds(),
                report_apostrophe: bool = False) -> DataFrame:
     """All issues as rows: (column_name, pos, stage, k1, k2, k3, issue,
     count_text, example, category). (stage, k1, k2, k3) orders the issues
-    of one column the way the report lists them."""
-    cols = _profiled(df, id_col)
-    null_p = null_profile(df, thresholds.nan, id_col).where("issue").select(
-        "column_name", "pos", F.lit(0).alias("stage"), F.lit(0).cast("long").alias("k1"),
-        F.lit(0).alias("k2"), F.lit(0).alias("k3"), F.lit(ISSUE_NAN).alias("issue"),
+    of one column the way the report lists them. Every branch reads the
+    same distinct-value frame."""
+    vs = value_stats(df, id_col)
+    zero = F.lit(0)
+    nulls = _nulls_from(vs)
+    null_p = nulls.where((F.col("null_count") / F.col("n_rows")) * 100 > F.lit(float(thresholds.nan))).select(
+        "column_name", "pos", zero.alias("stage"), zero.cast("long").alias("k1"),
+        zero.alias("k2"), zero.alias("k3"), F.lit(ISSUE_NAN).alias("issue"),
         F.expr(pct_text_sql("null_count", "n_rows", False)).alias("count_text"),
         F.lit(None).cast("string").alias("example"), F.lit("NaN").alias("category"))
-    num = numeric_issues(df, id_col).select(
+    num = _numeric_issues_from(vs, _looks_from(vs, df, id_col)).select(
         "column_name", "pos", F.lit(1).alias("stage"), F.col("first_id").alias("k1"),
-        F.lit(0).alias("k2"), F.lit(0).alias("k3"), "issue",
+        zero.alias("k2"), zero.alias("k3"), "issue",
         F.col("issue_count").cast("string").alias("count_text"), "example",
         F.when(F.lower(F.col("issue")).contains("comma"), F.lit("Comma"))
         .otherwise(F.lit("Numeric")).alias("category"))
-    maj = majority_value(df, thresholds.rep, id_col).where("issue").select(
-        "column_name", "pos", F.lit(2).alias("stage"), F.lit(0).cast("long").alias("k1"),
-        F.lit(0).alias("k2"), F.lit(0).alias("k3"), F.lit(ISSUE_MAJORITY).alias("issue"),
+    maj = _majority_from(vs, thresholds.rep).where("issue").select(
+        "column_name", "pos", F.lit(2).alias("stage"), zero.cast("long").alias("k1"),
+        zero.alias("k2"), zero.alias("k3"), F.lit(ISSUE_MAJORITY).alias("issue"),
         F.lit("").alias("count_text"), "example", F.lit("Majority").alias("category"))
-    card = cardinality(df, thresholds.cat, id_col)
+    card = _cardinality_from(vs, df, id_col, thresholds.cat)
     cat = card.where("issue").select(
-        "column_name", "pos", F.lit(3).alias("stage"), F.lit(0).cast("long").alias("k1"),
-        F.lit(0).alias("k2"), F.lit(0).alias("k3"), F.lit(ISSUE_CARDINALITY).alias("issue"),
+        "column_name", "pos", F.lit(3).alias("stage"), zero.cast("long").alias("k1"),
+        zero.alias("k2"), zero.alias("k3"), F.lit(ISSUE_CARDINALITY).alias("issue"),
         F.col("n_distinct").cast("string").alias("count_text"),
         F.lit("").alias("example"), F.lit("Categorical").alias("category"))
-    # H6 runs only on text columns that failed the cardinality check; the
-    # filter is a join on the O(columns) flag frame, applied before explode.
-    text_cols = [c for c in columns_of_kind(df, "string") if c != id_col]
-    ch = char_issues(df, id_col, text_cols, report_apostrophe) \
-        .join(F.broadcast(card.where("issue").select("column_name")), "column_name")
-    chars = ch.select(
+    # H6 only on text columns that failed the cardinality check; the filter
+    # is a join with the O(columns) flag frame, applied before the explode.
+    high = vs.join(F.broadcast(card.where("issue").select("column_name")), "column_name")
+    chars = _char_issues_from(high, report_apostrophe).select(
         "column_name", "pos", F.lit(4).alias("stage"), F.col("first_id").alias("k1"),
         F.when(F.col("is_mark"), 0).otherwise(1).alias("k2"), F.col("first_pos").alias("k3"),
         "issue", F.col("occurrences").cast("string").alias("count_text"), "example",
         F.lit("Unicode").alias("category"))
-    issues = null_p.unionByName(num).unionByName(maj).unionByName(cat).unionByName(chars)
-    # columns with no issue get one "No issues found" row
-    all_cols = df.sparkSession.createDataFrame(
-        [(c, i) for i, c in enumerate(cols)], "column_name string, pos int")
-    none = all_cols.join(issues.select("column_name").distinct(), "column_name", "left_anti").select(
-        "column_name", "pos", F.lit(9).alias("stage"), F.lit(0).cast("long").alias("k1"),
-        F.lit(0).alias("k2"), F.lit(0).alias("k3"), F.lit(NO_ISSUES).alias("issue"),
-        F.lit(None).cast("string").alias("count_text"), F.lit(None).cast("string").alias("example"),
-        F.lit("No Issue").alias("category"))
-    return issues.unionByName(none)
+    return null_p.unionByName(num).unionByName(maj).unionByName(cat).unionByName(chars)
+
+
+def _with_placeholders(df: DataFrame, id_col: str, rows: DataFrame) -> DataFrame:
+    """Add one stage-9 "No issues found" row per column; consumers drop it
+    when the column has real issues (no second evaluation of the plan)."""
+    cols = _profiled(df, id_col)
+    none = df.sparkSession.createDataFrame(
+        [(c, i, 9, 0, 0, 0, NO_ISSUES, None, None, "No Issue") for i, c in enumerate(cols)],
+        "column_name string, pos int, stage int, k1 long, k2 int, k3 int, issue string, "
+        "count_text string, example string, category string")
+    return rows.select(*_ISSUE_COLS).unionByName(none)
 
 
 def issue_line(issue_col: str = "issue", count_col: str = "count_text",
@@ -271,35 +317,41 @@ def health_report(df: DataFrame, id_col: str, thresholds: Thresholds = Threshold
     """H8: one row per column: (column_name, pos, severity, errors_found)
     with the issue lines joined by newlines in report order. Issues per
     column are few (bounded by issue kinds and distinct characters)."""
-    rows = issue_rows(df, id_col, thresholds, report_apostrophe)
+    rows = _with_placeholders(df, id_col, issue_rows(df, id_col, thresholds, report_apostrophe))
     sev = F.create_map(*[x for k, v in SEVERITY.items() for x in (F.lit(k), F.lit(v))])
     rank = F.create_map(F.lit("Critical"), F.lit(0), F.lit("Potential"), F.lit(1), F.lit("Ok"), F.lit(2))
-    per = rows.select("column_name", "pos",
+    per = rows.select("column_name", "pos", "stage",
                       F.struct("stage", "k1", "k2", "k3", issue_line().alias("line")).alias("s"),
                       F.element_at(rank, F.element_at(sev, F.col("category"))).alias("sev_rank"))
     out = per.groupBy("column_name", "pos").agg(
-        F.array_join(F.transform(F.array_sort(F.collect_list("s")), lambda s: s["line"]), "\n")
-        .alias("errors_found"),
-        F.min("sev_rank").alias("_r"))
+        F.array_sort(F.collect_list("s")).alias("_s"), F.min("sev_rank").alias("_r"))
     names = F.create_map(F.lit(0), F.lit("Critical"), F.lit(1), F.lit("Potential"), F.lit(2), F.lit("Ok"))
-    return out.select("column_name", "pos", F.element_at(names, F.col("_r")).alias("severity"),
-                      "errors_found")
+    # the placeholder sorts last (stage 9); keep it only when it is alone
+    kept = F.when(F.size("_s") > 1, F.slice("_s", 1, F.size("_s") - 1)).otherwise(F.col("_s"))
+    return out.select("column_name", "pos",
+                      F.element_at(names, F.when(F.size("_s") > 1, F.least(F.col("_r"), F.lit(1)))
+                                   .otherwise(F.col("_r"))).alias("severity"),
+                      F.array_join(F.transform(kept, lambda s: s["line"]), "\n").alias("errors_found"))
 
 
 def issue_counters(df: DataFrame, id_col: str, thresholds: Thresholds = Thresholds(),
                    report_apostrophe: bool = False) -> DataFrame:
     """H7: (category, n_columns) for the seven categories. Comma/Numeric
     count one per issue kind, the others one per column."""
-    rows = issue_rows(df, id_col, thresholds, report_apostrophe)
-    per_kind = rows.where(F.col("category").isin("Comma", "Numeric")) \
-        .select("category", "column_name", "issue")
-    per_col = rows.where(~F.col("category").isin("Comma", "Numeric")) \
-        .select("category", "column_name").distinct()
+    rows = _with_placeholders(df, id_col, issue_rows(df, id_col, thresholds, report_apostrophe))
+    per_col = rows.groupBy("column_name").agg(
+        F.collect_set(F.when(F.col("stage") < 9, F.struct("category", "issue"))).alias("_c"))
+    kinds = per_col.select("column_name", F.when(F.size("_c") > 0, F.col("_c")).otherwise(
+        F.array(F.struct(F.lit("No Issue").alias("category"), F.lit(NO_ISSUES).alias("issue"))))
+        .alias("_c"))
+    flat = kinds.select("column_name", F.inline("_c"))
+    per_kind = flat.where(F.col("category").isin("Comma", "Numeric"))
+    other = flat.where(~F.col("category").isin("Comma", "Numeric")).select("category", "column_name").distinct()
     counts = per_kind.groupBy("category").agg(F.count(F.lit(1)).alias("n_columns")) \
-        .unionByName(per_col.groupBy("category").agg(F.count(F.lit(1)).alias("n_columns")))
+        .unionByName(other.groupBy("category").agg(F.count(F.lit(1)).alias("n_columns")))
     cats = df.sparkSession.createDataFrame([(c, i) for i, c in enumerate(CATEGORIES)],
                                            "category string, cat_pos int")
-    return cats.join(counts, "category", "left").select(
+    return cats.join(F.broadcast(counts), "category", "left").select(
         "category", "cat_pos", F.coalesce(F.col("n_columns"), F.lit(0)).cast("long").alias("n_columns"))
 
 
