@@ -38,4 +38,4 @@ def load_all() -> dict[str, Query]:
     return REGISTRY
 
 
-QUERY_MODULES = ["q_profile"]
+QUERY_MODULES = ["q_profile", "q_clean", "q_select"]
