@@ -38,4 +38,4 @@ def load_all() -> dict[str, Query]:
     return REGISTRY
 
 
-QUERY_MODULES = ["q_profile", "q_clean", "q_select", "q_outliers", "q_encode", "q_relevance", "q_vectors"]
+QUERY_MODULES = ["q_profile", "q_clean", "q_select", "q_outliers", "q_encode", "q_relevance", "q_vectors", "q_cluster", "q_explain"]
