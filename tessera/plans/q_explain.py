@@ -138,3 +138,14 @@ def embedding_quality_pca(spark, d):
     j = e.join(layout, "vec_id")
     return V.evaluate_embedding(j.select("vec_id", "embedding", F.array("PC1", "PC2").alias("pcs")),
                                 "vec_id", "embedding", "pcs", 5)
+
+
+@register("attach_clusters_drop_embedding", "J2,J1,P1", "WITH " + L_SQL + """
+SELECT l.vec_id, l.f3, l.f4, l.Cluster FROM l""")
+def attach_clusters_drop_embedding(spark, d):
+    """Original features + Cluster, the embedding columns dropped (keyed join)."""
+    data = labelled(spark, d)
+    layout = data.select("vec_id", F.col("f1").alias("PC1"), F.col("f2").alias("PC2"), "Cluster")
+    feats = data.select("vec_id", "f3", "f4")
+    from tessera.operators.select import attach, drop_columns
+    return drop_columns(attach(feats, layout, "vec_id"), ["PC1", "PC2"])

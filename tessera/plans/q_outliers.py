@@ -153,3 +153,19 @@ def simple_impute_dirty_orders(spark, d):
     return mean.join(med, "o_orderkey").join(mode, "o_orderkey").select(
         "o_orderkey", F.round("m", 6).alias("price_mean"), F.round("md", 6).alias("price_median"),
         F.col("o_orderpriority").alias("priority_mode"))
+
+
+@register("model_impute_dirty_orders", "I3,I4,I5")
+def model_impute_dirty_orders(spark, d):
+    """Rows-only: fast model imputation of price (regression) and priority
+    (classification) in column order."""
+    df = FX.dirty_orders(spark, d).select("o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice",
+                                          "o_orderpriority")
+    return I.model_impute(df, "o_orderkey", fast=True)
+
+
+@register("model_impute_race_dirty_orders", "I3,I6")
+def model_impute_race_dirty_orders(spark, d):
+    """Rows-only: model race on a holdout split for the price column."""
+    df = FX.dirty_orders(spark, d).select("o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice")
+    return I.model_impute(df, "o_orderkey", ["o_totalprice"], fast=False)

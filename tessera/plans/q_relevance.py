@@ -150,3 +150,17 @@ def top_features_pearson(spark, d):
         .select("feature", F.abs("corr").alias("importance"))
     names = R.top_features(t, 3)
     return spark.createDataFrame([(n, i + 1) for i, n in enumerate(names)], "feature string, rank int")
+
+
+@register("kendall_part", "R3", """
+WITH t AS (SELECT CAST(p_size AS DOUBLE) AS x, p_retailprice AS y FROM part),
+s AS (SELECT sum(sign(a.x - b.x) * sign(a.y - b.y)) / 2 AS S FROM t a, t b),
+n AS (SELECT count(*) AS n FROM t),
+tx AS (SELECT sum(c * (c - 1) / 2) AS n1 FROM (SELECT count(*) AS c FROM t GROUP BY x)),
+ty AS (SELECT sum(c * (c - 1) / 2) AS n2 FROM (SELECT count(*) AS c FROM t GROUP BY y))
+SELECT 'p_size' AS feature, 'p_retailprice' AS target,
+       round(S / sqrt((n * (n - 1) / 2 - n1) * (n * (n - 1) / 2 - n2)), 9) AS corr FROM s, n, tx, ty""")
+def kendall_part(spark, d):
+    from tessera.sources.tables import table
+    r = R.kendall(table(spark, d, "part"), "p_size", "p_retailprice")
+    return r.select("feature", "target", F.round("corr", 9).alias("corr"))
