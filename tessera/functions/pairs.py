@@ -110,3 +110,48 @@ def distance_fn(metric: str):
         return METRICS[metric]
     except KeyError:
         raise ValueError(f"unknown metric {metric!r}") from None
+
+
+def apply_grid(df: DataFrame, id_col: str, coords: list[str], cell: float, fn, schema: str,
+               tile_rows: int = DEFAULT_TILE_ROWS) -> DataFrame:
+    """Like :func:`apply_tiles`, but only for pairs of points in the same or
+    adjacent grid cells (side ``cell``), for radius searches in 1-3
+    dimensions. A cell holding more than ``tile_rows`` points is split into
+    hash sub-tiles (its count comes from one aggregate), so a dense cell --
+    even one holding a third of the rows -- is spread over many bounded
+    blocks. Each point is replicated only to the buckets of its 3^d
+    neighbouring cells."""
+    import itertools
+    d = len(coords)
+    cells = [F.floor(qcol(c) / F.lit(float(cell))).cast("long").alias(f"_c{i}") for i, c in enumerate(coords)]
+    pts = df.select("*", *cells)
+    ckeys = [f"_c{i}" for i in range(d)]
+    sizes = pts.groupBy(*ckeys).agg(F.count(F.lit(1)).alias("_cnt")) \
+        .withColumn("_nsubs", F.greatest(F.lit(1), F.ceil(F.col("_cnt") / F.lit(tile_rows))).cast("int")) \
+        .drop("_cnt")
+    own = pts.join(sizes, ckeys).withColumn("_sub", F.pmod(F.xxhash64(qcol(id_col)), F.col("_nsubs")).cast("int")) \
+        .withColumn("_bucket", F.concat_ws(":", *[F.col(k).cast("string") for k in ckeys],
+                                           F.col("_sub").cast("string"))).drop("_nsubs", "_sub")
+    offsets = F.array(*[F.array(*[F.lit(o) for o in off]) for off in itertools.product((-1, 0, 1), repeat=d)])
+    nbr = own.select("*", F.explode(offsets).alias("_off"))
+    for i, k in enumerate(ckeys):
+        nbr = nbr.withColumn(f"_n{i}", F.col(k) + F.col("_off")[i])
+    nsizes = sizes.select(*[F.col(k).alias(f"_n{i}") for i, k in enumerate(ckeys)], F.col("_nsubs").alias("_other_subs"))
+    nbr = nbr.join(nsizes, [f"_n{i}" for i in range(d)])
+    nbr = nbr.select("*", F.explode(F.sequence(F.lit(0), F.col("_other_subs") - 1)).alias("_other_sub"))
+    other = F.concat_ws(":", *[F.col(f"_n{i}").cast("string") for i in range(d)], F.col("_other_sub").cast("string"))
+    keyed = nbr.withColumn("_other", other) \
+        .withColumn("_pa", F.least("_bucket", "_other")).withColumn("_pb", F.greatest("_bucket", "_other"))
+    keep = [c for c in df.columns] + ["_bucket", "_pa", "_pb"]
+    keyed = keyed.select(*[qcol(c) for c in keep])
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        ta, tb = pdf["_pa"].iloc[0], pdf["_pb"].iloc[0]
+        own_b = pdf["_bucket"]
+        a = pdf[own_b == ta].drop(columns=["_pa", "_pb", "_bucket"]).reset_index(drop=True)
+        if ta == tb:
+            return fn(a, a, True)
+        b = pdf[own_b == tb].drop(columns=["_pa", "_pb", "_bucket"]).reset_index(drop=True)
+        return fn(a, b, False)
+
+    return keyed.groupBy("_pa", "_pb").applyInPandas(run, schema)

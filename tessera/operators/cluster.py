@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.functions.frame import qcol
-from tessera.functions.pairs import DEFAULT_TILE_ROWS, apply_tiles, euclidean, stack, vector_col
+from tessera.functions.pairs import DEFAULT_TILE_ROWS, apply_grid, apply_tiles, euclidean, stack, vector_col
 from tessera.functions.ranking import group_row_number
 from tessera.operators.neighbors import connected_components, knn
 from tessera.session import cut_lineage
@@ -73,7 +73,7 @@ def _adj_components(adj: np.ndarray) -> np.ndarray:
 
 
 def dbscan(df: DataFrame, features, id_col: str, eps: float = 0.5, min_samples: int = 5,
-           tile_rows: int = DEFAULT_TILE_ROWS) -> DataFrame:
+           tile_rows: int = DEFAULT_TILE_ROWS, grid: bool | None = None) -> DataFrame:
     """K3: exact DBSCAN, independent of row order.
 
     Pass 1 (tiles): neighbours within eps, self included -> core points.
@@ -83,9 +83,24 @@ def dbscan(df: DataFrame, features, id_col: str, eps: float = 0.5, min_samples:
     roots they touch. No pair rows are emitted. Global components of the
     forests (min-label propagation) are the clusters, numbered 0.. by their
     smallest core id; a border point joins the smallest adjacent cluster;
-    the rest is noise (-1)."""
-    spark = df.sparkSession
-    pts = df.select(qcol(id_col).cast("long").alias("_id"), vector_col(df, features))
+    the rest is noise (-1).
+
+    With 1-3 scalar feature columns (the default when given) the blocks come
+    from an eps grid (only neighbouring cells are compared, dense cells are
+    split into bounded sub-tiles); otherwise from hash tiles (all pairs)."""
+    use_grid = grid if grid is not None else (not isinstance(features, str) and len(features) <= 3)
+    if use_grid:
+        pts = df.select(qcol(id_col).cast("long").alias("_id"), vector_col(df, features),
+                        *[qcol(c).cast("double").alias(f"_g{i}") for i, c in enumerate(features)])
+        gcols = [f"_g{i}" for i in range(len(features))]
+
+        def blocks(frame, fn, schema):
+            return apply_grid(frame, "_id", gcols, float(eps), fn, schema, tile_rows)
+    else:
+        pts = df.select(qcol(id_col).cast("long").alias("_id"), vector_col(df, features))
+
+        def blocks(frame, fn, schema):
+            return apply_tiles(frame, "_id", fn, schema, tile_rows)
     eps2 = float(eps)
 
     def count_block(a, b, same):
@@ -97,7 +112,7 @@ def dbscan(df: DataFrame, features, id_col: str, eps: float = 0.5, min_samples:
             out.append(pd.DataFrame({"_id": b["_id"].to_numpy(), "_n": within.sum(axis=0).astype("int64")}))
         return pd.concat(out, ignore_index=True)
 
-    counts = apply_tiles(pts, "_id", count_block, "_id long, _n long", tile_rows) \
+    counts = blocks(pts, count_block, "_id long, _n long") \
         .groupBy("_id").agg(F.sum("_n").alias("_n"))
     flagged = cut_lineage(pts.join(counts, "_id").withColumn("_core", F.col("_n") >= F.lit(min_samples))
                           .drop("_n"))
@@ -138,7 +153,7 @@ def dbscan(df: DataFrame, features, id_col: str, eps: float = 0.5, min_samples:
         return pd.DataFrame({"src": pd.Series(rows_src, dtype="int64"), "dst": pd.Series(rows_dst, dtype="int64"),
                              "kind": pd.Series(rows_kind, dtype="int32")})
 
-    links = cut_lineage(apply_tiles(flagged, "_id", forest_block, "src long, dst long, kind int", tile_rows))
+    links = cut_lineage(blocks(flagged, forest_block, "src long, dst long, kind int"))
     core_ids = flagged.where("_core").select(F.col("_id").alias("id"))
     comps = connected_components(links.where("kind = 0").select("src", "dst"), core_ids)
     border = links.where("kind = 1").join(comps.withColumnRenamed("id", "dst"), "dst") \

@@ -119,11 +119,12 @@ def _dbscan_brute(X, eps, min_samples):
     return labels
 
 
-def test_dbscan_matches_sequential(spark, small_dir):
+@pytest.mark.parametrize("grid", [True, False])
+def test_dbscan_matches_sequential(spark, small_dir, grid):
     e = table(spark, small_dir, "events")
     pts = e.select("event_id", (F.col("value") / 500.0).alias("x"),
                    ((F.hour("ts") + F.col("user_id") % 5) / 30.0).alias("y"))
-    got = K.dbscan(pts, ["x", "y"], "event_id", eps=0.02, min_samples=4, tile_rows=200) \
+    got = K.dbscan(pts, ["x", "y"], "event_id", eps=0.02, min_samples=4, tile_rows=200, grid=grid) \
         .orderBy("event_id").toPandas()
     pdf = pts.orderBy("event_id").toPandas()
     want = _dbscan_brute(pdf[["x", "y"]].to_numpy(), 0.02, 4)
