@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.functions.frame import qcol
+from tessera.session import ship_package
 
 DEFAULT_TILE_ROWS = 1024
 
@@ -50,6 +51,7 @@ def apply_tiles(df: DataFrame, id_col: str, fn, schema: str, tile_rows: int = DE
                 n_tiles: int | None = None) -> DataFrame:
     """Run ``fn(a, b, same)`` on every unordered tile pair; ``a``/``b`` are
     pandas frames of the two tiles (the same frame when ``same``)."""
+    ship_package(df.sparkSession)
     n_tiles = n_tiles or n_tiles_for(df, tile_rows)
     rep = tile_pairs(df, id_col, n_tiles)
 
@@ -122,6 +124,7 @@ def apply_grid(df: DataFrame, id_col: str, coords: list[str], cell: float, fn, s
     blocks. Each point is replicated only to the buckets of its 3^d
     neighbouring cells."""
     import itertools
+    ship_package(df.sparkSession)
     d = len(coords)
     cells = [F.floor(qcol(c) / F.lit(float(cell))).cast("long").alias(f"_c{i}") for i, c in enumerate(coords)]
     pts = df.select("*", *cells)
