@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 NUMBER_PATTERN = r"^[+-]?(([0-9]+[.]?[0-9]*|[.][0-9]+)([eE][+-]?[0-9]+)?|(?i:inf|infinity|nan))$"
 INTEGER_PATTERN = r"^[+-]?[0-9]+$"
 WHITESPACE_EDGES = r"^\s+|\s+$"
+# Fixed value: the whitespace characters stripped around numbers.
+WHITESPACE = " \t\n\x0b\f\r"
 
 # Numeric-issue labels of the health check, in rule order.
 ISSUE_UNICODE_MINUS = "Contains Unicode minus sign (U+2212)"
@@ -25,7 +27,8 @@ UNICODE_MINUS = "−"
 
 
 def strip(c: Column) -> Column:
-    return F.regexp_replace(c, WHITESPACE_EDGES, "")
+    """Remove surrounding whitespace (character-set trim, no regex)."""
+    return F.btrim(c, F.lit(WHITESPACE))
 
 
 def parses(c: Column) -> Column:

@@ -126,6 +126,16 @@ def apply_grid(df: DataFrame, id_col: str, coords: list[str], cell: float, fn, s
     import itertools
     ship_package(df.sparkSession)
     d = len(coords)
+    # cells may be wider than the radius (neighbours still lie in adjacent
+    # cells); size them from the extent so a cell holds ~tile_rows/4 points
+    # on average instead of a handful (fewer, fuller blocks). One aggregate.
+    ext = df.agg(F.count(F.lit(1)).alias("n"),
+                 *[(F.max(qcol(c)) - F.min(qcol(c))).alias(f"r{i}") for i, c in enumerate(coords)]).first()
+    if ext["n"]:
+        volume = 1.0
+        for i in range(d):
+            volume *= max(float(ext[f"r{i}"] or 0.0), float(cell))
+        cell = max(float(cell), (volume * (tile_rows / 4) / ext["n"]) ** (1.0 / d))
     cells = [F.floor(qcol(c) / F.lit(float(cell))).cast("long").alias(f"_c{i}") for i, c in enumerate(coords)]
     pts = df.select("*", *cells)
     ckeys = [f"_c{i}" for i in range(d)]

@@ -21,7 +21,8 @@ def ident(s: str) -> str:
 
 
 def strip_sql(v: str) -> str:
-    return f"regexp_replace({v}, {q(N.WHITESPACE_EDGES)}, '', 'g')"
+    chars = " || ".join(f"chr({ord(c)})" for c in N.WHITESPACE)
+    return f"trim({v}, {chars})"
 
 
 def parses_sql(v: str) -> str:

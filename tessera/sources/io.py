@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.functions import numbers as N
-from tessera.functions.frame import qcol
+from tessera.functions.frame import long_values, qcol
 
 # Text read as missing by default (the pandas CSV reader's set).
 DEFAULT_NA = ["", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan",
@@ -59,44 +59,56 @@ def read_parquet(spark: SparkSession, path: str) -> DataFrame:
 
 
 def inferred_types(df: DataFrame, cols: list[str] | None = None) -> dict[str, str]:
-    """S2 decision, one aggregate for all columns, O(columns) to the driver:
-    long if every value is an integer and none is missing; double if every
-    non-missing value is a number (or the column is all missing); boolean if
-    every value is a true/false word and none is missing; else string."""
+    """S2 decision, O(columns) to the driver: long if every value is an
+    integer and none is missing; double if every non-missing value is a
+    number (or the column is all missing); boolean if every value is a
+    true/false word and none is missing; else string.
+
+    The rules run once per distinct (column, value), weighted by its count:
+    one unpivot + aggregate, combined map-side, so a low-cardinality column
+    costs a handful of regex evaluations whatever the row count."""
     cols = cols if cols is not None else df.columns
     text = [c for c in cols if dict(df.dtypes)[c] == "string"]
     if not text:
         return {}
-    aggs = []
-    for i, c in enumerate(text):
-        v = N.strip(qcol(c))
-        aggs += [F.count_if(qcol(c).isNull()).alias(f"n{i}"),
-                 F.count_if(qcol(c).isNotNull() & ~N.parses(v)).alias(f"f{i}"),
-                 F.count_if(qcol(c).isNotNull() & ~v.rlike(N.INTEGER_PATTERN)).alias(f"i{i}"),
-                 F.count_if(qcol(c).isNotNull() & ~qcol(c).isin(TRUE_WORDS + FALSE_WORDS)).alias(f"b{i}")]
-    row = df.agg(F.count(F.lit(1)).alias("rows"), *aggs).first()
+    vals = long_values(df, text).groupBy("column_name", "value").agg(F.count(F.lit(1)).alias("cnt"))
+    v, cnt = F.col("value"), F.col("cnt")
+    s = N.strip(v)
+
+    def weighted(cond):
+        return F.sum(F.when(cond, cnt).otherwise(0))
+
+    per = vals.groupBy("column_name").agg(
+        F.sum(cnt).alias("rows"),
+        weighted(v.isNull()).alias("n"),
+        weighted(v.isNotNull() & ~N.parses(s)).alias("f"),
+        weighted(v.isNotNull() & ~s.rlike(N.INTEGER_PATTERN)).alias("i"),
+        weighted(v.isNotNull() & ~v.isin(TRUE_WORDS + FALSE_WORDS)).alias("b")).collect()
+    stats = {r["column_name"]: r for r in per}
     out = {}
-    for i, c in enumerate(text):
-        nulls, nonfloat, nonint, nonbool = row[f"n{i}"], row[f"f{i}"], row[f"i{i}"], row[f"b{i}"]
-        if row["rows"] > 0 and nulls == row["rows"]:
+    for c in text:
+        r = stats.get(c)
+        if r is None or (r["rows"] > 0 and r["n"] == r["rows"]):
             out[c] = "double"
-        elif nonint == 0 and nulls == 0:
+        elif r["i"] == 0 and r["n"] == 0:
             out[c] = "long"
-        elif nonfloat == 0:
+        elif r["f"] == 0:
             out[c] = "double"
-        elif nonbool == 0 and nulls == 0:
+        elif r["b"] == 0 and r["n"] == 0:
             out[c] = "boolean"
         else:
             out[c] = "string"
     return out
 
 
-def cast_to(c: str, kind: str):
+def cast_to(c: str, kind: str, checked: bool = True):
+    """Column cast for an inferred kind. ``checked`` means every value is
+    already known to pass the kind's rule, so the per-row guard is skipped."""
     v = qcol(c)
     if kind == "long":
         return N.strip(v).try_cast("long").alias(c)
     if kind == "double":
-        num = N.to_number(v)
+        num = N.strip(v).try_cast("double") if checked else N.to_number(v)
         return F.when(~F.isnan(num), num).alias(c)          # NaN text -> NULL
     if kind == "boolean":
         return F.when(v.isin(TRUE_WORDS), F.lit(True)).when(v.isin(FALSE_WORDS), F.lit(False)).alias(c)
