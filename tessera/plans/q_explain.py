@@ -149,3 +149,14 @@ def attach_clusters_drop_embedding(spark, d):
     feats = data.select("vec_id", "f3", "f4")
     from tessera.operators.select import attach, drop_columns
     return drop_columns(attach(feats, layout, "vec_id"), ["PC1", "PC2"])
+
+
+@register("lle_weights_embeddings", "N4")
+def lle_weights_embeddings(spark, d):
+    """Rows-only: reconstruction weights (sum to 1 per point, numpy-tested)."""
+    return D.lle_weights(table(spark, d, "embeddings"), "embedding", "vec_id", k=10)
+
+
+@register("lle_layout_embeddings", "D5,N4")
+def lle_layout_embeddings(spark, d):
+    return D.lle_layout(table(spark, d, "embeddings"), "embedding", "vec_id", 2, k=10, iters=15)

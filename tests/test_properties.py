@@ -180,3 +180,14 @@ def test_exact_quantiles(spark):
     want = np.quantile(vals, [0.25, 0.5, 0.9])
     assert [r.q_0, r.q_1, r.q_2] == pytest.approx(list(want))
     assert not math.isnan(r.q_0)
+
+
+def test_lle_weights_sum_to_one_and_layout(spark, small_dir):
+    e = table(spark, small_dir, "embeddings")
+    w = D.lle_weights(e, "embedding", "vec_id", k=6).toPandas()
+    sums = w.groupby("i")["w"].sum().to_numpy()
+    np.testing.assert_allclose(sums, 1.0, atol=1e-9)
+    assert (w.groupby("i").size() == 6).all()
+    lay = D.lle_layout(e, "embedding", "vec_id", 2, k=6, iters=5).toPandas()
+    assert list(lay.columns) == ["vec_id", "LLE1", "LLE2"] and len(lay) == e.count()
+    assert np.isfinite(lay[["LLE1", "LLE2"]].to_numpy()).all()
