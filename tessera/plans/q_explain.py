@@ -160,3 +160,8 @@ def lle_weights_embeddings(spark, d):
 @register("lle_layout_embeddings", "D5,N4")
 def lle_layout_embeddings(spark, d):
     return D.lle_layout(table(spark, d, "embeddings"), "embedding", "vec_id", 2, k=10, iters=15)
+
+
+@register("isomap_embeddings", "D4")
+def isomap_embeddings(spark, d):
+    return D.isomap(table(spark, d, "embeddings"), "embedding", "vec_id", 2, k=5, landmarks=30)

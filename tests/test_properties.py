@@ -191,3 +191,10 @@ def test_lle_weights_sum_to_one_and_layout(spark, small_dir):
     lay = D.lle_layout(e, "embedding", "vec_id", 2, k=6, iters=5).toPandas()
     assert list(lay.columns) == ["vec_id", "LLE1", "LLE2"] and len(lay) == e.count()
     assert np.isfinite(lay[["LLE1", "LLE2"]].to_numpy()).all()
+
+
+def test_isomap_shapes(spark, small_dir):
+    e = table(spark, small_dir, "embeddings")
+    iso = D.isomap(e, "embedding", "vec_id", 2, k=5, landmarks=20).toPandas()
+    assert list(iso.columns) == ["vec_id", "ISO1", "ISO2"] and len(iso) == e.count()
+    assert np.isfinite(iso[["ISO1", "ISO2"]].to_numpy()).all()
