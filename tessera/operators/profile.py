@@ -199,7 +199,7 @@ def _char_issues_from(vs: DataFrame, report_apostrophe: bool) -> DataFrame:
     return joined.select(
         "column_name", "pos", "ch", F.col("occurrences").cast("long").alias("occurrences"),
         "first_id", label.alias("issue"), repl.alias("replacement"), example.alias("example"),
-        repl.isNotNull().alias("is_mark"), F.instr(F.col("value"), F.col("ch")).alias("first_pos"))
+        repl.isNotNull().alias("is_mark"), F.instr(F.col("value"), F.col("ch")).cast("long").alias("first_pos"))
 
 
 # ---------------------------------------------------------------- H3

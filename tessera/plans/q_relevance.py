@@ -149,7 +149,7 @@ def top_features_pearson(spark, d):
     t = R.target_correlation(FX.wide_numeric(spark, d), [TARGET], FEATS, "pearson") \
         .select("feature", F.abs("corr").alias("importance"))
     names = R.top_features(t, 3)
-    return spark.createDataFrame([(n, i + 1) for i, n in enumerate(names)], "feature string, rank int")
+    return spark.createDataFrame([(n, i + 1) for i, n in enumerate(names)], "feature string, rank long")
 
 
 @register("kendall_part", "R3", """
