@@ -129,9 +129,10 @@ def test_dbscan_matches_sequential(spark, small_dir, grid):
     pdf = pts.orderBy("event_id").toPandas()
     want = _dbscan_brute(pdf[["x", "y"]].to_numpy(), 0.02, 4)
     core_clusters = got.Cluster.to_numpy()
-    # same partition of points (cluster ids also match: numbered by smallest core id)
-    assert (core_clusters == want).mean() > 0.99
-    assert sorted(set(core_clusters)) == sorted(set(want))
+    # identical labels: clusters are numbered by their smallest core id and a
+    # border point joins the smallest adjacent cluster, which is what the
+    # sequential expansion in index order produces
+    assert core_clusters.tolist() == want.tolist()
 
 
 def test_connected_components(spark):
