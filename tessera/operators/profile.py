@@ -12,6 +12,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -100,8 +101,8 @@ def value_stats(df: DataFrame, id_col: str | None, cols: list[str] | None = None
     profiled column with its row count and lowest row id; NULL (and NaN) is
     one value. One scan and one shuffle, combined map-side, so a value that
     holds a third of all rows is pre-summed in every map task. H1-H6 all
-    derive from this frame; identical subtrees are reused by Spark's
-    exchange reuse, and rules that test text run once per distinct value."""
+    derive from this frame (the report persists it, as its branches filter it
+    differently), and rules that test text run once per distinct value."""
     prof = _profiled(df, id_col)
     cols = cols if cols is not None else prof
     clean = df.select(*([qcol(id_col)] if id_col else []),
@@ -255,7 +256,9 @@ def issue_rows(df: DataFrame, id_col: str, thresholds: Thresholds = Thresholds()
     count_text, example, category). (stage, k1, k2, k3) orders the issues
     of one column the way the report lists them. Every branch reads the
     same distinct-value frame."""
-    vs = value_stats(df, id_col)
+    # persisted: each branch below filters it differently, which defeats
+    # exchange reuse, so without it every branch would rescan the source
+    vs = value_stats(df, id_col).persist(StorageLevel.MEMORY_AND_DISK)
     zero = F.lit(0)
     nulls = _nulls_from(vs)
     null_p = nulls.where((F.col("null_count") / F.col("n_rows")) * 100 > F.lit(float(thresholds.nan))).select(
