@@ -23,6 +23,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -34,6 +35,8 @@ SWITCH = 12.0                  # log-probability that a change of language has t
 WORDS_AT_ONCE = 4_000_000      # words labelled together by one worker
 WORD_CACHE = 400_000           # distinct words remembered by one worker before the cache starts anew
 
+SPANS = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("lang", pa.string())]))
+
 #: First and last code point of script blocks.
 SCRIPTS = {
     "latin": [(0x41, 0x5A), (0x61, 0x7A), (0xAA, 0xAA), (0xBA, 0xBA), (0xC0, 0x24F), (0x1E00, 0x1EFF)],
@@ -148,7 +151,7 @@ def identify(docs: DataFrame, model: dict, text_col: str = "text", switch: float
     schema = T.StructType([docs.schema[c] for c in keep]).add("lang_pred", "string").add("score", "double") \
         .add("lang_spans", T.ArrayType(T.StructType().add("start", T.IntegerType()).add("end", T.IntegerType()).add("lang", "string")))
 
-    def work(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
         labels, log, allowed = m["labels"], m["log"], m["allowed"]
         known: dict[str, int] = {}
@@ -165,9 +168,9 @@ def identify(docs: DataFrame, model: dict, text_col: str = "text", switch: float
             out = np.maximum(out - out.max(1, keepdims=True), -1e3)
             return out.astype(np.float32)
 
-        for f in frames:
+        for f in batches:
             rows, fresh, size, begin = [], [], 0, 0
-            texts = f[text_col].tolist()
+            texts = f.column(len(keep)).to_pylist()
             for i, text in enumerate(texts):
                 words = _WORDS(text) if text and labels else []
                 for w in set(words).difference(known):
@@ -177,7 +180,6 @@ def identify(docs: DataFrame, model: dict, text_col: str = "text", switch: float
                              np.fromiter(map(len, words), np.int64, len(words))))
                 size += len(words)
                 if size >= WORDS_AT_ONCE or i + 1 == len(texts):
-                    out = f.iloc[begin:i + 1][keep].copy()
                     n = np.array([len(x) for x, _ in rows])
                     flat = np.concatenate([x for x, _ in rows])
                     if fresh:
@@ -195,11 +197,13 @@ def identify(docs: DataFrame, model: dict, text_col: str = "text", switch: float
                         pred.append(labels[int(per.argmax())]), share.append(float(per.max() / per.sum()))
                         spans.append([{"start": a, "end": b, "lang": labels[s[a]]} for a, b in zip(cut, cut[1:])])
                         at += k
-                    out["lang_pred"], out["score"], out["lang_spans"] = pred, share, spans
-                    yield out
+                    own = [f.column(j).slice(begin, i + 1 - begin) for j in range(len(keep))]
+                    yield pa.RecordBatch.from_arrays(
+                        [*own, pa.array(pred, pa.string()), pa.array(share, pa.float64()), pa.array(spans, SPANS)],
+                        names=schema.names)
                     rows, fresh, size, begin = [], [], 0, i + 1
                     if len(known) > WORD_CACHE:
                         known.clear()
                         table = table[:0]
 
-    return docs.select(*keep, text_col).mapInPandas(work, schema)
+    return docs.select(*keep, text_col).mapInArrow(work, schema)

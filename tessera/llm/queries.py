@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import bpe, decontaminate, langid, shard
+from tessera.llm import bpe, decontaminate, langid, linededup, shard, topk
 from tessera.llm.common import fold, table
 
 SHARDS = 40
@@ -18,6 +18,16 @@ def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(table(spark, sf_dir, "documents"), bpe.tokenizer_path(spark))
 
 
+def op4_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.top_k(table(spark, sf_dir, "embeddings"))
+
+
+def op5_linededup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    out = linededup.dedup(docs)
+    return out.select("doc_id", "n_dropped", F.length("text").cast("long").alias("n_chars"), "text")
+
+
 def op6_shard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard.layout(table(spark, sf_dir, "documents"), SHARDS)
 
@@ -38,4 +48,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_shard": shard.oracle(SHARDS), "op9_decontaminate": decontaminate.oracle()}
+    return {"op4_topk": topk.oracle(), "op6_shard": shard.oracle(SHARDS), "op9_decontaminate": decontaminate.oracle()}
