@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import bpe, decontaminate, html_text, langid, linededup, neardup, shard, topk
+from tessera.llm import bpe, brown_lm, decontaminate, html_text, langid, linededup, neardup, shard, topk
 from tessera.llm.common import fold, table
 
 SHARDS = 40
@@ -37,6 +37,11 @@ def op6_shard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard.layout(table(spark, sf_dir, "documents"), SHARDS)
 
 
+def op7_brown_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", (fold("doc_id", 7) == 2).alias("held_out"))
+    return brown_lm.score(docs)
+
+
 def op8_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = neardup.classes(table(spark, sf_dir, "documents"))
     return found.select(F.col("id").alias("doc_id"), "class_id", "n_shingles")
