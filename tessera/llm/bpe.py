@@ -16,8 +16,8 @@ would have come first.
 Semantics: null text is encoded as the empty text (no ids, empty decoded
 text). Added tokens of the tokenizer file are cut out of the text before it is
 split into pieces, as the tokenizers library does with default settings.
-Repeated rows, ties and extra columns have no effect on a row's result; columns
-named like an output column raise ValueError."""
+Repeated rows, ties and extra columns have no effect on a row's result; an input
+column named like an output column gives way to it."""
 
 from __future__ import annotations
 
@@ -30,6 +30,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tessera.llm.common import without
+
 #: Fixed value: the split pattern of byte-level tokenizers.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
@@ -177,11 +179,6 @@ def _read(path: str) -> str:
         return f.read()
 
 
-def _new(df: DataFrame, *names: str) -> None:
-    if clash := set(names) & set(df.columns):
-        raise ValueError(f"the input already has {sorted(clash)}")
-
-
 def encode(df: DataFrame, path: str, text_col: str = "text", out: str = "ids", decoded: str | None = None) -> DataFrame:
     """``df`` with the token ids (array<int>) of a text column and, if
     ``decoded`` names a column, the text that the ids decode to.
@@ -189,7 +186,7 @@ def encode(df: DataFrame, path: str, text_col: str = "text", out: str = "ids", d
     The driver reads the tokenizer file (its size is that of a vocabulary, not
     of the data) and broadcasts its text; each worker builds the automaton
     once."""
-    _new(df, out, *([decoded] if decoded else []))
+    df = without(df, out, *([decoded] if decoded else []))
     spec = df.sparkSession.sparkContext.broadcast(_read(path))
     at = df.columns.index(text_col)
     fields = [*df.schema.fields, T.StructField(out, T.ArrayType(T.IntegerType(), False), False)]
@@ -214,7 +211,7 @@ def encode(df: DataFrame, path: str, text_col: str = "text", out: str = "ids", d
 def decode(df: DataFrame, path: str, ids_col: str = "ids", out: str = "decoded") -> DataFrame:
     """``df`` with the text that a column of token ids decodes to (null: empty
     text; an id outside the vocabulary raises)."""
-    _new(df, out)
+    df = without(df, out)
     spec = df.sparkSession.sparkContext.broadcast(_read(path))
     at = df.columns.index(ids_col)
     fields = [*df.schema.fields, T.StructField(out, T.StringType(), False)]

@@ -33,7 +33,14 @@ def row_key(id_col: str, text_col: str) -> list[Column]:
             F.length(F.col(text_col)).alias("_tl")]
 
 
-def drop_checkpoints(*frames: DataFrame) -> None:
-    """Release persisted helper frames."""
-    for f in frames:
-        f.unpersist()
+def free_name(df: DataFrame, base: str) -> str:
+    """A column name that ``df`` doesn't have."""
+    while base.lower() in map(str.lower, df.columns):
+        base += "_"
+    return base
+
+
+def without(df: DataFrame, *names: str) -> DataFrame:
+    """``df`` without the columns that an operator is about to make: an input
+    column named like an output column gives way to it."""
+    return df.drop(*[c for c in df.columns if c.lower() in {n.lower() for n in names}])

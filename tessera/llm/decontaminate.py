@@ -185,20 +185,21 @@ def remove_spans(docs: DataFrame, items: DataFrame, n: int = N, id_col: str = "d
                  text_col: str = "text") -> DataFrame:
     """All documents, their hit words (with the characters up to the next
     word) cut out of the text; a document without hits keeps its exact text."""
-    c = contamination(docs, items, n, id_col, text_col).where(F.size("spans") > 0) \
-        .select("_id", "_th", "_tl", "spans")
+    c = contamination(docs, items, n, id_col, text_col).where(F.size("spans") > 0).select("_id", "_th", "_tl", "spans")
     same = docs[id_col].eqNullSafe(c["_id"]) & F.xxhash64(docs[text_col]).eqNullSafe(c["_th"]) \
         & F.length(docs[text_col]).eqNullSafe(c["_tl"])
+    joined = docs.join(c, same, "left")
     # the text in pieces: what comes before the first word, then each word with the gap after it
-    piece = F.regexp_extract_all(F.col(text_col), F.lit(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]*"), 0)
-    head = F.regexp_extract(F.col(text_col), r"^[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+", 0)
-    # membership by one map per document, not by a scan of the spans for each word
-    kept = F.expr("array_join(transform(filter(arrays_zip(_pieces, _hit), p -> NOT p._hit), p -> p._pieces), '')")
-    hit = F.expr("flatten(transform(sequence(0, size(spans)), i -> concat("
-                 "array_repeat(false, IF(i = size(spans), size(_pieces), spans[i]) - IF(i = 0, 0, spans[i - 1] + 1)),"
-                 "IF(i = size(spans), array(), array(true)))))")
-    joined = docs.join(c, same, "left").withColumn("_pieces", piece).withColumn("_hit", hit)
-    text = F.when(F.col("spans").isNull(), F.col(text_col)).otherwise(F.concat(head, kept))
+    piece = F.regexp_extract_all(docs[text_col], F.lit(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]*"), 0)
+    head = F.regexp_extract(docs[text_col], r"^[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+", 0)
+    # whether each piece is hit, from runs of false between the hit words: no search per word
+    size, spans = F.size(piece), c["spans"]
+    runs = F.transform(F.sequence(F.lit(0), F.size(spans)), lambda i: F.concat(
+        F.array_repeat(F.lit(False), (F.when(i == F.size(spans), size).otherwise(F.get(spans, i))
+                                      - F.when(i == 0, 0).otherwise(F.get(spans, i - 1) + 1)).cast("int")),
+        F.when(i == F.size(spans), F.array().cast("array<boolean>")).otherwise(F.array(F.lit(True)))))
+    kept = F.filter(F.arrays_zip(piece.alias("p"), F.flatten(runs).alias("h")), lambda x: ~x["h"])
+    text = F.when(spans.isNull(), docs[text_col]).otherwise(F.concat(head, F.array_join(F.transform(kept, lambda x: x["p"]), "")))
     return joined.select(*[text.alias(text_col) if x == text_col else docs[x] for x in docs.columns])
 
 

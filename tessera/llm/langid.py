@@ -13,7 +13,8 @@ of their id) are counted in Spark; what reaches the driver is a table of
 
 Semantics: null texts and texts without a letter are ``und`` with score 0 and
 no spans; equal shares go to the first language in alphabetical order; with no
-training rows everything is ``und``. Repeated rows are scored alike."""
+training rows everything is ``und``. Repeated rows are scored alike. Input
+columns named like an output column give way to it."""
 
 from __future__ import annotations
 
@@ -28,6 +29,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tessera.llm.common import without
+
 BUCKETS = 1 << 17
 LONGEST_GRAM = 4
 TRAIN_ROWS = 2000
@@ -79,9 +82,11 @@ def train(docs: DataFrame, label_col: str = "lang", id_col: str = "doc_id", text
           train_rows: int = TRAIN_ROWS) -> dict:
     """Counts of buckets and scripts per label over a bounded sample of the
     rows with a label and a text."""
-    sample = docs.where(F.col(label_col).isNotNull() & F.col(text_col).isNotNull()) \
-        .select(F.col(label_col).alias("label"), F.col(text_col).alias("text"), F.xxhash64(id_col).alias("h")) \
-        .orderBy("h").limit(train_rows).select("label", "text")
+    rows = docs.where(F.col(label_col).isNotNull()).withColumn("_h", F.xxhash64(id_col))
+    # hashes are sorted, not texts; train_rows hashes at most are broadcast
+    picked = rows.select("_h").distinct().orderBy("_h").limit(train_rows)
+    sample = rows.join(F.broadcast(picked), "_h").dropDuplicates(["_h"]) \
+        .select(F.col(label_col).alias("label"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
 
     def count(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         seen: dict[str, Counter] = {}                    # words of the sample, whose rows are bounded
@@ -141,15 +146,16 @@ def viterbi(scores: np.ndarray, lengths: np.ndarray, switch: float) -> np.ndarra
     return states
 
 
-def identify(docs: DataFrame, model: dict, text_col: str = "text", switch: float = SWITCH) -> DataFrame:
-    """``docs`` without its text, with lang_pred, score and lang_spans
-    (array of first word, word after the last, language)."""
-    if clash := {"lang_pred", "score", "lang_spans"} & set(docs.columns):
-        raise ValueError(f"the input already has {sorted(clash)}")
+def identify(docs: DataFrame, model: dict, text_col: str = "text", switch: float = SWITCH,
+             names: tuple[str, str, str] = ("lang_pred", "score", "lang_spans"), keep_text: bool = False) -> DataFrame:
+    """``docs`` (without its text, unless kept) with the prediction, its score
+    and the spans (array of first word, word after the last, language)."""
+    docs = without(docs, *names)
     shared = docs.sparkSession.sparkContext.broadcast(model)     # labels x buckets numbers
-    keep = [c for c in docs.columns if c != text_col]
-    schema = T.StructType([docs.schema[c] for c in keep]).add("lang_pred", "string").add("score", "double") \
-        .add("lang_spans", T.ArrayType(T.StructType().add("start", T.IntegerType()).add("end", T.IntegerType()).add("lang", "string")))
+    keep = [c for c in docs.columns if keep_text or c != text_col]
+    read, text_at = (keep, keep.index(text_col)) if keep_text else ([*keep, text_col], len(keep))
+    schema = T.StructType([docs.schema[c] for c in keep]).add(names[0], "string").add(names[1], "double") \
+        .add(names[2], T.ArrayType(T.StructType().add("start", T.IntegerType()).add("end", T.IntegerType()).add("lang", "string")))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
@@ -170,7 +176,7 @@ def identify(docs: DataFrame, model: dict, text_col: str = "text", switch: float
 
         for f in batches:
             rows, fresh, size, begin = [], [], 0, 0
-            texts = f.column(len(keep)).to_pylist()
+            texts = f.column(text_at).to_pylist()
             for i, text in enumerate(texts):
                 words = _WORDS(text) if text and labels else []
                 for w in set(words).difference(known):
@@ -206,4 +212,4 @@ def identify(docs: DataFrame, model: dict, text_col: str = "text", switch: float
                         known.clear()
                         table = table[:0]
 
-    return docs.select(*keep, text_col).mapInArrow(work, schema)
+    return docs.select(*read).mapInArrow(work, schema)

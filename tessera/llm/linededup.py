@@ -20,7 +20,8 @@ adaptive execution splits.
 Semantics: null texts stay null and take no part, nor do rows without an id;
 lines are separated by \\n and compared without surrounding white space; rows that
 share an id count as one document; a document that loses nothing keeps its
-exact text; one that loses every line becomes empty."""
+exact text; one that loses every line becomes empty; an input column named like
+the output column gives way to it."""
 
 from __future__ import annotations
 
@@ -34,6 +35,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tessera.llm.common import free_name, without
+
 LEADING = 2
 PARTS = 4
 MIN_WORDS = 4
@@ -104,11 +107,11 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_w
           min_variable: int = MIN_VARIABLE, min_docs: int = MIN_DOCS, lost: str = "n_dropped") -> DataFrame:
     """``docs`` with the recurring lines cut out of the text and the number of
     dropped lines."""
-    if clash := {lost, "_lost"} & set(docs.columns):
-        raise ValueError(f"the input already has {sorted(clash)}")
+    docs = without(docs, lost)
+    hashes, key = free_name(docs, "_lost"), free_name(docs, "_doc")
     # as many hashes as a document has lines at most
     gone = recurring_lines(docs, id_col, text_col, min_words, min_variable, min_docs) \
-        .groupBy("doc").agg(F.collect_list("line").alias("_lost"))
+        .groupBy(F.col("doc").alias(key)).agg(F.collect_list("line").alias(hashes))
     fields = [*docs.schema.fields, T.StructField(lost, T.LongType(), False)]
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -128,5 +131,5 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_w
             yield pa.RecordBatch.from_arrays([*arrays, pa.array(count, pa.int64())], names=[*docs_columns, lost])
 
     docs_columns, at = docs.columns, docs.columns.index(text_col)
-    joined = docs.join(gone, docs[id_col].cast("long") == gone["doc"], "left").drop("doc")
+    joined = docs.join(gone, docs[id_col].cast("long") == gone[key], "left").drop(key)
     return joined.mapInArrow(cut, T.StructType(fields))

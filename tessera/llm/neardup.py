@@ -303,4 +303,4 @@ def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     without an id stay."""
     c = classes(docs, id_col, text_col, **settings)
     gone = c.where(F.col("id") != F.col("class_id")).select(F.col("id").alias("_gone")).distinct()
-    return docs.join(gone, docs[id_col].cast("long") == F.col("_gone"), "left_anti")
+    return docs.join(gone, docs[id_col].cast("long") == gone["_gone"], "left_anti")

@@ -8,12 +8,22 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import bpe, brown_lm, decontaminate, html_text, langid, linededup, neardup, shard, topk
+from tessera.llm import bpe, brown_lm, decontaminate, html_text, langid, linededup, neardup, shard, topk, toxicity
 from tessera.llm.common import fold, table
 
 SHARDS = 40
 
 
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", (fold("doc_id", 5) == 0).alias("held_out"))
+    labels = table(spark, sf_dir, "labels").where(fold("doc_id", 5) != 0).select("doc_id", "toxic")
+    # labels meet texts for the training sample only
+    ids = toxicity.sample_ids(labels)
+    model = toxicity.train(docs.where(~F.col("held_out")).join(F.broadcast(ids), "doc_id"))
+    out = toxicity.score(docs, model)
+    return out.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
+
+
 def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(table(spark, sf_dir, "documents"), bpe.tokenizer_path(spark))
 

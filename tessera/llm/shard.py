@@ -12,13 +12,15 @@ added.
 
 Semantics: a null key counts as the empty text, so all null keys share a shard;
 a null text has no bytes and checksum 0; repeated rows share a shard and get
-slots of their own."""
+slots of their own; input columns named like an output column give way to it."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.llm.common import free_name, without
+
 OVERHEAD = 16                  # bytes that every record adds to its text
 
 
@@ -41,14 +43,13 @@ def assign(df: DataFrame, weights: list[float], key_col: str, grow_by: float | N
            shard: str = "shard", grown: str = "grown_shard") -> DataFrame:
     """``df`` with the shard of every row and, with ``grow_by``, the shard
     after one of that weight was added."""
-    if clash := {shard, grown, "_best"} & set(df.columns):
-        raise ValueError(f"the input already has {sorted(clash)}")
-    key = F.coalesce(F.col(key_col).cast("string"), F.lit(""))
-    out = df.withColumn("_best", ranked(key, weights))
+    df = without(df, shard, grown)
+    key, best = F.coalesce(F.col(key_col).cast("string"), F.lit("")), free_name(df, "_best")
+    out = df.withColumn(best, ranked(key, weights))
     more = F.lit(None).cast("int")
     if grow_by is not None:
-        more = F.least(F.col("_best"), ranked(key, [grow_by], len(weights)))["shard"]
-    return out.withColumn(shard, F.col("_best")["shard"].cast("int")).withColumn(grown, more.cast("int")).drop("_best")
+        more = F.least(F.col(best), ranked(key, [grow_by], len(weights)))["shard"]
+    return out.withColumn(shard, F.col(best)["shard"].cast("int")).withColumn(grown, more.cast("int")).drop(best)
 
 
 def number(df: DataFrame, key_col: str, order: list[str], shard: str = "shard", slot: str = "slot",
