@@ -90,7 +90,7 @@ def exchange(pairs: np.ndarray, classes: int, sweeps: int = SWEEPS) -> np.ndarra
             n[:, a] -= before
             n[a, a] -= self_n
             gn = _g(n)
-            rows, cols = n.sum(1), n.sum(0)
+            rows, cols = n.sum(1) + before, n.sum(0) + after         # pairs with w count whatever its class
             gain = (_g(n + after) - gn).sum(1) + (_g(n + before[:, None]) - gn).sum(0)
             d = np.diag(n)
             gain += _g(d + after + before + self_n) - _g(d + after) - _g(d + before) + np.diag(gn)

@@ -10,7 +10,8 @@ enough and has enough stop words is text; a long one almost without stop words
 is boilerplate; all others (short, or in between) stay open. Second pass: an
 open block takes the label of its nearest decided neighbour in the same region
 (a ``main`` or ``article`` element, or else the whole page); between two
-equally near ones text wins. A region without any decided block is text. If a page has an article region with text, blocks outside
+equally near ones text wins. A region without any decided block is text, and in a
+page without any text by the first pass only links make boilerplate. If a page has an article region with text, blocks outside
 of it are boilerplate.
 
 Semantics: null or empty html gives the empty text. Broken markup is read to its
@@ -207,7 +208,10 @@ def second_pass(found: list[Block], labels: list[bool | None]) -> list[bool]:
 
 def main_text(page: str | None) -> str:
     found = blocks(page or "")
-    labels = second_pass(found, [first_pass(b) for b in found])
+    labels = [first_pass(b) for b in found]
+    if True not in labels:                              # no text to compare with: only links speak against a block
+        labels = [None if label is False and b.linked <= LINKED * len(b.text) else label for b, label in zip(found, labels)]
+    labels = second_pass(found, labels)
     article = any(b.region for b, good in zip(found, labels) if good)
     return " ".join(b.text for b, good in zip(found, labels) if good and (b.region or not article))
 

@@ -42,7 +42,7 @@ from tessera.session import scratch_path
 SHINGLE = 5
 SIMILARITY = 0.8
 BANDS, ROWS = 16, 4
-BLOCK = 128                     # members compared together in the exact second round
+BLOCK = 512                     # members compared with as many others in a group of the exact second round
 WORDS_AT_ONCE = 1_000_000       # words hashed together by one worker
 WORD_CACHE = 500_000
 
