@@ -96,10 +96,3 @@ def pct_text_sql(num: str, den: str, always_decimal: bool) -> str:
     integral = f"(({num}) * 100) % ({den}) = 0"
     whole = f"CAST(CAST(({num}) * 100 / ({den}) AS BIGINT) AS STRING)"
     return f"(CASE WHEN {integral} THEN {whole} ELSE {one_dec} END)"
-
-
-def broadcast_if_small(df: DataFrame, max_rows: int) -> DataFrame:
-    """Broadcast hint only after the row count is checked; otherwise leave
-    the choice to AQE, which re-plans on measured shuffle sizes."""
-    n = df.count()
-    return F.broadcast(df) if n <= max_rows else df

@@ -10,7 +10,6 @@ the per-group sizes (one row per group)."""
 
 from __future__ import annotations
 
-import math
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -73,7 +72,3 @@ def exact_quantiles(df: DataFrame, group_cols: list[str], value_col: str,
     for k, v in names.items():
         out = out.withColumnRenamed(k, v)
     return out.join(sizes.withColumnRenamed("_size", "n"), group_cols)
-
-
-def prob_label(p: float) -> str:
-    return f"p{int(round(p * 100)):02d}" if math.isclose(p * 100, round(p * 100)) else f"p{p}"

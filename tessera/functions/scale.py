@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tessera.functions.frame import qcol
 from tessera.functions.ranking import group_row_number
 from tessera.functions.text import shorten
+from tessera.session import cut_lineage
 
 
 def log_scale(df: DataFrame, col: str, out: str = "size", lo: float = 1.0, hi: float = 7.0) -> DataFrame:
@@ -33,13 +34,13 @@ def shorten_labels(df: DataFrame, label_col: str, order_col: str, out: str = "sh
     uses the skew-safe group row number (a common prefix may be hot)."""
     cut = df.withColumn("_cut", shorten(qcol(label_col), max_len))
     numbered = group_row_number(cut, ["_cut"], order_col, "_k")
-    return numbered.withColumn(
-        out, F.when(F.col("_k") == 1, F.col("_cut"))
-        .otherwise(F.concat(F.col("_cut"), F.lit("("), F.col("_k").cast("string"), F.lit(")")))) \
-        .drop("_cut", "_k")
 
+    def suffixed(name: str):
+        return F.when(F.col("_k") == 1, F.col(name)).otherwise(F.concat(F.col(name), F.lit("("), F.col("_k").cast("string"), F.lit(")")))
 
-def minmax_expr(col: str, mn: str, mx: str):
-    """E4 core: (x - min) / (max - min), a constant column -> 0.0."""
-    rng = F.col(mx) - F.col(mn)
-    return F.when(rng == 0, F.lit(0.0)).otherwise((qcol(col) - F.col(mn)) / rng)
+    done = numbered.withColumn(out, suffixed("_cut")).drop("_cut", "_k")
+    # a suffixed label may equal another label as it stands: number such repeats until none is left
+    while done.groupBy(out).count().where("count > 1").limit(1).count():
+        again = group_row_number(done.withColumnRenamed(out, "_cut"), ["_cut"], order_col, "_k")
+        done = cut_lineage(again.withColumn(out, suffixed("_cut")).drop("_cut", "_k"))
+    return done

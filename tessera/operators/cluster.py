@@ -170,12 +170,14 @@ def dbscan(df: DataFrame, features, id_col: str, eps: float = 0.5, min_samples:
 # ---------------------------------------------------------------- K2
 def _lance_williams(C: np.ndarray, w: np.ndarray, k: int, linkage: str) -> np.ndarray:
     """Merge weighted centroids down to k groups; returns the group of each
-    centroid. Ward / complete / average / single on the centroid distances."""
+    centroid. Ward starts from the variance that joining two centroids of
+    their weights adds; complete / average / single work on the centroid
+    distances (an approximation of those linkages of the points)."""
     m = len(C)
     groups = {i: [i] for i in range(m)}
     D = np.sqrt(((C[:, None, :] - C[None, :, :]) ** 2).sum(-1))
     if linkage == "ward":
-        D = D ** 2
+        D = 2.0 * np.outer(w, w) / np.add.outer(w, w) * D ** 2
     np.fill_diagonal(D, np.inf)
     size = w.astype(float).copy()
     alive = np.ones(m, dtype=bool)
@@ -214,7 +216,7 @@ def agglomerative(df: DataFrame, features, id_col: str, k: int = 3, linkage: str
     Spark, Lance-Williams merging of their weighted centroids on the driver
     (micro x micro, model-sized), labels joined back by micro-cluster."""
     n = df.count()
-    m = int(min(micro, max(k, n)))
+    m = int(min(max(micro, k), max(k, n)))
     labels, model = kmeans(df, features, id_col, k=m, seed=seed, return_model=True)
     sizes = {r["Cluster"]: r["n"] for r in labels.groupBy("Cluster").agg(F.count(F.lit(1)).alias("n")).collect()}
     centers = np.array(model.clusterCenters())
@@ -390,7 +392,7 @@ def best_params(method: str, df, features, id_col, **kw) -> dict:
         return tune_gmm(df, features, id_col, **kw)
     if m == "DBSCAN":
         return tune_dbscan(df, features, id_col, **kw)
-    raise ValueError(f"Unrecognized technique: {method}")
+    raise ValueError(f"no clustering method is called {method!r}")
 
 
 def run_clustering(method: str, df, features, id_col, params: dict | None = None) -> DataFrame:
@@ -409,7 +411,7 @@ def run_clustering(method: str, df, features, id_col, params: dict | None = None
         return gmm(df, features, id_col, k=params.get("n_components", 3), seed=params.get("random_state", 42))
     if m == "SPECTRAL":
         return spectral(df, features, id_col, k=params.get("n_clusters", 3))
-    raise ValueError(f"Unrecognized technique: {method}")
+    raise ValueError(f"no clustering method is called {method!r}")
 
 
 def cluster_selection(df: DataFrame, features: list[str], id_col: str, method: str,

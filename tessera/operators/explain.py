@@ -45,7 +45,9 @@ def explain_cluster(df: DataFrame, features: list[str], cluster: int, label_col:
                 pair_names.append((features[i], features[j]))
         pair_names = pair_names[:pairs]
     pipe = Pipeline(stages=stages)
-    train, test = data.randomSplit([train_fraction, 1 - train_fraction], seed=seed)
+    # split by a hash of the row, so that it is the same for any partitioning
+    held = F.pmod(F.xxhash64(*[qcol(c) for c in sorted(data.columns)], F.lit(seed)), F.lit(10_000)) >= int(round(10_000 * train_fraction))
+    train, test = data.where(~held), data.where(held)
     binned_model = pipe.fit(train)
     tr, te = binned_model.transform(train), binned_model.transform(test)
     for a, b in pair_names:
@@ -106,14 +108,6 @@ def plain_rules(rules: str) -> str:
     return re.sub(r"Predict: (\S+)", r"the point belongs to cluster \1", out)
 
 
-def rules_frame(model, features: list[str]) -> DataFrame:
-    """X4 as rows: (line_no, rule) -- one line of the tree per row."""
-    from pyspark.sql import SparkSession
-    lines = decision_rules(model, features).splitlines()
-    spark = SparkSession.getActiveSession()
-    return spark.createDataFrame(list(enumerate(lines)), "line_no int, rule string")
-
-
 def cluster_profile(df: DataFrame, features: list[str], label_col: str = "Cluster") -> DataFrame:
     """Per cluster and feature: size, cluster mean, overall mean,
     difference and the comparison word (|diff| < 1e-6 -> about the same)."""

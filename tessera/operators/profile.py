@@ -183,12 +183,15 @@ def _char_issues_from(vs: DataFrame, report_apostrophe: bool) -> DataFrame:
     and fetch the example text back from the distinct-value frame by
     (column, first_id), so a long document is not copied per character."""
     pattern = TX.NON_ASCII_OR_APOSTROPHE_PATTERN if report_apostrophe else TX.NON_ASCII_PATTERN
-    chars = vs.select("column_name", "pos", "first_id", "cnt",
+    key = F.xxhash64("value").alias("value_key")
+    chars = vs.select("column_name", "pos", "first_id", "cnt", key,
                       F.explode(F.regexp_extract_all(F.col("value"), F.lit(pattern), 0)).alias("ch")) \
         .where(~F.col("ch").isin(list(TX.ALLOWED_LETTERS)))
     agg = chars.groupBy("column_name", "pos", "ch").agg(
-        F.sum("cnt").alias("occurrences"), F.min("first_id").alias("first_id"))
-    joined = agg.join(vs.select("column_name", "first_id", "value"), ["column_name", "first_id"])
+        F.sum("cnt").alias("occurrences"), F.min(F.struct("first_id", "value_key")).alias("first")) \
+        .select("column_name", "pos", "ch", "occurrences", "first.first_id", "first.value_key")
+    # by the value's hash too: an id may be repeated, so that two values share a lowest id
+    joined = agg.join(vs.select("column_name", "first_id", "value", key), ["column_name", "first_id", "value_key"])
     mark_label = F.create_map(*[x for c, _, lab in TX.MARKS for x in (F.lit(c), F.lit(lab))])
     mark_repl = F.create_map(*[x for c, r, _ in TX.MARKS for x in (F.lit(c), F.lit(r))])
     label = F.coalesce(F.element_at(mark_label, F.col("ch")),

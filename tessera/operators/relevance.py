@@ -28,15 +28,20 @@ def _features(df: DataFrame, targets: list[str], features: list[str] | None) ->
     return sorted(c for c in columns_of_kind(df, "numeric") if c not in targets)
 
 
+def _number(c: str):
+    """A column as double, NaN as NULL (missing, as in a data frame library)."""
+    v = qcol(c).cast("double")
+    return F.when(~F.isnan(v), v)
+
+
 # ---------------------------------------------------------------- R1
 def correlation_matrix(df: DataFrame, cols: list[str] | None = None) -> DataFrame:
     """R1 full matrix as (column_a, column_b, corr): one aggregate with a
-    ``corr`` per unordered pair (pairwise-complete: rows with a NULL in either
-    column are skipped by ``corr``)."""
+    ``corr`` per unordered pair (pairwise-complete: rows with a NULL or NaN in
+    either column are skipped)."""
     cols = cols or columns_of_kind(df, "numeric")
     pairs = [(a, b) for i, a in enumerate(cols) for b in cols[i:]]
-    row = df.agg(*[F.corr(qcol(a).cast("double"), qcol(b).cast("double")).alias(f"c{k}")
-                   for k, (a, b) in enumerate(pairs)])
+    row = df.agg(*[F.corr(_number(a), _number(b)).alias(f"c{k}") for k, (a, b) in enumerate(pairs)])
     items = []
     for k, (a, b) in enumerate(pairs):
         items.append(F.struct(F.lit(a).alias("column_a"), F.lit(b).alias("column_b"), F.col(f"c{k}").alias("corr")))
@@ -91,8 +96,7 @@ def spearman(df: DataFrame, features: list[str], target: str) -> DataFrame:
 
 # ---------------------------------------------------------------- R4-R8
 def _assemble(df: DataFrame, feats: list[str], target: str) -> DataFrame:
-    clean = df.select(*[qcol(c).cast("double").alias(c) for c in feats],
-                      qcol(target).cast("double").alias("_y")).na.drop()
+    clean = df.select(*[_number(c).alias(c) for c in feats], _number(target).alias("_y")).na.drop()
     return VectorAssembler(inputCols=feats, outputCol="_x").transform(clean).select("_x", "_y")
 
 
@@ -337,7 +341,7 @@ def optimal_k(df: DataFrame, features: list[str], max_k: int = 10, method: str =
     for k in range(2, max_k + 1):
         labels, model = kmeans(data, features, id_col, k=k, seed=seed, return_model=True)
         if method == "silhouette":
-            scores[k] = silhouette(data.join(labels, id_col), features, "Cluster").first()["silhouette"]
+            scores[k] = silhouette(data.join(labels, id_col), features, "Cluster", id_col).first()["silhouette"]
         else:
             scores[k] = model.summary.trainingCost
     data.unpersist()
@@ -356,7 +360,7 @@ def kendall(df: DataFrame, x: str, y: str) -> DataFrame:
     import numpy as np
     import pandas as pd
     from tessera.functions.pairs import apply_tiles
-    base = df.select(qcol(x).cast("double").alias("_x"), qcol(y).cast("double").alias("_y")).na.drop()
+    base = df.select(_number(x).alias("_x"), _number(y).alias("_y")).na.drop()
     tup = base.groupBy("_x", "_y").agg(F.count(F.lit(1)).alias("_w")) \
         .withColumn("_id", F.xxhash64("_x", "_y"))
 

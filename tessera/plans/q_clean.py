@@ -47,6 +47,26 @@ def csv_roundtrip_dirty_orders(spark, d):
     return IO.read_table(spark, comma, ",")
 
 
+@register("csv_roundtrip_documents", "S1,S3", "SELECT doc_id, text, lang, source, n_chars FROM documents")
+def csv_roundtrip_documents(spark, d):
+    """Whole texts with quotes, line breaks and blanks through CSV and back."""
+    path = scratch_path(spark, "documents_csv")
+    IO.write_table(table(spark, d, "documents").select("doc_id", "text", "lang", "source", "n_chars"), path)
+    back = IO.read_table(spark, path, infer=False, keep_default_na=False)
+    return IO.infer_types(back, ["doc_id", "n_chars"]).withColumn("text", F.coalesce("text", F.lit("")))
+
+
+@register("infer_types_long_integers", "S2", """
+SELECT o_orderkey, '9' || lpad(CAST(o_orderkey AS VARCHAR), 19, '0') AS big, CAST(o_custkey AS BIGINT) AS small FROM orders""")
+def infer_types_long_integers(spark, d):
+    """20-digit integers keep every digit (decimal), short ones become long."""
+    t = table(spark, d, "orders").select("o_orderkey", F.concat(F.lit("9"), F.lpad(F.col("o_orderkey").cast("string"), 19, "0")).alias("big"),
+                                         F.col("o_custkey").cast("string").alias("small"))
+    out = IO.infer_types(t)
+    assert dict(out.dtypes)["big"] == "decimal(38,0)"
+    return out.withColumn("big", F.col("big").cast("string"))
+
+
 def _fix_decimal_sql(x: str) -> str:
     # RE2 has no look-arounds: two passes of (\d),(\d) reach every comma
     once = f"regexp_replace({x}, '(\\d),(\\d)', '\\1.\\2', 'g')"

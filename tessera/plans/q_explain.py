@@ -101,6 +101,17 @@ def pca_embeddings(spark, d):
     return D.pca(table(spark, d, "embeddings"), "embedding", "vec_id", 2)
 
 
+@register("pca_two_features", "D1", "WITH " + L_SQL + """,
+m AS (SELECT avg(f1) AS m1, avg(f2) AS m2, var_samp(f1) AS a, var_samp(f2) AS c, covar_samp(f1, f2) AS b FROM l),
+v AS (SELECT *, (a + c) / 2 + sqrt((a - c) * (a - c) / 4 + b * b) AS l1 FROM m),
+u AS (SELECT *, b / sqrt(b * b + (l1 - a) * (l1 - a)) AS x, (l1 - a) / sqrt(b * b + (l1 - a) * (l1 - a)) AS y FROM v),
+w AS (SELECT *, sign(CASE WHEN abs(x) >= abs(y) THEN x ELSE y END) AS s1, sign(CASE WHEN abs(y) >= abs(x) THEN -y ELSE x END) AS s2 FROM u)
+SELECT vec_id, round(((f1 - m1) * x + (f2 - m2) * y) * s1, 6) AS PC1, round(((f1 - m1) * -y + (f2 - m2) * x) * s2, 6) AS PC2 FROM l, w""")
+def pca_two_features(spark, d):
+    p = D.pca(labelled(spark, d), ["f1", "f2"], "vec_id", 2)
+    return p.select("vec_id", F.round("PC1", 6).alias("PC1"), F.round("PC2", 6).alias("PC2"))
+
+
 @register("kernel_pca_embeddings", "D2")
 def kernel_pca_embeddings(spark, d):
     return D.kernel_pca(table(spark, d, "embeddings"), "embedding", "vec_id", 2, kernel="rbf", landmarks=100)
@@ -122,15 +133,6 @@ def tsne_layout_embeddings(spark, d):
     return D.tsne_layout(table(spark, d, "embeddings"), "embedding", "vec_id", 2, perplexity=10.0, iters=20)
 
 
-@register("dr_params_check", "D8")
-def dr_params_check(spark, d):
-    """Validated parameters of every method, with the rows of the table the
-    PCA run would use counted (the parameters come from the code)."""
-    n = table(spark, d, "embeddings").count()
-    rows = [(m, str(sorted(D.validate_params(m, {}).items())), n) for m in D.DEFAULTS]
-    return spark.createDataFrame(rows, "method string, params string, n_rows long")
-
-
 @register("embedding_quality_pca", "V5,D1")
 def embedding_quality_pca(spark, d):
     e = table(spark, d, "embeddings")

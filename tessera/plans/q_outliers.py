@@ -130,7 +130,8 @@ def columns_with_nulls_dirty_orders(spark, d):
     return I.columns_with_nulls(FX.dirty_orders(spark, d), "o_orderkey")
 
 
-@register("train_sample_orders", "I2")
+@register("train_sample_orders", "I2", """
+SELECT * FROM orders WHERE CAST('0x' || substr(md5(CAST(o_orderkey AS VARCHAR) || ':42'), 1, 8) AS BIGINT) % 1000000 < 200000""")
 def train_sample_orders(spark, d):
     """Rows-only: seeded 20% hash sample of orders (reproducible by id)."""
     return I.train_sample(table(spark, d, "orders"), 0.2, 42, "o_orderkey")

@@ -81,6 +81,54 @@ def lasso_wide(spark, d):
     return R.lasso(FX.wide_numeric(spark, d), TARGET, FEATS, alpha=0.01)
 
 
+# the same operators on so few terms that the solution has a closed form
+_S = """s AS (SELECT count(*) AS n, avg(x) AS mx, avg(y) AS my, avg(z) AS mz, avg(t) AS mt,
+  covar_pop(x, x) AS xx, covar_pop(x, y) AS xy, covar_pop(x, z) AS xz, covar_pop(z, z) AS zz, covar_pop(z, y) AS zy,
+  covar_pop(x, t) AS xt, covar_pop(t, t) AS tt, covar_pop(t, y) AS ty, covar_pop(y, y) AS yy
+  FROM (SELECT l_quantity AS x, l_quantity * l_quantity AS t, l_discount AS z, l_extendedprice AS y FROM lineitem))"""
+
+
+@register("ols_summary_quantity", "R4", f"""WITH {_S},
+b AS (SELECT *, xy / xx AS b, yy * n - xy * xy / xx * n AS rss FROM s),
+e AS (SELECT *, sqrt(rss / (n - 2) / (n * xx)) AS seb, sqrt(rss / (n - 2) * (1.0 / n + mx * mx / (n * xx))) AS sea FROM b)
+SELECT 'quantity' AS term, round(b, 5) AS coefficient, round(seb, 6) AS std_error, round(b / seb, 4) AS t_value, round(1 - rss / (n * yy), 8) AS r2 FROM e
+UNION ALL SELECT 'intercept', round(my - b * mx, 5), round(sea, 6), round((my - b * mx) / sea, 4), round(1 - rss / (n * yy), 8) FROM e""")
+def ols_summary_quantity(spark, d):
+    r = R.linear_regression(FX.wide_numeric(spark, d), TARGET, ["quantity"], summary=True)
+    return r.select("term", F.round("coefficient", 5).alias("coefficient"), F.round("std_error", 6).alias("std_error"),
+                    F.round("t_value", 4).alias("t_value"), F.round("r2", 8).alias("r2"))
+
+
+@register("polynomial_regression_quantity", "R5", f"""WITH {_S}
+SELECT 'quantity' AS term, round((xy * tt - xt * ty) / (xx * tt - xt * xt), 4) AS coefficient FROM s
+UNION ALL SELECT 'quantity^2', round((ty * xx - xt * xy) / (xx * tt - xt * xt), 4) FROM s""")
+def polynomial_regression_quantity(spark, d):
+    r = R.polynomial_regression(FX.wide_numeric(spark, d), TARGET, ["quantity"], 2)
+    return r.select("term", F.round("coefficient", 4).alias("coefficient"))
+
+
+@register("ridge_quantity", "R6", f"""WITH {_S}, b AS (SELECT *, n * xy / (n * xx + 50000.0) AS b FROM s)
+SELECT 'quantity' AS term, round(b, 4) AS coefficient FROM b UNION ALL SELECT 'intercept', round(my - b * mx, 4) FROM b""")
+def ridge_quantity(spark, d):
+    r = R.ridge(FX.wide_numeric(spark, d), TARGET, ["quantity"], alpha=50000.0)
+    return r.select("term", F.round("coefficient", 4).alias("coefficient"))
+
+
+@register("lasso_quantity", "R7", f"""WITH {_S},
+b AS (SELECT *, sign(xy) * greatest(abs(xy) - 1000.0, 0) / xx AS b FROM s)
+SELECT 'quantity' AS term, round(b, 3) AS coefficient FROM b UNION ALL SELECT 'intercept', round(my - b * mx, 3) FROM b""")
+def lasso_quantity(spark, d):
+    r = R.lasso(FX.wide_numeric(spark, d), TARGET, ["quantity"], alpha=1000.0)
+    return r.select("term", F.round("coefficient", 3).alias("coefficient"))
+
+
+@register("causal_effect_discount", "R12", f"""WITH {_S}, b AS (SELECT (xy * zz - xz * zy) / (xx * zz - xz * xz) AS b FROM s)
+SELECT 'quantity' AS treatment, round(b, 4) AS effect FROM b UNION ALL SELECT 'all_treatments', round(b, 4) FROM b""")
+def causal_effect_discount(spark, d):
+    r = R.causal_effect(FX.wide_numeric(spark, d), TARGET, ["quantity"], ["discount"])
+    return r.select("treatment", F.round("effect", 4).alias("effect"))
+
+
 @register("poisson_quantity", "R8")
 def poisson_quantity(spark, d):
     return R.poisson(FX.wide_numeric(spark, d), "quantity", ["discount", "linenumber", "tax"])

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.functions import numbers as N
-from tessera.functions.frame import long_values, qcol
+from tessera.functions.frame import qcol
 
 # Text read as missing by default (the pandas CSV reader's set).
 DEFAULT_NA = ["", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan",
@@ -44,13 +44,17 @@ def apply_na(df: DataFrame, null_values: list[str] | None = None,
 
 def read_table(spark: SparkSession, path: str, delimiter: str = ",",
                null_values: list[str] | None = None, header: bool = True,
-               infer: bool = True) -> DataFrame:
+               infer: bool = True, multi_line: bool = True, keep_default_na: bool = True) -> DataFrame:
     """Delimited scan with a user null token, header cleaning and type
-    inference. Files are split by Spark across tasks (no driver read)."""
+    inference. Quoted fields may hold the delimiter, doubled quotes and, with
+    ``multi_line``, line breaks. Such a file is read by one task, so big inputs
+    should be many files, or pass ``multi_line=False`` where no field holds a
+    line break (files are then split across tasks)."""
     raw = (spark.read.option("header", header).option("sep", delimiter)
-           .option("inferSchema", False).option("multiLine", False)
+           .option("quote", '"').option("escape", '"').option("lineSep", "\n")
+           .option("inferSchema", False).option("multiLine", multi_line)
            .option("mode", "PERMISSIVE").csv(path))
-    df = apply_na(clean_headers(raw), null_values)
+    df = apply_na(clean_headers(raw), null_values, keep_default_na)
     return infer_types(df) if infer else df
 
 
@@ -59,42 +63,44 @@ def read_parquet(spark: SparkSession, path: str) -> DataFrame:
 
 
 def inferred_types(df: DataFrame, cols: list[str] | None = None) -> dict[str, str]:
-    """S2 decision, O(columns) to the driver: long if every value is an
-    integer and none is missing; double if every non-missing value is a
-    number (or the column is all missing); boolean if every value is a
-    true/false word and none is missing; else string.
-
-    The rules run once per distinct (column, value), weighted by its count:
-    one unpivot + aggregate, combined map-side, so a low-cardinality column
-    costs a handful of regex evaluations whatever the row count."""
+    """S2 decision, O(columns) to the driver: an integer type if every value is
+    an integer and none is missing (long, decimal(38,0) beyond 64 bits, text
+    beyond 38 digits); double if every non-missing value is a number (or the
+    column is all missing); boolean if every value is a true/false word and
+    none is missing; else string.
+
+    One aggregate over all columns, summed up in the map tasks: no value is
+    shuffled. Patterns run only on what the cast to long refuses."""
     cols = cols if cols is not None else df.columns
     text = [c for c in cols if dict(df.dtypes)[c] == "string"]
     if not text:
         return {}
-    vals = long_values(df, text).groupBy("column_name", "value").agg(F.count(F.lit(1)).alias("cnt"))
-    v, cnt = F.col("value"), F.col("cnt")
-    s = N.strip(v)
-
-    def weighted(cond):
-        return F.sum(F.when(cond, cnt).otherwise(0))
-
-    per = vals.groupBy("column_name").agg(
-        F.sum(cnt).alias("rows"),
-        weighted(v.isNull()).alias("n"),
-        weighted(v.isNotNull() & ~N.parses(s)).alias("f"),
-        weighted(v.isNotNull() & ~s.rlike(N.INTEGER_PATTERN)).alias("i"),
-        weighted(v.isNotNull() & ~v.isin(TRUE_WORDS + FALSE_WORDS)).alias("b")).collect()
-    stats = {r["column_name"]: r for r in per}
+
+    def times(cond):
+        return F.sum(F.when(cond, 1).otherwise(0))
+
+    aggs = []
+    for k, c in enumerate(text):
+        v = qcol(c)
+        s = N.strip(v)
+        small, whole = s.try_cast("long").isNotNull(), s.rlike(N.INTEGER_PATTERN)
+        aggs += [times(v.isNull()).alias(f"n{k}"),
+                 times(v.isNotNull() & ~(small | N.parses(s))).alias(f"f{k}"),
+                 times(v.isNotNull() & ~(small | whole)).alias(f"i{k}"),
+                 times(~small & whole).alias(f"w{k}"),
+                 times(~small & whole & (F.length(F.ltrim(s, F.lit("+-0"))) > 38)).alias(f"x{k}"),
+                 times(v.isNotNull() & ~v.isin(TRUE_WORDS + FALSE_WORDS)).alias(f"b{k}")]
+    r = df.agg(F.count(F.lit(1)).alias("rows"), *aggs).first()
     out = {}
-    for c in text:
-        r = stats.get(c)
-        if r is None or (r["rows"] > 0 and r["n"] == r["rows"]):
+    for k, c in enumerate(text):
+        n, f, i, w, x, b = (r[f"{p}{k}"] or 0 for p in "nfiwxb")
+        if n == r["rows"]:
             out[c] = "double"
-        elif r["i"] == 0 and r["n"] == 0:
-            out[c] = "long"
-        elif r["f"] == 0:
+        elif i == 0 and n == 0:
+            out[c] = "string" if x else "decimal(38,0)" if w else "long"
+        elif f == 0:
             out[c] = "double"
-        elif r["b"] == 0 and r["n"] == 0:
+        elif b == 0 and n == 0:
             out[c] = "boolean"
         else:
             out[c] = "string"
@@ -105,8 +111,8 @@ def cast_to(c: str, kind: str, checked: bool = True):
     """Column cast for an inferred kind. ``checked`` means every value is
     already known to pass the kind's rule, so the per-row guard is skipped."""
     v = qcol(c)
-    if kind == "long":
-        return N.strip(v).try_cast("long").alias(c)
+    if kind == "long" or kind.startswith("decimal"):
+        return N.strip(v).try_cast(kind).alias(c)
     if kind == "double":
         num = N.strip(v).try_cast("double") if checked else N.to_number(v)
         return F.when(~F.isnan(num), num).alias(c)          # NaN text -> NULL
@@ -127,6 +133,8 @@ def write_table(df: DataFrame, path: str, fmt: str = "csv", delimiter: str = ","
     w = df.write.mode(mode)
     if fmt == "csv":
         w.option("header", True).option("sep", delimiter).option("nullValue", null_value) \
+            .option("quote", '"').option("escape", '"').option("lineSep", "\n") \
+            .option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False) \
             .option("emptyValue", '""').csv(path)
     elif fmt == "parquet":
         w.parquet(path)
