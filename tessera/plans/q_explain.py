@@ -125,12 +125,12 @@ def factor_analysis_embeddings(spark, d):
 
 @register("umap_layout_embeddings", "D6,N2,N1")
 def umap_layout_embeddings(spark, d):
-    return D.umap_layout(table(spark, d, "embeddings"), "embedding", "vec_id", 2, k=15, iters=20)
+    return D.umap_layout(table(spark, d, "embeddings"), "embedding", "vec_id", 2, k=15)
 
 
 @register("tsne_layout_embeddings", "D7,N3")
 def tsne_layout_embeddings(spark, d):
-    return D.tsne_layout(table(spark, d, "embeddings"), "embedding", "vec_id", 2, perplexity=10.0, iters=20)
+    return D.tsne_layout(table(spark, d, "embeddings"), "embedding", "vec_id", 2)
 
 
 @register("embedding_quality_pca", "V5,D1")
@@ -161,7 +161,7 @@ def lle_weights_embeddings(spark, d):
 
 @register("lle_layout_embeddings", "D5,N4")
 def lle_layout_embeddings(spark, d):
-    return D.lle_layout(table(spark, d, "embeddings"), "embedding", "vec_id", 2, k=10, iters=15)
+    return D.lle_layout(table(spark, d, "embeddings"), "embedding", "vec_id", 2, k=10)
 
 
 @register("isomap_embeddings", "D4")

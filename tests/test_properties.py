@@ -189,7 +189,7 @@ def test_lle_weights_sum_to_one_and_layout(spark, small_dir):
     sums = w.groupby("i")["w"].sum().to_numpy()
     np.testing.assert_allclose(sums, 1.0, atol=1e-9)
     assert (w.groupby("i").size() == 6).all()
-    lay = D.lle_layout(e, "embedding", "vec_id", 2, k=6, iters=5).toPandas()
+    lay = D.lle_layout(e, "embedding", "vec_id", 2, k=6).toPandas()
     assert list(lay.columns) == ["vec_id", "LLE1", "LLE2"] and len(lay) == e.count()
     assert np.isfinite(lay[["LLE1", "LLE2"]].to_numpy()).all()
 

@@ -86,3 +86,20 @@ def test_reduction_parameters():
         assert isinstance(D.validate_params(method, {}), dict)
     with pytest.raises(ValueError):
         D.validate_params("PCA", {"no_such_parameter": 1})
+
+
+def test_layout_eigenvectors_equal_dense(spark, small_dir):
+    from tessera.functions.eigen import smallest_eigenvectors
+    rng = np.random.default_rng(7)
+    n = 60
+    a = np.triu(rng.random((n, n)) * (rng.random((n, n)) < 0.2), 1)
+    a = a + a.T
+    lap = np.diag(a.sum(1)) - a
+    i, j = np.nonzero(lap)
+    edges = spark.createDataFrame([(int(x), int(y), float(lap[x, y])) for x, y in zip(i, j)], "i long, j long, a double")
+    v, theta, residual = smallest_eigenvectors(edges, spark.range(n), 3)
+    value, basis = np.linalg.eigh(lap)
+    got = v.orderBy("id").toPandas()[["v1", "v2", "v3"]].to_numpy()
+    assert residual <= 1e-4 and np.allclose(theta, value[:3], atol=1e-4)
+    overlap = np.linalg.svd(np.linalg.qr(got)[0].T @ basis[:, :3])[1]
+    assert overlap.min() > np.cos(np.radians(1))
