@@ -3,15 +3,17 @@
 The probability of a word is that of its class after the class before, times
 that of the word within its class. Counts cover all training rows:
 
-1. Documents are dealt into chunks of bounded text size. Every chunk gives
-   its distinct words with their training counts; one shuffle sums them up.
+1. Documents are packed into chunks of bounded text size as they are read:
+   numbers of words, the chunk's distinct words and their training counts. The
+   packed table is written once; one shuffle sums up the counts.
 2. The ``frequent`` most frequent words are symbols of their own, all other
    words share ``endings`` symbols by a hash of their last bytes, and the end of
    a text is a symbol too. The bigram counts of symbols (a table of fixed size,
    whatever the corpus) are summed over all tasks.
 3. Exchange clustering on that table: symbols move one at a time to the
    class that raises the likelihood most, until a sweep moves few.
-4. Every chunk gets the counts of its own words back and scores its texts.
+4. Every chunk gets the counts of those of its words back that other chunks
+   hold as well, and scores its texts.
 
 Smoothing: transitions are interpolated with class frequencies, emissions use
 absolute discounting (the discount follows from the words seen once and
@@ -25,21 +27,21 @@ training rows every word is unknown and the score is the base score."""
 
 from __future__ import annotations
 
-import math
-from collections import Counter
+import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.session import scratch_path
 
 FREQUENT, ENDINGS, CLASSES = 1024, 511, 64
-CHUNK_BYTES = 8_000_000
+CHUNK_BYTES = 24_000_000
 SWEEPS = 8
 ALPHA = 20.0                    # weight of class frequencies in a transition
 CLASS_SHARE = 0.95              # weight of the class model against the unigram
@@ -55,7 +57,7 @@ def symbol_of(frequent: dict[bytes, int], endings: int):
 
     def symbol(word: bytes) -> int:
         own = frequent.get(word)
-        return base + xxhash.xxh32_intdigest(word[-3:]) % endings if own is None else own
+        return base + zlib.crc32(word[-3:]) % endings if own is None else own
 
     return symbol
 
@@ -113,62 +115,97 @@ def exchange(pairs: np.ndarray, classes: int, sweeps: int = SWEEPS) -> np.ndarra
     return own
 
 
-def _vocabulary(f: pd.DataFrame) -> pd.DataFrame:
-    """The distinct words of a chunk in order, with their training counts."""
-    train, held = Counter(), set()
-    for text, out in zip(f["text"], f["held_out"]):
-        if out:
-            held.update(tokens(text))
-        else:
-            train.update(tokens(text))
-    words = sorted(held.union(train))
-    return pd.DataFrame({"chunk": np.full(len(words), f["chunk"].iloc[0], np.int32), "at": np.arange(len(words), dtype=np.int32),
-                         "word": words, "n": np.array([train[w] for w in words], np.int64)})
+PACKED = "chunk long, ids array<long>, held array<boolean>, lengths array<int>, tokens binary, words array<binary>, n array<int>"
+
+
+def pack(rows: DataFrame, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
+    """Chunks of the rows (id, held_out, text): one row each, with the texts as
+    compressed word numbers (frequent words first), the distinct words and
+    their counts in the texts that are not held out."""
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, made = TaskContext.get().partitionId(), 0
+        ids, held, lengths, flat, at, size = [], [], [], array("I"), {}, 0
+
+        def chunk() -> pa.RecordBatch:
+            nonlocal made, size
+            x, out = np.frombuffer(flat, np.uint32) if flat else np.zeros(0, np.uint32), np.repeat(held, lengths).astype(bool)
+            order = np.argsort(-np.bincount(x, minlength=len(at)), kind="stable")
+            place = np.empty(len(at), np.uint32)
+            place[order] = np.arange(len(at), dtype=np.uint32)
+            x = place[x]
+            n = np.bincount(x[~out], minlength=len(at)).astype(np.int32)
+            words = list(at)
+            b = pa.RecordBatch.from_arrays(
+                [pa.array([(part << 24) + made], pa.int64()), pa.array([ids], pa.list_(pa.int64())), pa.array([held], pa.list_(pa.bool_())),
+                 pa.array([lengths], pa.list_(pa.int32())), pa.array([pa.compress(x.tobytes(), "zstd", asbytes=True)], pa.binary()),
+                 pa.array([[words[i] for i in order]], pa.list_(pa.binary())), pa.array([n.tolist()], pa.list_(pa.int32()))],
+                names=["chunk", "ids", "held", "lengths", "tokens", "words", "n"])
+            made += 1
+            size = 0
+            for c in (ids, held, lengths, at):
+                c.clear()
+            del flat[:]
+            return b
 
+        for b in batches:
+            for i, out, text in zip(*(c.to_pylist() for c in b.columns)):
+                words = tokens(text)
+                for w in set(words).difference(at):
+                    at[w] = len(at)
+                flat.extend(map(at.__getitem__, words))
+                ids.append(i)
+                held.append(out)
+                lengths.append(len(words))
+                size += len(text or "") + 16
+                if size >= chunk_bytes:
+                    yield chunk()
+        if ids:
+            yield chunk()
+
+    return rows.select("id", "held_out", "text").mapInArrow(work, PACKED)
+
+
+def _unpacked(r: pd.Series) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(word numbers, words of each text, held out) of a chunk."""
+    length = np.asarray(r["lengths"], np.int64)
+    x = pa.decompress(bytes(r["tokens"]), int(length.sum()) * 4, "zstd", asbytes=True)
+    return np.frombuffer(x, np.uint32).astype(np.int64), length, np.asarray(r["held"], bool)
+
+
+def _with_ends(x: np.ndarray, length: np.ndarray, end: int) -> np.ndarray:
+    """Word numbers with an end after each text."""
+    out = np.full(len(x) + len(length), end, np.int64)
+    out[np.arange(len(x)) + np.repeat(np.arange(len(length)), length)] = x
+    return out
 
-def _bigrams(rows: DataFrame, frequent: dict[bytes, int], endings: int) -> np.ndarray:
+
+def _bigrams(packed: DataFrame, frequent: dict[bytes, int], endings: int) -> np.ndarray:
     """Counts [before, after] of symbols over all training texts; the last
     symbol is the end, which also stands before the first word."""
-    shared = rows.sparkSession.sparkContext.broadcast(frequent)     # FREQUENT words at most
+    shared = packed.sparkSession.sparkContext.broadcast(frequent)     # FREQUENT words at most
     size = len(frequent) + endings + 1
 
     def count(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        symbol, known = symbol_of(shared.value, endings), {}
+        symbol = symbol_of(shared.value, endings)
         total = np.zeros(size * size, np.int64)
-        waiting: list[int] = []
-
-        def add() -> None:
-            nonlocal total
-            x = np.array(waiting, np.int64)
-            total += np.bincount(x[:-1] * size + x[1:], minlength=size * size)
-            waiting[:] = waiting[-1:]
-
         for f in frames:
-            for text in f["text"]:
-                words = tokens(text)
-                for w in set(words).difference(known):
-                    known[w] = symbol(w)
-                if not waiting:
-                    waiting.append(size - 1)
-                waiting += map(known.__getitem__, words)
-                waiting.append(size - 1)                 # the end, and the place before the next text
-                if len(waiting) > 500_000:
-                    add()
-                    if len(known) > 500_000:
-                        known.clear()
-        if waiting:
-            add()
-            m = total.reshape(size, size)
-            some = np.flatnonzero(m.any(1))
-            yield pd.DataFrame({"before": some.astype(np.int32), "counts": [m[i].astype(np.int64).tobytes() for i in some]})
+            for _, r in f.iterrows():
+                x, length, held = _unpacked(r)
+                own = np.fromiter(map(symbol, r["words"]), np.int64, len(r["words"]))
+                now = _with_ends(own[x[~np.repeat(held, length)]], length[~held], size - 1)
+                before = np.concatenate([[size - 1], now])[:-1]
+                total += np.bincount(before * size + now, minlength=size * size)
+        m = total.reshape(size, size)
+        some = np.flatnonzero(m.any(1))
+        yield pd.DataFrame({"before": some.astype(np.int32), "counts": [m[i].tobytes() for i in some]})
 
     def summed(f: pd.DataFrame) -> pd.DataFrame:
         total = sum(np.frombuffer(x, np.int64) for x in f["counts"])
         return pd.DataFrame({"before": f["before"].iloc[:1], "counts": [total.tobytes()]})
 
     out = np.zeros((size, size))
-    parts = rows.where(~F.col("held_out")).select("text").mapInPandas(count, "before int, counts binary")
-    # a first sum of few tasks' rows at a time, then one row for each symbol: never more than tasks / 16 rows in a group
+    parts = packed.select("held", "lengths", "tokens", "words").mapInPandas(count, "before int, counts binary")
+    # a first sum of some tasks' rows, then one row for each symbol: no group holds the rows of all tasks
     parts = parts.withColumn("part", F.pmod(F.xxhash64("counts"), F.lit(16)).cast("int")) \
         .groupBy("before", "part").applyInPandas(summed, "before int, counts binary") \
         .groupBy("before").applyInPandas(summed, "before int, counts binary")
@@ -182,90 +219,87 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", held_
     """Per row: id, held_out, n_tokens, n_known, train_tokens, base_score, score,
     perplexity (of the score), after learning from the rows that are not held out."""
     spark = docs.sparkSession
-    base = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), F.col(held_col).alias("held_out"))
-    size = base.agg(F.sum(F.octet_length("text")).alias("bytes"), F.count(F.lit(1)).alias("rows"),
-                    F.sum((~F.col("held_out")).cast("long")).alias("train")).first()
-    chunks = max(1, math.ceil(((size["bytes"] or 0) + 16 * size["rows"]) / chunk_bytes))
-    n_docs = size["train"] or 0
-    rows = base.withColumn("chunk", F.pmod(F.xxhash64("id", "text"), F.lit(chunks)).cast("int"))
-    path = scratch_path(spark, "vocabulary")
-    rows.groupBy("chunk").applyInPandas(_vocabulary, "chunk int, at int, word binary, n long").write.parquet(path)
-    vocabulary = spark.read.parquet(path)
-    counts = vocabulary.where(F.col("n") > 0).groupBy("word").agg(F.sum("n").alias("c"))
-    sums = counts.agg(F.sum("c").alias("n"), F.count(F.lit(1)).alias("v"), F.sum((F.col("c") == 1).cast("long")).alias("n1"),
-                      F.sum((F.col("c") == 2).cast("long")).alias("n2")).first()
-    total = (sums["n"] or 0) + n_docs                      # the ends are tokens
-    types = sums["v"] + (1 if n_docs else 0)
+    path = scratch_path(spark, "packed")
+    pack(docs.select(F.col(id_col).cast("long").alias("id"), F.col(held_col).alias("held_out"), F.col(text_col).alias("text")),
+         chunk_bytes).write.parquet(path)
+    packed = spark.read.parquet(path)
+    vocabulary = packed.select("chunk", F.posexplode_outer(F.arrays_zip("words", "n")).alias("at", "x")).where(F.col("at").isNotNull()) \
+        .select("chunk", "at", F.col("x.words").alias("word"), F.col("x.n").alias("n"))
+    path = scratch_path(spark, "counts")
+    vocabulary.where(F.col("n") > 0).groupBy("word").agg(F.sum("n").alias("c")).write.parquet(path)
+    counts = spark.read.parquet(path)
+    # words, sums and rare words by ending: endings rows
+    ending = F.pmod(F.crc32(F.substring("word", -3, 3)), F.lit(endings)).cast("int")
+    by_ending = counts.groupBy(ending.alias("e")).agg(
+        F.count(F.lit(1)).alias("v"), F.sum("c").alias("n"), F.sum((F.col("c") == 1).cast("long")).alias("n1"),
+        F.sum((F.col("c") == 2).cast("long")).alias("n2")).collect()
+    n_docs = packed.agg(F.sum(F.size(F.filter("held", lambda x: ~x)))).first()[0] or 0
+    total = sum(r["n"] for r in by_ending) + n_docs       # the ends are tokens
+    types = sum(r["v"] for r in by_ending) + (1 if n_docs else 0)
     top = {bytes(r["word"]): i for i, r in enumerate(counts.orderBy(F.desc("c"), "word").limit(frequent).collect())}
-    n1, n2 = sums["n1"] or 0, sums["n2"] or 0
+    n1, n2 = sum(r["n1"] for r in by_ending), sum(r["n2"] for r in by_ending)
     discount = min(0.95, max(0.05, n1 / (n1 + 2 * n2))) if n1 else 0.5
-    pairs = _bigrams(rows, top, endings)
+    pairs = _bigrams(packed, top, endings)
     own = exchange(pairs, classes)
     k = int(own.max()) + 1
     member = np.zeros((len(own), k))
     member[np.arange(len(own)), own] = 1
     trans = member.T @ pairs @ member
     per_class = trans.sum(0)
-    shared = spark.sparkContext.broadcast((top, own))
-
-    def classed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        frequent_words, cls = shared.value
-        symbol = symbol_of(frequent_words, endings)
-        for b in batches:
-            found = cls[np.fromiter((symbol(w) for w in b.column(0).to_pylist()), np.int64, len(b))]
-            yield pa.RecordBatch.from_arrays([pa.array(found.astype(np.int32))], names=["cls"])
-
-    class_types = np.zeros(k)
-    for r in counts.select("word").mapInArrow(classed, "cls int").groupBy("cls").count().collect():
-        class_types[r["cls"]] = r["count"]
-    if n_docs:
-        class_types[own[-1]] += 1
+    # different words of every class
+    symbol_types = np.zeros(len(own))
+    symbol_types[:len(top)] = 1
+    for r in by_ending:
+        symbol_types[len(top) + r["e"]] = r["v"]
+    for w in top:
+        symbol_types[len(top) + zlib.crc32(w[-3:]) % endings] -= 1
+    symbol_types[-1] = 1 if n_docs else 0
+    class_types = np.bincount(own, symbol_types, k)
     share = per_class / max(1.0, per_class.sum())
     log_trans = (trans + ALPHA * share) / (trans.sum(1, keepdims=True) + ALPHA)
+    # symbols, classes x classes numbers
     model = spark.sparkContext.broadcast((top, own, log_trans, per_class, class_types))
     end_class = int(own[-1])
     base_below = total + (types + 1)
 
     def work(d: pd.DataFrame, v: pd.DataFrame) -> pd.DataFrame:
         frequent_words, cls_of, move, n_class, t_class = model.value
-        if not len(d):
-            return pd.DataFrame()
-        every = [tokens(t) for t in d["text"]]
-        words = sorted(set().union(*every))                # as in the vocabulary of the chunk
-        at = {w: i for i, w in enumerate(words)}
-        c = np.zeros(len(words) + 1)
-        c[v["at"].to_numpy()] = v["c"].to_numpy()
-        c[-1] = n_docs
-        symbol = symbol_of(frequent_words, endings)
-        cls = np.empty(len(words) + 1, np.int64)
-        cls[:-1] = cls_of[np.fromiter(map(symbol, words), np.int64, len(words))]
-        cls[-1] = end_class
-        known = c > 0
-        size = np.maximum(n_class[cls], 1.0)
-        emit = np.where(known, c - discount, discount * t_class[cls]) / size
-        uni = np.where(known, c - discount, discount * types) / max(1, total)
-        flat = np.fromiter((i for ws in every for i in (*map(at.__getitem__, ws), len(words))), np.int64)
-        length = np.array([len(ws) + 1 for ws in every])
-        doc = np.repeat(np.arange(len(every)), length)
-        now = cls[flat]
-        before = np.roll(now, 1)                           # each text ends with the end, which stands before the next
-        before[0] = end_class
-        base10 = np.log10((c[flat] + 1) / base_below)
-        if total:
-            p = CLASS_SHARE * move[before, now] * emit[flat] + (1 - CLASS_SHARE) * uni[flat]
-            own10 = np.where(p > 0, np.log10(np.maximum(p, 1e-300)), base10)
-        else:
-            own10 = base10
-        out = pd.DataFrame({"id": d["id"], "held_out": d["held_out"]})
-        out["n_tokens"] = length
-        out["n_known"] = np.bincount(doc, known[flat], len(every)).astype(np.int64)
-        out["train_tokens"] = total
-        out["base_score"] = np.bincount(doc, base10, len(every))
-        out["score"] = np.bincount(doc, own10, len(every))
-        out["perplexity"] = np.power(10.0, -out["score"] / length)
-        return out
-
-    back = vocabulary.select("chunk", "at", "word").join(counts, "word").select("chunk", "at", F.col("c"))
-    return rows.groupBy("chunk").cogroup(back.groupBy("chunk")).applyInPandas(
+        out = []
+        for _, r in d.iterrows():                          # the one row of the chunk
+            x, length, _ = _unpacked(r)
+            words = len(r["words"])
+            c = np.empty(words + 1)
+            c[:-1] = r["n"]
+            c[v["at"].to_numpy()] = v["c"].to_numpy()      # words that other chunks hold too
+            c[-1] = n_docs
+            symbol = symbol_of(frequent_words, endings)
+            cls = np.empty(words + 1, np.int64)
+            cls[:-1] = cls_of[np.fromiter(map(symbol, r["words"]), np.int64, words)]
+            cls[-1] = end_class
+            known = c > 0
+            size = np.maximum(n_class[cls], 1.0)
+            emit = np.where(known, c - discount, discount * t_class[cls]) / size
+            uni = np.where(known, c - discount, discount * types) / max(1, total)
+            flat = _with_ends(x, length, words)
+            doc = np.repeat(np.arange(len(length)), length + 1)
+            now = cls[flat]
+            before = np.concatenate([[end_class], now])[:-1]       # each text ends with the end, which stands before the next
+            base10 = np.log10((c + 1) / base_below)[flat]
+            if total:
+                p = CLASS_SHARE * move[before, now] * emit[flat] + (1 - CLASS_SHARE) * uni[flat]
+                own10 = np.where(p > 0, np.log10(np.maximum(p, 1e-300)), base10)
+            else:
+                own10 = base10
+            f = pd.DataFrame({"id": pd.array(r["ids"], "Int64"), "held_out": r["held"], "n_tokens": length + 1})
+            f["n_known"] = np.bincount(doc, known[flat], len(length)).astype(np.int64)
+            f["train_tokens"] = total
+            f["base_score"] = np.bincount(doc, base10, len(length))
+            f["score"] = np.bincount(doc, own10, len(length))
+            f["perplexity"] = np.power(10.0, -f["score"] / f["n_tokens"])
+            out.append(f)
+        return pd.concat(out) if out else pd.DataFrame()
+
+    back = vocabulary.join(counts, "word").where(F.col("c") != F.col("n")).select(F.col("chunk").alias("own"), "at", "c")
+    return packed.groupBy("chunk").cogroup(back.groupBy("own")).applyInPandas(
         work, "id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, perplexity double") \
         .withColumnRenamed("id", id_col)
