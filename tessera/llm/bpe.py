@@ -35,7 +35,8 @@ from tessera.llm.common import without
 #: Fixed value: the split pattern of byte-level tokenizers.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
-PIECE_CACHE = 200_000      # distinct pieces remembered by one worker before the cache starts anew
+KNOWN_PAIRS = 1_000_000    # tested token pairs remembered by one worker
+PIECE_CACHE = 600_000      # distinct pieces remembered by one worker before the cache starts anew
 CACHED_PIECE = 64          # longer pieces are not remembered
 
 
@@ -84,7 +85,8 @@ class BytePairModel:
             self.pairs.setdefault((x, y), r)
             if self.rank[made] < 0:
                 self.rank[made], self.left[made], self.right[made] = r, x, y
-        self._known: dict[tuple[int, int], bool] = {}
+        self.size, self.lengths = size, [len(x) for x in self.bytes]
+        self._known: dict[int, bool] = {}
         # a token takes part only if merging its own bytes gives it back
         whole = [False] * size
         for i in sorted(raw.values(), key=self.rank.__getitem__):
@@ -94,7 +96,7 @@ class BytePairModel:
         self.automaton = ahocorasick.Automaton()
         for text, i in raw.items():
             if whole[i]:
-                self.automaton.add_word(text, (i, len(text)))
+                self.automaton.add_word(text, i)
         self.automaton.make_automaton()
         self.split = regex.compile(PATTERN).findall
         self.cut = regex.compile("(" + "|".join(map(regex.escape, sorted(self.added, key=len, reverse=True))) + ")") \
@@ -118,27 +120,40 @@ class BytePairModel:
             else:
                 b_until, b = rank[b], self.left[b]
 
+    def _test(self, key: int) -> bool:
+        """Whether the pair of tokens with the number a * size + b is compatible, remembered."""
+        if len(self._known) > KNOWN_PAIRS:
+            self._known.clear()
+        fits = self._known[key] = not self._border_merges(*divmod(key, self.size))
+        return fits
+
     def compatible(self, a: int, b: int) -> bool:
-        known = self._known.get((a, b))
-        if known is None:
-            if len(self._known) > 1_000_000:
-                self._known.clear()
-            known = self._known[a, b] = not self._border_merges(a, b)
-        return known
+        key = a * self.size + b
+        return self._known.get(key, False) or self._test(key)
 
     def encode_piece(self, piece: str) -> tuple[int, ...]:
-        text = piece.encode("utf-8", "replace").decode("latin-1")
-        last: list[int] = [-1] * (len(text) + 1)       # the last token of every prefix
-        length = [0] * (len(text) + 1)
-        for end, (token, n) in self.automaton.iter(text):
-            end += 1
-            if last[end] < 0 and (end == n or self.compatible(last[end - n], token)):
-                last[end], length[end] = token, n
-        ids, at = [], len(text)
-        while at:
-            ids.append(last[at])
-            at -= length[at]
-        return tuple(reversed(ids))
+        text = piece if piece.isascii() else piece.encode("utf-8", "replace").decode("latin-1")
+        last: list[int] = [-1] * len(text)             # the last token of every prefix, by its last place
+        size, known, lengths = self.size, self._known, self.lengths
+        for end, token in self.automaton.iter(text):   # at each place the longest match first
+            if last[end] < 0:
+                before = end - lengths[token]
+                if before < 0:
+                    last[end] = token
+                else:
+                    key = last[before] * size + token
+                    fits = known.get(key)
+                    if fits is None:
+                        fits = self._test(key)
+                    if fits:
+                        last[end] = token
+        ids, at = [], len(text) - 1
+        while at >= 0:
+            token = last[at]
+            ids.append(token)
+            at -= lengths[token]
+        ids.reverse()
+        return tuple(ids)
 
     def encode(self, text: str) -> list[int]:
         ids: list[int] = []
