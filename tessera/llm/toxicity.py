@@ -24,7 +24,8 @@ from __future__ import annotations
 import re
 from collections import Counter
 from collections.abc import Iterator
-from functools import cache
+from functools import lru_cache
+from math import log
 
 import numpy as np
 import pandas as pd
@@ -239,24 +240,24 @@ def _step(p: dict, own: dict[str, int], batch: list[list[str]], y: np.ndarray, r
 def _evidence(texts: list[list[list[str]]], y: np.ndarray) -> dict[str, float]:
     """Log-odds of words for the label by the texts that hold them, a word's
     own or those of its strongest character 4- or 5-gram."""
-    @cache
+    @lru_cache(50_000)
     def grams(w: str) -> tuple[str, ...]:
         x = f"^{w}$"
         return (x, *(x[i:i + n] for n in (4, 5) for i in range(len(x) - n + 1)))
 
-    seen: dict[str, np.ndarray] = {}
+    clean, marked = Counter(), Counter()
     all_words: set[str] = set()
     for x, label in zip(texts, y):
         words = set().union(*x)
         all_words |= words
-        for k in set().union(*map(grams, words)) if words else ():
-            seen.setdefault(k, np.zeros(2))[int(label)] += 1
-    n = np.array([max(1, (y == 0).sum()), max(1, (y == 1).sum())])
-    odds = {k: float(np.log((c[1] + 0.3) / n[1]) - np.log((c[0] + 0.3) / n[0])) for k, c in seen.items() if c.sum() >= 5}
+        (marked if label else clean).update(set().union(*map(grams, words)) if words else ())
+    n0, n1 = max(1, int((y == 0).sum())), max(1, int((y == 1).sum()))
+    odds = {k: log((marked[k] + 0.3) / n1) - log((clean[k] + 0.3) / n0) for k in {*marked, *(k for k, n in clean.items() if n >= 5)}
+            if marked[k] + clean[k] >= 5}
     return {w: max((odds[k] for k in grams(w) if k in odds), default=0.0) for w in all_words}
 
 
-def fit(texts: list[list[list[str]]], y: np.ndarray, rounds: int = 4, batch: int = 96, steps: int = 45, rate: float = 0.01, seed: int = 7) -> dict:
+def fit(texts: list[list[list[str]]], y: np.ndarray, rounds: int = 7, batch: int = 96, steps: int = 26, rate: float = 0.01, seed: int = 7) -> dict:
     """Weights from texts (lists of windows of words) and their labels."""
     rng = np.random.default_rng(seed)
     df = Counter(w for x in texts for w in set().union(*x))
@@ -266,6 +267,7 @@ def fit(texts: list[list[list[str]]], y: np.ndarray, rounds: int = 4, batch: int
     p = {k: a.astype(np.float32) for k, a in p.items()}
     odds = _evidence(texts, y)
     best = [int(np.argmax([sum(sorted((odds[w] for w in x), reverse=True)[:3]) for x in t])) for t in texts]
+    mean = None
     m, v, step = {k: np.zeros_like(a) for k, a in p.items()}, {k: np.zeros_like(a) for k, a in p.items()}, 0
     flat = [x for t in texts for x in t]
     first = np.cumsum([0, *map(len, texts)])
@@ -282,19 +284,21 @@ def fit(texts: list[list[list[str]]], y: np.ndarray, rounds: int = 4, batch: int
         while len(rows) < steps * batch:                   # a small sample is read more than once in a round
             rows += [(t[i], label) for t, i, label in zip(texts, best, y)]
             rows += [(t[int(rng.integers(len(t)))], 0.0) for t, label in zip(texts, y) if not label and rng.random() < 0.4]
-        order = rng.permutation(len(rows))[:max(steps * batch, len(texts))]
+        order = rng.permutation(len(rows))[:steps * batch]
         for i in range(0, len(order), batch):
             part = [rows[j] for j in order[i:i + batch]]
             _, g = _step(p, own, [x for x, _ in part], np.array([label for _, label in part], float), rng)
             step += 1
             norm = np.sqrt(sum(float((a * a).sum()) for a in g.values()))
-            lr = rate * (0.3 if r >= rounds - 2 else 1.0)
+            lr = rate * min(1.0, 1.1 - r / rounds)
             for k, a in g.items():
                 a = a * min(1.0, 5.0 / max(norm, 1e-9))
                 m[k] = 0.9 * m[k] + 0.1 * a
                 v[k] = 0.999 * v[k] + 0.001 * a * a
                 p[k] = (p[k] - lr * (m[k] / (1 - 0.9 ** step)) / (np.sqrt(v[k] / (1 - 0.999 ** step)) + 1e-8)).astype(np.float32)
-    return {"weights": p, "own": own}
+            if r >= rounds // 2:                           # the mean of the later steps varies less than the last one
+                mean = {k: a.copy() for k, a in p.items()} if mean is None else {k: 0.97 * mean[k] + 0.03 * a for k, a in p.items()}
+    return {"weights": {k: a.astype(np.float32) for k, a in (mean or p).items()}, "own": own}
 
 
 # ---------------------------------------------------------------- Spark
