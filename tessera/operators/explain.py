@@ -14,6 +14,7 @@ import re
 from pyspark.ml import Pipeline
 from pyspark.ml.classification import DecisionTreeClassifier, LogisticRegression
 from pyspark.ml.feature import OneHotEncoder, QuantileDiscretizer, VectorAssembler
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -28,55 +29,66 @@ TOP_TERMS = 15
 
 
 def explain_cluster(df: DataFrame, features: list[str], cluster: int, label_col: str = "Cluster",
-                    bins: int = 8, pairs: int = 0, seed: int = 42, train_fraction: float = 0.9) -> DataFrame:
-    """(term, importance, accuracy) for "row in ``cluster``" vs the rest."""
-    data = df.select(*[qcol(c).cast("double").alias(c) for c in features],
+                    bins: int = 8, pairs: int = 10, seed: int = 42, train_fraction: float = 0.9) -> DataFrame:
+    """(term, importance, accuracy) for "row in ``cluster``" vs the rest.
+
+    First a model of single features; then every pair of features is scored by
+    what its joint bins explain of that model's residuals, and the ``pairs``
+    strongest (a model parameter) become terms of the final model. One
+    aggregate scores all pairs, another weighs all terms."""
+    names = {c: f"c{i}" for i, c in enumerate(features)}
+    data = df.select(*[qcol(c).cast("double").alias(n) for c, n in names.items()],
                      (qcol(label_col) == F.lit(cluster)).cast("double").alias("_y")).na.drop()
-    stages, vec_cols = [], []
-    for c in features:
-        stages += [QuantileDiscretizer(inputCol=c, outputCol=f"_b_{c}", numBuckets=bins, handleInvalid="keep",
-                                       relativeError=0.0001),
-                   OneHotEncoder(inputCol=f"_b_{c}", outputCol=f"_o_{c}", dropLast=False, handleInvalid="keep")]
-        vec_cols.append(f"_o_{c}")
-    pair_names = []
-    if pairs > 0 and len(features) > 1:
-        for i in range(len(features)):
-            for j in range(i + 1, len(features)):
-                pair_names.append((features[i], features[j]))
-        pair_names = pair_names[:pairs]
-    pipe = Pipeline(stages=stages)
     # split by a hash of the row, so that it is the same for any partitioning
-    held = F.pmod(F.xxhash64(*[qcol(c) for c in sorted(data.columns)], F.lit(seed)), F.lit(10_000)) >= int(round(10_000 * train_fraction))
-    train, test = data.where(~held), data.where(held)
-    binned_model = pipe.fit(train)
-    tr, te = binned_model.transform(train), binned_model.transform(test)
-    for a, b in pair_names:
-        name = f"_p_{a}__{b}"
-        expr = (F.col(f"_b_{a}") * F.lit(bins + 1) + F.col(f"_b_{b}"))
-        tr, te = tr.withColumn(name, expr), te.withColumn(name, expr)
-        enc = OneHotEncoder(inputCol=name, outputCol=f"_o{name}", dropLast=False, handleInvalid="keep").fit(tr)
-        tr, te = enc.transform(tr), enc.transform(te)
-        vec_cols.append(f"_o{name}")
-    asm = VectorAssembler(inputCols=vec_cols, outputCol="_x")
-    tr, te = asm.transform(tr), asm.transform(te)
-    lr = LogisticRegression(featuresCol="_x", labelCol="_y", regParam=0.01, elasticNetParam=0.0, maxIter=100)
-    model = lr.fit(tr)
-    acc_row = model.transform(te).agg(F.avg((F.col("prediction") == F.col("_y")).cast("double")).alias("a")).first()
-    accuracy = acc_row["a"]
-    coef = model.coefficients.toArray()
+    held = F.pmod(F.xxhash64(*data.columns, F.lit(seed)), F.lit(10_000)) >= int(round(10_000 * train_fraction))
+    data = data.withColumn("_held", held)
+    single = [QuantileDiscretizer(inputCol=n, outputCol=f"b_{n}", numBuckets=bins, handleInvalid="keep", relativeError=0.0001)
+              for n in names.values()]
+    data = Pipeline(stages=single).fit(data.where("NOT _held")).transform(data) \
+        .select("_y", "_held", *[F.col(f"b_{n}").cast("int").alias(f"t_{n}") for n in names.values()])
+    terms = {c: f"t_{n}" for c, n in names.items()}
+
+    def fitted(frame: DataFrame, columns: list[str]):
+        stages = []
+        for t in columns:
+            stages.append(OneHotEncoder(inputCol=t, outputCol=f"o_{t}", dropLast=False, handleInvalid="keep"))
+        stages.append(VectorAssembler(inputCols=[f"o_{t}" for t in columns], outputCol="_x"))
+        stages.append(LogisticRegression(featuresCol="_x", labelCol="_y", regParam=0.01, elasticNetParam=0.0, maxIter=100))
+        return Pipeline(stages=stages).fit(frame.where("NOT _held"))
+
+    both = [(a, b) for i, a in enumerate(features) for b in features[i + 1:]]
+    if pairs > 0 and both:
+        rest = fitted(data, list(terms.values())).transform(data.where("NOT _held")) \
+            .withColumn("_r", F.col("_y") - vector_to_array("probability")[1])
+
+        def joint(a: str, b: str):
+            return (F.col(terms[a]) * F.lit(bins + 1) + F.col(terms[b])).cast("int")
+
+        cells = rest.select("_r", F.posexplode(F.array(*[joint(a, b) for a, b in both])).alias("k", "cell")) \
+            .groupBy("k", "cell").agg(F.sum("_r").alias("s"), F.count(F.lit(1)).alias("n"))
+        strength = cells.groupBy("k").agg(F.sum(F.col("s") * F.col("s") / F.col("n")).alias("strength"))
+        best = [both[r["k"]] for r in strength.orderBy(F.desc("strength"), "k").limit(pairs).collect()]
+        for a, b in sorted(best, key=both.index):
+            name = f"t_{names[a]}_{names[b]}"
+            data = data.withColumn(name, joint(a, b))
+            terms[f"{a} & {b}"] = name
+    columns = list(terms.values())
+    model = fitted(data, columns)
+    accuracy = model.transform(data.where("_held")).agg(F.avg((F.col("prediction") == F.col("_y")).cast("double")).alias("a")).first()["a"]
+    coef = model.stages[-1].coefficients.toArray()
+    sizes = [stage.categorySizes[0] + 1 for stage in model.stages[:len(columns)]]       # one place for unseen cells
+    counts: dict[int, dict[int, int]] = {}
+    for r in data.where("NOT _held").select(F.posexplode(F.array(*columns)).alias("k", "cell")).groupBy("k", "cell").count().collect():
+        counts.setdefault(r["k"], {})[r["cell"]] = r["count"]              # terms x cells numbers
     # importance: mean |w_bin - mean_w| over the training rows, per term
-    sizes = [tr.select(c).first()[0].size for c in vec_cols]
-    offsets = [sum(sizes[:i]) for i in range(len(sizes))]
-    names = list(features) + [f"{a} & {b}" for a, b in pair_names]
-    bin_cols = [f"_b_{c}" for c in features] + [f"_p_{a}__{b}" for a, b in pair_names]
-    rows = []
-    for name, bc, off, size in zip(names, bin_cols, offsets, sizes):
-        w = coef[off:off + size]
-        counts = {int(r[0]): r[1] for r in tr.groupBy(bc).count().collect() if r[0] is not None}
-        total = sum(counts.values()) or 1
-        mean_w = sum(w[b] * n for b, n in counts.items() if b < size) / total
-        imp = sum(abs(w[b] - mean_w) * n for b, n in counts.items() if b < size) / total
-        rows.append((name, float(imp), float(accuracy) if accuracy is not None else None))
+    rows, at = [], 0
+    for k, term in enumerate(terms):
+        w, n = coef[at:at + sizes[k]], counts.get(k, {})
+        at += sizes[k]
+        total = sum(n.values()) or 1
+        mean = sum(w[c] * x for c, x in n.items()) / total
+        rows.append((term, float(sum(abs(w[c] - mean) * x for c, x in n.items()) / total),
+                     float(accuracy) if accuracy is not None else None))
     return df.sparkSession.createDataFrame(rows, "term string, importance double, accuracy double") \
         .orderBy(F.col("importance").desc(), "term")
 

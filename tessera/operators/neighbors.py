@@ -83,6 +83,13 @@ def _canonical(e: DataFrame) -> DataFrame:
         .where(F.col("a") != F.col("b")).distinct()
 
 
+def _fingerprint(e: DataFrame) -> tuple:
+    """Identifies a set of edges by its count and two mixes of their hashes:
+    one pass without a shuffle of the edges."""
+    h = F.xxhash64("a", "b")
+    return tuple(e.agg(F.count(F.lit(1)), F.expr("bit_xor(xxhash64(a, b))"), F.sum(F.pmod(h, F.lit(1 << 31)))).first())
+
+
 def connected_components(edges: DataFrame, vertices: DataFrame, max_rounds: int = 100) -> DataFrame:
     """(id, component) with component = smallest id reachable.
 
@@ -95,6 +102,7 @@ def connected_components(edges: DataFrame, vertices: DataFrame, max_rounds: int
     loss; no local checkpoints)."""
     e = cut_lineage(_canonical(edges.select(F.col("src").cast("long").alias("a"),
                                             F.col("dst").cast("long").alias("b"))))
+    seen = _fingerprint(e)
     for _ in range(max_rounds):
         both = e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
         # large star: every neighbour larger than u hooks to min(N(u) + u)
@@ -108,10 +116,11 @@ def connected_components(edges: DataFrame, vertices: DataFrame, max_rounds: int
         small = _canonical(lower.join(m_low, "u").select(F.col("v").alias("a"), F.col("m").alias("b"))
                            .unionByName(m_low.select(F.col("u").alias("a"), F.col("m").alias("b"))))
         small = cut_lineage(small)
-        changed = small.exceptAll(e).limit(1).count() + e.exceptAll(small).limit(1).count()
-        e = small
-        if changed == 0:
+        before, seen, e = seen, _fingerprint(small), small
+        if before == seen:
             break
+    else:
+        raise RuntimeError(f"no components after {max_rounds} rounds")
     # converged: stars (centre, member) with the centre the component minimum
     comp = e.select(F.col("b").alias("id"), F.col("a").alias("component")) \
         .unionByName(e.select(F.col("a").alias("id"), F.col("a").alias("component"))) \

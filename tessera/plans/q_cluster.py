@@ -53,12 +53,12 @@ def dbscan_embeddings_2d(spark, d):
 
 @register("agglomerative_embeddings", "K2")
 def agglomerative_embeddings(spark, d):
-    return K.agglomerative(emb(spark, d), "embedding", "vec_id", k=10, linkage="ward", micro=100)
+    return K.agglomerative(emb(spark, d), "embedding", "vec_id", k=10, linkage="ward")
 
 
 @register("agglomerative_single_embeddings", "K2")
 def agglomerative_single_embeddings(spark, d):
-    return K.agglomerative(emb(spark, d), "embedding", "vec_id", k=5, linkage="single", micro=100)
+    return K.agglomerative(emb(spark, d), "embedding", "vec_id", k=5, linkage="single")
 
 
 @register("spectral_embeddings", "K5")
@@ -69,7 +69,7 @@ def spectral_embeddings(spark, d):
 @register("kprototypes_customer", "K6")
 def kprototypes_customer(spark, d):
     c = table(spark, d, "customer")
-    return K.kprototypes(c, ["c_acctbal", "c_nationkey"], ["c_mktsegment"], "c_custkey", k=3, max_iter=5)
+    return K.kprototypes(c, ["c_acctbal", "c_nationkey"], ["c_mktsegment"], "c_custkey", k=3)
 
 
 @register("tune_kmeans_embeddings", "K8,K12,R14")

@@ -76,7 +76,7 @@ def color_size_points_embeddings(spark, d):
 
 @register("explain_cluster_embeddings", "X1,X2")
 def explain_cluster_embeddings(spark, d):
-    imp = X.explain_cluster(labelled(spark, d), FEATS, cluster=3, bins=8, pairs=2)
+    imp = X.explain_cluster(labelled(spark, d), FEATS, cluster=3, bins=8)
     return X.top_terms(imp, 15)
 
 
@@ -114,12 +114,12 @@ def pca_two_features(spark, d):
 
 @register("kernel_pca_embeddings", "D2")
 def kernel_pca_embeddings(spark, d):
-    return D.kernel_pca(table(spark, d, "embeddings"), "embedding", "vec_id", 2, kernel="rbf", landmarks=100)
+    return D.kernel_pca(table(spark, d, "embeddings"), "embedding", "vec_id", 2, kernel="rbf")
 
 
 @register("factor_analysis_embeddings", "D3")
 def factor_analysis_embeddings(spark, d):
-    w, cols = _emb_wide(spark, d)
+    w, cols = _emb_wide(spark, d, 64)
     return D.factor_analysis(w, cols, "vec_id", 2)
 
 
@@ -159,6 +159,28 @@ def lle_weights_embeddings(spark, d):
     return D.lle_weights(table(spark, d, "embeddings"), "embedding", "vec_id", k=10)
 
 
+@register("lle_weight_sums", "N4", "SELECT vec_id AS id, CAST(10 AS BIGINT) AS n, 1.0 AS total FROM embeddings")
+def lle_weight_sums(spark, d):
+    """Every point has ten weights that sum to one."""
+    w = D.lle_weights(table(spark, d, "embeddings"), "embedding", "vec_id", k=10)
+    return w.groupBy(F.col("i").alias("id")).agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("w"), 6).alias("total"))
+
+
+@register("fuzzy_weight_sums", "N2", "SELECT vec_id AS id, round(log2(15), 4) AS total FROM embeddings")
+def fuzzy_weight_sums(spark, d):
+    """The memberships of a point's 15 neighbours sum to log2(15)."""
+    nn = D.knn(table(spark, d, "embeddings"), "vec_id", "embedding", 15)
+    return D._fuzzy_weights(nn, 15).groupBy(F.col("i").alias("id")).agg(F.round(F.sum("w"), 4).alias("total"))
+
+
+@register("perplexity_entropies", "N3", "SELECT vec_id AS id, round(ln(30), 4) AS entropy FROM embeddings")
+def perplexity_entropies(spark, d):
+    """The affinities of a point have the entropy that the perplexity 30 asks for."""
+    nn = D.knn(table(spark, d, "embeddings"), "vec_id", "embedding", 91, "cityblock")
+    return D._perplexity_weights(nn, 30.0).groupBy(F.col("i").alias("id")) \
+        .agg(F.round(-F.sum(F.when(F.col("w") > 0, F.col("w") * F.ln("w")).otherwise(0.0)), 4).alias("entropy"))
+
+
 @register("lle_layout_embeddings", "D5,N4")
 def lle_layout_embeddings(spark, d):
     return D.lle_layout(table(spark, d, "embeddings"), "embedding", "vec_id", 2, k=10)
@@ -166,4 +188,4 @@ def lle_layout_embeddings(spark, d):
 
 @register("isomap_embeddings", "D4")
 def isomap_embeddings(spark, d):
-    return D.isomap(table(spark, d, "embeddings"), "embedding", "vec_id", 2, k=5, landmarks=30)
+    return D.isomap(table(spark, d, "embeddings"), "embedding", "vec_id", 2, k=5)
