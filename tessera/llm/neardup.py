@@ -31,6 +31,7 @@ import re
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
@@ -244,20 +245,25 @@ def _rest(members: DataFrame, elements: DataFrame, least: float, block: int) ->
     rows = everyone.select("bucket", "x", "y", "id", "comp", "open").unionByName(opened.select("bucket", "x", "y", "id", "comp", "open"))
     rows = rows.join(elements, "id")
 
-    def work(f):
-        import pandas as pd
-        comp = f["comp"].to_numpy()
-        ids, is_open = f["id"].to_numpy(), f["open"].to_numpy()
+    def work(f: pd.DataFrame) -> pd.DataFrame:
+        comp, ids, is_open = f["comp"].to_numpy(), f["id"].to_numpy(), f["open"].to_numpy()
         e = [np.frombuffer(x, np.uint64) for x in f["elements"]]
         n = np.array([len(x) for x in e])
         other = np.flatnonzero(~is_open)
         out = []
-        for i in np.flatnonzero(is_open):
-            done = {comp[i]}
-            for j in other:
-                if comp[j] not in done and min(n[i], n[j]) >= least * max(n[i], n[j]) and similarity(e[i], e[j]) >= least:
-                    out.append((ids[i], ids[j]))
-                    done.add(comp[j])                  # one link to a component is enough
+        if len(other) and is_open.any():
+            # postings: the members that hold each element, so that one count gives all overlaps of a member
+            flat, who = np.concatenate([e[j] for j in other]), np.repeat(np.arange(len(other)), n[other])
+            order = np.argsort(flat, kind="stable")
+            flat, who = flat[order], who[order]
+            for i in np.flatnonzero(is_open):
+                start, end = np.searchsorted(flat, e[i], "left"), np.searchsorted(flat, e[i], "right")
+                some = end > start
+                held = np.concatenate([who[a:b] for a, b in zip(start[some], end[some])]) if some.any() else who[:0]
+                both = np.bincount(held, minlength=len(other))
+                near = np.flatnonzero((both >= least * (n[i] + n[other] - both)) & (comp[other] != comp[i]))
+                _, first = np.unique(comp[other[near]], return_index=True)        # one link to a component is enough
+                out += [(ids[i], ids[j]) for j in other[near[first]]]
         return pd.DataFrame(out, columns=["src", "dst"], dtype="int64")
 
     return rows.groupBy("bucket", "x", "y").applyInPandas(work, "src long, dst long").distinct()
@@ -288,7 +294,12 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", siz
     several = members.groupBy("bucket").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1")).where(F.col("c0") < F.col("c1"))
     left = _written(_rest(members.join(several.select("bucket"), "bucket", "left_semi"), elements, least, block), "rest")
     if left.limit(1).count():
-        comp = connected_components(links.unionByName(left), some).select("id", F.col("component").alias("comp"))
+        # links between components: a small graph whose vertices are components
+        a, b = comp.select(F.col("id").alias("src"), F.col("comp").alias("ca")), comp.select(F.col("id").alias("dst"), F.col("comp").alias("cb"))
+        between = left.join(a, "src").join(b, "dst").select(F.col("ca").alias("src"), F.col("cb").alias("dst")).distinct()
+        ends = between.select(F.col("src").alias("id")).union(between.select("dst")).distinct()
+        joined = connected_components(between, ends).select(F.col("id").alias("comp"), F.col("component").alias("to"))
+        comp = comp.join(joined, "comp", "left").select("id", F.coalesce("to", "comp").alias("comp"))
     reps = full.select("id", "digest").join(same.select("digest", "rep"), "digest").groupBy("id").agg(F.min("rep").alias("rep"))
     found = reps.join(comp.select(F.col("id").alias("rep"), "comp"), "rep", "left") \
         .select("id", F.coalesce("comp", "rep").alias("class_id"))
