@@ -36,12 +36,17 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tessera.llm.common import free_name, without
+from tessera.session import scratch_path
 
 LEADING = 2
 PARTS = 4
 MIN_WORDS = 4
 MIN_VARIABLE = 12
 MIN_DOCS = 2
+_ALL, _ODD, _ANY = (1 << 64) - 1, 0x9E3779B97F4A7C15, 0x94D049BB133111EB
+#: An odd factor for each level of the tree.
+_PLACES = [pow(_ODD, 2 * i + 1, 1 << 64) for i in range(PARTS + 1)]
+_DIGIT = re.compile(r"\d")
 _VARIABLE = re.compile(r"\S*\d\S*")
 _hash = xxhash.xxh3_64_intdigest
 
@@ -50,24 +55,34 @@ def _signed(h: int) -> int:
     return h - (1 << 64) if h >> 63 else h
 
 
+def _finish(x: int) -> int:
+    """Spreads the sum of the levels' hashes over all bits."""
+    x &= _ALL
+    x = (x ^ x >> 32) * 0xD6E8FEB86659FD93 & _ALL
+    return x ^ x >> 32
+
+
 def line_hash(line: str) -> int:
     return _signed(_hash(line.strip().encode("utf-8", "replace")))
 
 
 def paths(line: str, min_words: int = MIN_WORDS, min_variable: int = MIN_VARIABLE) -> list[int]:
     """Hashes of the templates at which a line arrives (none: the line is too short)."""
-    words = _VARIABLE.sub("<*>", line).split()
+    words = (_VARIABLE.sub("<*>", line) if _DIGIT.search(line) else line).split()
     n = len(words)
     if n < min_words:
         return []
     lead, rest = words[:LEADING], words[LEADING:]
     cut = [len(rest) * i // PARTS for i in range(PARTS + 1)]
-    parts = [" ".join(rest[a:b]) for a, b in zip(cut, cut[1:])]
-    root = f"{n} {' '.join(lead)}"
-    ends = ["\n".join([root, *parts])]
+    # a hash for each level, then one for each path of levels; the root's level holds the number of words
+    own = [_hash(" ".join(x).encode("utf-8", "replace")) for x in (lead, *(rest[a:b] for a, b in zip(cut, cut[1:])))]
+    own[0] = (own[0] * _ODD + n) & _ALL
+    step = [x * p & _ALL for x, p in zip(own, _PLACES)]
+    whole = sum(step)
+    ends = [_signed(_finish(whole))]
     if n >= min_variable:
-        ends += ["\n".join([root, *parts[:i], "<*>", *parts[i + 1:]]) for i in range(PARTS)]
-    return [_signed(_hash(e.encode("utf-8", "replace"))) for e in ends]
+        ends += [_signed(_finish(whole - step[i] + _PLACES[i] * _ANY)) for i in range(1, PARTS + 1)]
+    return ends
 
 
 def template(line: str) -> str:
@@ -91,9 +106,13 @@ def recurring_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                             path += ends
                 yield pd.DataFrame({"path": path, "doc": doc, "line": line}, dtype="int64")
 
+    # written once: it is both summed up and joined
     rows = docs.where(F.col(id_col).isNotNull() & F.col(text_col).isNotNull()) \
         .select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("text")) \
         .mapInPandas(walk, "path long, doc long, line long")
+    path = scratch_path(docs.sparkSession, "line_paths")
+    rows.write.parquet(path)
+    rows = docs.sparkSession.read.parquet(path)
     if min_docs > 2:
         shared = rows.groupBy("path").agg(F.min("doc").alias("first"), F.count_distinct("doc").alias("n")) \
             .where(F.col("n") >= min_docs).select("path", "first")
