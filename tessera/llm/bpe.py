@@ -30,13 +30,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessera.llm.common import without
+from tessera.llm.common import release_memory, without
 
 #: Fixed value: the split pattern of byte-level tokenizers.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
-KNOWN_PAIRS = 1_000_000    # tested token pairs remembered by one worker
-PIECE_CACHE = 600_000      # distinct pieces remembered by one worker before the cache starts anew
+KNOWN_PAIRS = 300_000    # tested token pairs remembered by one worker
+PIECE_CACHE = 150_000      # distinct pieces remembered by one worker before the cache starts anew
 CACHED_PIECE = 64          # longer pieces are not remembered
 
 
@@ -178,17 +178,6 @@ class BytePairModel:
         return b"".join(map(self.bytes.__getitem__, ids)).decode("utf-8", "replace")
 
 
-_MODELS: dict[int, BytePairModel] = {}
-
-
-def _model(tokenizer_json: str) -> BytePairModel:
-    key = hash(tokenizer_json)
-    if key not in _MODELS:
-        _MODELS.clear()
-        _MODELS[key] = BytePairModel(tokenizer_json)
-    return _MODELS[key]
-
-
 def _read(path: str) -> str:
     with open(path, encoding="utf-8") as f:
         return f.read()
@@ -199,7 +188,7 @@ def encode(df: DataFrame, path: str, text_col: str = "text", out: str = "ids", d
     ``decoded`` names a column, the text that the ids decode to.
 
     The driver reads the tokenizer file (its size is that of a vocabulary, not
-    of the data) and broadcasts its text; each worker builds the automaton
+    of the data) and broadcasts its text; each task builds the automaton
     once."""
     df = without(df, out, *([decoded] if decoded else []))
     spec = df.sparkSession.sparkContext.broadcast(_read(path))
@@ -209,7 +198,7 @@ def encode(df: DataFrame, path: str, text_col: str = "text", out: str = "ids", d
         fields.append(T.StructField(decoded, T.StringType(), False))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = _model(spec.value)
+        model = BytePairModel(spec.value)                  # a third of a second a task; gone with it
         for batch in batches:
             ids = [np.asarray(model.encode(t or ""), dtype=np.int32) for t in batch.column(at).to_pylist()]
             offsets = np.zeros(len(ids) + 1, np.int32)
@@ -219,6 +208,8 @@ def encode(df: DataFrame, path: str, text_col: str = "text", out: str = "ids", d
             if decoded:
                 arrays.append(pa.array([model.decode(x.tolist()) for x in ids], pa.string()))
             yield pa.RecordBatch.from_arrays(arrays, names=[f.name for f in fields])
+        del model
+        release_memory()
 
     return df.mapInArrow(work, T.StructType(fields))
 
@@ -232,7 +223,7 @@ def decode(df: DataFrame, path: str, ids_col: str = "ids", out: str = "decoded")
     fields = [*df.schema.fields, T.StructField(out, T.StringType(), False)]
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = _model(spec.value)
+        model = BytePairModel(spec.value)
         for batch in batches:
             text = [model.decode(x or []) for x in batch.column(at).to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(text, pa.string())], names=[f.name for f in fields])

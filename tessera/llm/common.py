@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -33,6 +37,17 @@ def row_key(id_col: str, text_col: str) -> list[Column]:
             F.length(F.col(text_col)).alias("_tl")]
 
 
+def release_memory() -> None:
+    """Give freed memory back to the system at the end of a task: Spark keeps
+    Python workers for later tasks, of other operators too."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):                      # only glibc has it
+        pass
+
+
 def free_name(df: DataFrame, base: str) -> str:
     """A column name that ``df`` doesn't have."""
     while base.lower() in map(str.lower, df.columns):

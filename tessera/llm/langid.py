@@ -29,14 +29,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessera.llm.common import without
+from tessera.llm.common import release_memory, without
 
 BUCKETS = 1 << 17
 LONGEST_GRAM = 4
 TRAIN_ROWS = 2000
 SWITCH = 12.0                  # log-probability that a change of language has to gain
-WORDS_AT_ONCE = 4_000_000      # words labelled together by one worker
-WORD_CACHE = 400_000           # distinct words remembered by one worker before the cache starts anew
+WORDS_AT_ONCE = 1_000_000      # words labelled together by one worker
+WORD_CACHE = 200_000           # distinct words remembered by one worker before the cache starts anew
 
 SPANS = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("lang", pa.string())]))
 
@@ -120,7 +120,7 @@ def viterbi(scores: np.ndarray, lengths: np.ndarray, switch: float) -> np.ndarra
     """Best state of every word; ``scores`` holds the texts one after another.
     All texts advance together, one word a step."""
     n, k = scores.shape
-    states = np.zeros(n, np.int64)
+    states = np.zeros(n, np.int16)
     order = np.argsort(-lengths, kind="stable")
     lengths, starts = lengths[order], (np.cumsum(lengths) - lengths)[order]
     live = np.searchsorted(-lengths, -np.arange(1, (lengths[0] if len(lengths) else 0) + 1), "right")
@@ -182,8 +182,8 @@ def identify(docs: DataFrame, model: dict, text_col: str = "text", switch: float
                 for w in set(words).difference(known):
                     known[w] = len(known)
                     fresh.append(w)
-                rows.append((np.fromiter(map(known.__getitem__, words), np.int64, len(words)),
-                             np.fromiter(map(len, words), np.int64, len(words))))
+                rows.append((np.fromiter(map(known.__getitem__, words), np.int32, len(words)),
+                             np.fromiter(map(len, words), np.int32, len(words))))
                 size += len(words)
                 if size >= WORDS_AT_ONCE or i + 1 == len(texts):
                     n = np.array([len(x) for x, _ in rows])
@@ -211,5 +211,7 @@ def identify(docs: DataFrame, model: dict, text_col: str = "text", switch: float
                     if len(known) > WORD_CACHE:
                         known.clear()
                         table = table[:0]
+        del known, table
+        release_memory()
 
     return docs.select(*read).mapInArrow(work, schema)

@@ -37,6 +37,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessera.llm.common import release_memory
 from tessera.operators.neighbors import connected_components
 from tessera.session import scratch_path
 
@@ -45,7 +46,7 @@ SIMILARITY = 0.8
 BANDS, ROWS = 16, 4
 BLOCK = 512                     # members compared with as many others in a group of the exact second round
 WORDS_AT_ONCE = 1_000_000       # words hashed together by one worker
-WORD_CACHE = 500_000
+WORD_CACHE = 200_000
 
 _words = re.compile(r"\w+").findall
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
@@ -194,6 +195,8 @@ def sketch(docs: DataFrame, size: int, bands: int, rows: int) -> DataFrame:
                 [batch.column(0), pa.array(np.bincount(doc, minlength=len(texts))), pa.array(digest, pa.binary()),
                  pa.ListArray.from_arrays(pa.array(np.arange(len(texts) + 1, dtype=np.int32) * bands), pa.array(found.ravel()))],
                 names=["id", "n", "digest", "bands"])
+        del shingler
+        release_memory()
 
     return docs.mapInArrow(work, "id long, n long, digest binary, bands array<long>")
 
@@ -208,6 +211,8 @@ def sets(docs: DataFrame, size: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array([as_set(shingle[a:b]).tobytes() for a, b in zip(cut, cut[1:])], pa.binary())],
                 names=["id", "elements"])
+        del shingler
+        release_memory()
 
     return docs.mapInArrow(work, "id long, elements binary")
 

@@ -43,7 +43,7 @@ WORD_DIM, WORD_H = 10, 12
 OWN_WORD = 10                       # texts of the sample that must hold a word for it to get its own embedding
 LETTERS = 16
 WINDOWS_AT_ONCE = 4096
-WORD_CACHE = 300_000
+WORD_CACHE = 150_000
 _words = re.compile(r"[^\W\d_]{1,%d}" % LETTERS).findall
 
 
