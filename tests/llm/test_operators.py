@@ -2,6 +2,7 @@
 
 import hashlib
 import html
+import random
 import re
 import zlib
 from collections import Counter
@@ -214,6 +215,54 @@ def test_line_templates(spark):
     assert linededup.template("Order 17  was") == "Order <*> was"
 
 
+def test_line_dedup_by_words(spark):
+    """Short lines and variable words in lines of 4 to 11 words, against a comparison of words that doesn't call paths()."""
+    rng = random.Random(8)
+    few = ["All rights reserved.", "Menu", "Read more", "of the"]
+    some = ["Share this page with {}", "Click here to {} this", "Posted by {} on our community news board today", "a lone line {}"]
+    fill = ["friends", "family", "us", "now", "you"]
+    rows = []
+    for i in range(40):
+        text = [f"own{i} " + " ".join(rng.choice("abcdefgh") * 3 + str(i) for _ in range(rng.randrange(9)))]
+        text += [few[0]] if i % 2 else []
+        text += [few[1]] if i < 8 else []
+        text += [few[2]] if i < 7 else []
+        text += [rng.choice(some[:3]).format(rng.choice(fill)), few[3] if i == 20 else ""]
+        rows.append((i, "\n".join(text)))
+    rows.append((50, some[3].format("x")))
+
+    def split(line):
+        w = ["<*>" if any(c.isdigit() for c in x) else x for x in line.split()]
+        rest = w[2:]
+        at = [len(rest) * k // 4 for k in range(5)]
+        return w, [tuple(w[:2]), *(tuple(rest[a:b]) for a, b in zip(at, at[1:]))]
+
+    def meet(x, y):
+        (a, p), (b, q) = split(x), split(y)
+        if len(a) != len(b):
+            return False
+        if a == b:
+            return True
+        off = [k for k in range(5) if p[k] != q[k]]
+        # one part differs, and three words without a digit are left beside it
+        return len(a) >= 4 and len(off) == 1 and off[0] > 0 and \
+            (len(a) >= 12 or sum(w != "<*>" for k in range(5) if k != off[0] for w in p[k]) >= 3)
+
+    lines = [(i, x) for i, t in rows for x in t.split("\n") if x]
+    want = {}
+    for i, t in rows:
+        kept = []
+        for x in t.split("\n"):
+            near = {j for j, y in lines if x and meet(x, y)}
+            if not (x and min(near) < i and (len(near) >= 8 if len(x.split()) < 4 else len(near) >= 2)):
+                kept.append(x)
+        want[i] = "\n".join(kept)
+    got = {r["doc_id"]: r["text"] for r in linededup.dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == want
+    assert sum("All rights reserved." in t for t in got.values()) == 1 == sum("Menu" in t for t in got.values())
+    assert sum("Read more" in t for t in got.values()) == 7 and sum("Share this page" in t for t in got.values()) == 1
+
+
 # ------------------------------------------------------------------ 6
 def test_shard_law(spark, docs, odd, empty):
     for df in (docs, odd):
