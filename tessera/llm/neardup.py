@@ -9,9 +9,9 @@ shingle's weight. Two documents agree in a register with a probability equal
 to the Jaccard similarity of their multisets. Points come in order of time, so
 a process ends as soon as its next point is later than the latest register.
 
-Documents with equal texts are one class from the start and go on as their
-smallest id. Bands of the signature make buckets. First every member is compared
-with the smallest id of its bucket (one row per member, however large the bucket)
+Documents with equal texts are one class from the start and go on as one vertex,
+whatever their ids. Bands of the signature make buckets. First every member is compared
+with the smallest vertex of its bucket (one row per member, however large the bucket)
 and linked if the multisets' similarity reaches the threshold. Buckets that then
 still hold several components are finished exactly: every member outside of the
 bucket's largest component is compared with all members of other components, in
@@ -21,9 +21,11 @@ has been compared. Classes are the connected components of the links.
 A pair of similarity 0.8 shares none of the 16 bands of 4 with probability
 (1 - 0.8**4)**16 = 0.0002.
 
-Semantics: texts without a word (null, empty, marks only) are classes of their own, as
-are rows with a null id (class null); rows that repeat an id get that id's class once
-for each row, and different texts under one id are linked through it."""
+Semantics: rows with a null id take part by their text, and the class of texts that
+only such rows hold is null; texts without a word (null, empty, marks only) are like no
+other text, so that such rows are classes of their own id (null: of their own); rows that
+repeat an id get that id's class once for each row, and different texts under one id
+are linked through it, each being compared by its own bands and multiset."""
 
 from __future__ import annotations
 
@@ -183,16 +185,15 @@ def _batches(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
 
 
 def sketch(docs: DataFrame, size: int, bands: int, rows: int) -> DataFrame:
-    """(id, n, digest, bands) of the rows (id, text): shingles, hash of the text, band hashes."""
+    """(id, n, digest, bands) of the rows (id, text, digest): shingles and band hashes."""
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler = Shingler(size)
         for batch in (b for x in batches for b in _batches(x)):
             texts = [t or "" for t in batch.column(1).to_pylist()]
             shingle, doc = shingler(texts)
             found = band_hashes(signatures(shingle, doc, len(texts), bands * rows), bands, rows)
-            digest = [xxhash.xxh3_128_digest(t.encode("utf-8", "replace")) for t in texts]
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(np.bincount(doc, minlength=len(texts))), pa.array(digest, pa.binary()),
+                [batch.column(0), pa.array(np.bincount(doc, minlength=len(texts))), batch.column(2),
                  pa.ListArray.from_arrays(pa.array(np.arange(len(texts) + 1, dtype=np.int32) * bands), pa.array(found.ravel()))],
                 names=["id", "n", "digest", "bands"])
         del shingler
@@ -274,25 +275,42 @@ def _rest(members: DataFrame, elements: DataFrame, least: float, block: int) ->
     return rows.groupBy("bucket", "x", "y").applyInPandas(work, "src long, dst long").distinct()
 
 
-def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SHINGLE, least: float = SIMILARITY,
-            bands: int = BANDS, rows: int = ROWS, block: int = BLOCK) -> DataFrame:
-    """(id, class_id, n_shingles) per row: class_id is the smallest id of the class."""
-    base = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    seen = _written(sketch(base.where(F.col("id").isNotNull()), size, bands, rows), "sketch")
-    full = seen.where(F.col("n") > 0)
-    # equal texts go on as their smallest id; different texts under one id stay linked by it
-    same = full.groupBy("digest").agg(F.min("id").alias("rep"), F.first("n").alias("n"), F.first("bands").alias("bands"))
-    firsts = same.groupBy("rep").agg(F.max("n").alias("n"), F.flatten(F.collect_list("bands")).alias("bands"))
-    spread = firsts.select(F.col("rep").alias("id"), "n", F.explode(F.array_distinct("bands")).alias("bucket"))
+def _rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    text = F.col(text_col)
+    return docs.select(F.col(id_col).cast("long").alias("id"), text.alias("text"), F.unhex(F.md5(text.cast("binary"))).alias("digest"))
+
+
+def _graph(base: DataFrame, size: int, least: float, bands: int, rows: int, block: int) -> tuple[DataFrame, DataFrame]:
+    """The rows (id, digest, key, n) and the vertices (key, rep, comp) of the rows
+    (id, text, digest): the key is the digest of a text, or the id of a text
+    without a word; rep is the smallest id of a key."""
+    key = F.when(F.col("n") > 0, F.col("digest")).otherwise(F.unhex(F.hex("id")))      # 16 bytes or at most 8
+    seen = _written(sketch(base, size, bands, rows).withColumn("key", key), "sketch")
+    full = seen.where(F.col("key").isNotNull())
+    # equal texts are one vertex; its number is fixed as it is written
+    firsts = full.groupBy("key").agg(F.min("id").alias("rep"), F.first("digest").alias("digest"), F.first("n").alias("n"),
+                                     F.first("bands").alias("bands"))
+    firsts = _written(firsts.withColumn("v", F.monotonically_increasing_id()), "vertices")
+    spread = firsts.where(F.col("n") > 0).select(F.col("v").alias("id"), "n", F.explode(F.array_distinct("bands")).alias("bucket"))
     leader = spread.groupBy("bucket").agg(F.min("id").alias("lead"), F.min_by("n", "id").alias("lead_n"),
                                           F.count(F.lit(1)).alias("m")).where(F.col("m") > 1)
     met = _written(spread.join(leader, "bucket").select("bucket", "id", "n", "lead", "lead_n", "m"), "buckets")
     near = F.least("n", "lead_n") >= least * F.greatest("n", "lead_n")
     pairs = met.where((F.col("id") != F.col("lead")) & near).select(F.col("lead").alias("a"), F.col("id").alias("b")).distinct()
-    # multisets of the documents that any bucket holds with another
+    # multisets of the texts that any bucket holds with another, each from a row of its smallest id
     some = met.select("id").distinct()
-    elements = _written(sets(base.join(some, "id", "left_semi").dropDuplicates(["id"]), size), "sets")
-    links = _written(_verified(pairs, elements, least), "links")
+    wanted = firsts.join(some, firsts["v"] == some["id"], "left_semi").select("v", F.col("rep").alias("_rep"), F.col("digest").alias("_digest"))
+    wanted = base.join(wanted, base["id"].eqNullSafe(wanted["_rep"]) & (base["digest"] == wanted["_digest"])) \
+        .select(F.col("v").alias("id"), "text").dropDuplicates(["id"])
+    elements = _written(sets(wanted, size), "sets")
+    # different keys under one id: each is linked with the smallest
+    several = full.where(F.col("id").isNotNull()).groupBy("id").agg(F.min("key").alias("lo"), F.max("key").alias("hi")) \
+        .where(F.col("lo") < F.col("hi")).select("id", "lo")
+    twins = full.select("id", "key").join(several, "id").where(F.col("key") != F.col("lo")).select("lo", "key").distinct()
+    twins = _written(twins.join(firsts.select("key", F.col("v").alias("dst")), "key")
+                     .join(firsts.select(F.col("key").alias("lo"), F.col("v").alias("src")), "lo").select("src", "dst"), "twins")
+    links = _written(_verified(pairs, elements, least).unionByName(twins), "links")
+    some = some.union(twins.select("src")).union(twins.select("dst")).distinct()
     comp = _written(connected_components(links, some), "components").select("id", F.col("component").alias("comp"))
     # what is left: buckets of three and more members in several components
     members = met.where(F.col("m") > 2).select("bucket", "id").join(comp, "id")
@@ -305,13 +323,17 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", siz
         ends = between.select(F.col("src").alias("id")).union(between.select("dst")).distinct()
         joined = connected_components(between, ends).select(F.col("id").alias("comp"), F.col("component").alias("to"))
         comp = comp.join(joined, "comp", "left").select("id", F.coalesce("to", "comp").alias("comp"))
-    reps = full.select("id", "digest").join(same.select("digest", "rep"), "digest").groupBy("id").agg(F.min("rep").alias("rep"))
-    found = reps.join(comp.select(F.col("id").alias("rep"), "comp"), "rep", "left") \
-        .select("id", F.coalesce("comp", "rep").alias("class_id"))
-    out = seen.select("id", F.col("n").alias("n_shingles")).join(found, "id", "left") \
-        .select("id", F.coalesce("class_id", "id").alias("class_id"), "n_shingles")
-    null = F.lit(None).cast("long")
-    return out.unionByName(base.where(F.col("id").isNull()).select("id", null.alias("class_id"), null.alias("n_shingles")))
+    vertices = firsts.select("key", "rep", F.col("v").alias("id")).join(comp, "id", "left").select("key", "rep", F.coalesce("comp", "id").alias("comp"))
+    return seen.select("id", "digest", "key", "n"), _written(vertices, "classes")
+
+
+def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SHINGLE, least: float = SIMILARITY,
+            bands: int = BANDS, rows: int = ROWS, block: int = BLOCK) -> DataFrame:
+    """(id, class_id, n_shingles) per row: class_id is the smallest id of the class."""
+    seen, vertices = _graph(_rows(docs, id_col, text_col), size, least, bands, rows, block)
+    smallest = vertices.groupBy("comp").agg(F.min("rep").alias("class_id"))
+    found = vertices.join(smallest, "comp").select("key", "class_id")
+    return seen.join(found, "key", "left").select("id", "class_id", F.col("n").alias("n_shingles"))
 
 
 def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **settings) -> DataFrame:

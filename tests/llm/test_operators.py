@@ -409,6 +409,16 @@ def test_second_round_finds_links_between_members(spark):
         assert {tuple(sorted(r)) for r in neardup._rest(members, elements, 0.8, block).collect()} == {(11, 12)}
 
 
+def test_near_duplicates_of_texts_under_one_id(spark):
+    """Every text of an id is compared by its own bands and multiset."""
+    rng = random.Random(4)
+    short, long = (" ".join(rng.choice("abcdefghij") * 2 + str(rng.randrange(99)) for _ in range(n)) for n in (60, 900))
+    rows = [(5, short), (5, long), (9, short + " end"), (12, long + " end"), (13, "quite another text of its own"), (5, None), (2, "")]
+    for order in (rows, rows[::-1]):
+        got = {(r["id"], r["class_id"]) for r in neardup.classes(spark.createDataFrame(order, "doc_id long, text string")).collect()}
+        assert got == {(5, 5), (9, 5), (12, 5), (13, 13), (2, 2)}
+
+
 # ------------------------------------------------------------------ 9
 def test_decontamination_short_items(spark, odd, empty):
     items = spark.createDataFrame([(1, "the alpha of"), (2, None), (3, ""), (None, "word"), (2, "Der die, DAS und der"), (1, "the alpha of")],
