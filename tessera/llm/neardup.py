@@ -39,7 +39,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import release_memory
+from tessera.llm.common import free_name, release_memory
 from tessera.operators.neighbors import connected_components
 from tessera.session import scratch_path
 
@@ -336,9 +336,28 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", siz
     return seen.join(found, "key", "left").select("id", "class_id", F.col("n").alias("n_shingles"))
 
 
-def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **settings) -> DataFrame:
-    """One document of each class (the smallest id), with all columns; rows
-    without an id stay."""
-    c = classes(docs, id_col, text_col, **settings)
-    gone = c.where(F.col("id") != F.col("class_id")).select(F.col("id").alias("_gone")).distinct()
-    return docs.join(gone, docs[id_col].cast("long") == gone["_gone"], "left_anti")
+def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SHINGLE, least: float = SIMILARITY,
+               bands: int = BANDS, rows: int = ROWS, block: int = BLOCK) -> DataFrame:
+    """One row of each class, with all columns: of its smallest id (null is
+    the largest) and that id's smallest digest, one of the equal rows. Rows
+    with neither an id nor a word stay."""
+    seen, vertices = _graph(_rows(docs, id_col, text_col), size, least, bands, rows, block)
+    different = seen.where(F.col("key").isNotNull()).groupBy("id", "digest", "key").agg(F.count(F.lit(1)).alias("m")) \
+        .join(vertices.select("key", "comp"), "key")
+    place = F.struct(F.col("id").isNull().alias("no_id"), "id", "key", "digest")
+    winner = different.groupBy("comp").agg(F.min(place).alias("first"))
+    first = (F.struct(F.col("id").isNull().alias("no_id"), "id", "key", "digest") == F.col("first")).alias("is_first")
+    # rows that go or repeat; of the repeated rows that are first in their class one comes back
+    moved = _written(different.join(winner, "comp").select(F.col("id").alias("_id"), F.col("digest").alias("_digest"), first, "m")
+                     .where(~F.col("is_first") | (F.col("m") > 1)), "moved")
+    digest = free_name(docs, "_text_digest")
+    keyed = docs.withColumn(digest, F.unhex(F.md5(F.col(text_col).cast("binary"))))
+
+    def same(other: DataFrame):
+        return keyed[id_col].cast("long").eqNullSafe(other["_id"]) & keyed[digest].eqNullSafe(other["_digest"])
+
+    repeated = moved.where("is_first")
+    one = keyed.join(repeated, same(repeated), "left_semi")
+    number = free_name(docs, "_row_id")
+    one = one.withColumn(number, F.col(id_col).cast("long")).dropDuplicates([number, digest]).drop(number)
+    return keyed.join(moved, same(moved), "left_anti").unionByName(one).select(*docs.columns)

@@ -419,6 +419,22 @@ def test_near_duplicates_of_texts_under_one_id(spark):
         assert got == {(5, 5), (9, 5), (12, 5), (13, 13), (2, 2)}
 
 
+def test_near_duplicates_repeated_rows_and_null_ids(spark):
+    """One row of each class stays, whatever its id and however often it is there."""
+    text, near = " ".join(f"w{i}" for i in range(80)), " ".join(f"w{i}" for i in range(79))
+    lone = "only rows without an id hold this text"
+    rows = [(7, text), (7, text), (7, near), (8, text), (None, text), (None, near), (None, lone), (None, lone), (None, ""), (None, None), (3, ""),
+            (4, ""), (4, ""), (6, "a single row that no other resembles")]
+    df = spark.createDataFrame([(*r, i) for i, r in enumerate(rows)], "doc_id long, text string, extra long")
+    got = Counter((r["id"], r["class_id"]) for r in neardup.classes(df).collect())
+    assert got == Counter({(7, 7): 3, (8, 7): 1, (None, 7): 2, (None, None): 4, (3, 3): 1, (4, 4): 2, (6, 6): 1})
+    kept = neardup.keep_first(df)
+    out = Counter((r["doc_id"], r["text"]) for r in kept.collect())
+    first = min((text, near), key=lambda t: hashlib.md5(t.encode()).digest())
+    assert kept.columns == df.columns
+    assert out == Counter([(7, first), (None, lone), (None, ""), (None, None), (3, ""), (4, ""), (6, rows[-1][1])])
+
+
 # ------------------------------------------------------------------ 9
 def test_decontamination_short_items(spark, odd, empty):
     items = spark.createDataFrame([(1, "the alpha of"), (2, None), (3, ""), (None, "word"), (2, "Der die, DAS und der"), (1, "the alpha of")],
