@@ -10,10 +10,17 @@ that of the word within its class. Counts cover all training rows:
    words share ``endings`` symbols by a hash of their last bytes, and the end of
    a text is a symbol too. The bigram counts of symbols (a table of fixed size,
    whatever the corpus) are summed over all tasks.
-3. Exchange clustering on that table: symbols move one at a time to the
-   class that raises the likelihood most, until a sweep moves few.
-4. Every chunk gets the counts of those of its words back that other chunks
-   hold as well, and scores its texts.
+3. Exchange clustering on that table gives the classes to start from: symbols
+   move one at a time to the class that raises the likelihood most, until a sweep
+   moves few.
+4. Every chunk gets the counts of those of its words back that other chunks hold as
+   well. From here on every word that occurs ``own_count`` times is clustered by
+   itself: a sweep counts the classes before and after each word in the chunks, sums
+   them up in parts of the words' hashes, and moves each word to its best class against
+   the (broadcast) classes x classes table. Words of one sweep move at the same time, half
+   of them in each sweep; a sweep that lowers the likelihood is not taken. Rarer and
+   unknown words stay in the class of their ending.
+5. The chunks, with the classes of their words, score their texts.
 
 Smoothing: transitions are interpolated with class frequencies, emissions use
 absolute discounting (the discount follows from the words seen once and
@@ -34,15 +41,22 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessera.llm.common import release_memory
 from tessera.session import scratch_path
 
 FREQUENT, ENDINGS, CLASSES = 1024, 511, 64
 CHUNK_BYTES = 24_000_000
 SWEEPS = 8
+OWN_COUNT = 5                   # words that occur as often are clustered by themselves
+WORD_SWEEPS = 4                 # sweeps over all of these words at most
+LEAST_GAIN = 1e-3               # of a sweep over all words, in nats a token
+STEP = 500_000                  # tokens whose neighbours are counted at a time
+PART_WORDS = 200_000            # words of chunks in a part of the sums
 ALPHA = 20.0                    # weight of class frequencies in a transition
 CLASS_SHARE = 0.95              # weight of the class model against the unigram
 
@@ -161,6 +175,7 @@ def pack(rows: DataFrame, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
                     yield chunk()
         if ids:
             yield chunk()
+        release_memory()
 
     return rows.select("id", "held_out", "text").mapInArrow(work, PACKED)
 
@@ -214,8 +229,253 @@ def _bigrams(packed: DataFrame, frequent: dict[bytes, int], endings: int) -> np.
     return out
 
 
+def likelihood(n: np.ndarray) -> float:
+    """Of the class bigrams n[before, after], up to what no class changes."""
+    return float(_g(n).sum() - _g(n.sum(0)).sum() - _g(n.sum(1)).sum())
+
+
+def best_classes(word: np.ndarray, key: np.ndarray, count: np.ndarray, own: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """The class of each word that raises the likelihood most if that word alone
+    moves. Entries are (word, key, count), sorted by word; keys are the class after, k +
+    the class before, and 2 k for the word itself after itself."""
+    k, out = len(n), own.copy()
+    step = 4000
+    for begin in range(0, len(own), step):
+        a = own[begin:begin + step].astype(np.int64)
+        x, y = np.searchsorted(word, [begin, begin + len(a)])
+        each, dense = np.arange(len(a)), np.zeros((len(a), 2 * k + 1))
+        dense[word[x:y] - begin, key[x:y]] = count[x:y]
+        after, before, same = dense[:, :k], dense[:, k:2 * k], dense[:, 2 * k]
+        gain = np.zeros((len(a), k))
+        for own_side, other_side, table in ((after, before, n.T), (before, after, n)):
+            w, c = np.nonzero(own_side)
+            for at in range(0, len(w), 20_000):
+                v, d = w[at:at + 20_000], c[at:at + 20_000]
+                # counts between every class and d, without the word in its own class
+                base, m = table[d].copy(), own_side[v, d]
+                base[np.arange(len(v)), a[v]] -= m
+                in_own = np.flatnonzero(d == a[v])
+                base[in_own] -= other_side[v[in_own]]
+                base[in_own, d[in_own]] -= same[v[in_own]]
+                term = _g(base + m[:, None]) - _g(base)
+                start = np.flatnonzero(np.append(True, v[1:] != v[:-1]))
+                gain[v[start]] += np.add.reduceat(term, start, axis=0)
+        d = np.tile(np.diag(n), (len(a), 1))
+        d[each, a] -= after[each, a] + before[each, a] + same
+        gain += _g(d + after + before + same[:, None]) - _g(d + after) - _g(d + before) + _g(d)
+        for total, side in ((n.sum(1), after), (n.sum(0), before)):
+            size, t = side.sum(1) + same, np.tile(total, (len(a), 1))
+            t[each, a] -= size
+            gain -= _g(t + size[:, None]) - _g(t)
+        best = gain.argmax(1)
+        better = gain[each, best] > gain[each, a] + 1e-9
+        out[begin:begin + step] = np.where(better, best, a)
+    return out
+
+
+def _packed(x: np.ndarray) -> bytes:
+    return pa.compress(np.ascontiguousarray(x).tobytes(), "zstd", asbytes=True)
+
+
+def _opened(x: bytes, size: int, kind: type) -> np.ndarray:
+    return np.frombuffer(pa.decompress(x, size * np.dtype(kind).itemsize, "zstd", asbytes=True), kind)
+
+
+READY = "chunk long, ids array<long>, held array<boolean>, lengths array<int>, tokens binary, c binary, symbol binary, at binary, hash binary, " \
+        "n_words long, n_own long"
+
+
+def ready(packed: DataFrame, back: DataFrame, frequent: dict[bytes, int], endings: int, own_count: int) -> DataFrame:
+    """The chunks with the corpus counts and symbols of their words, and the places and
+    hashes (in order of the hashes) of the words that are clustered by themselves."""
+    shared = packed.sparkSession.sparkContext.broadcast(frequent)
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        symbol = symbol_of(shared.value, endings)
+        for b in batches:
+            for i in range(len(b)):
+                r = b.slice(i, 1)
+                words = r.column(5)[0].values.to_pylist()
+                c = r.column(6)[0].values.to_numpy(zero_copy_only=False).astype(np.int64)
+                if r.column(7)[0].is_valid:                # words that other chunks hold too
+                    more = r.column(7)[0].values
+                    c[more.field(0).to_numpy()] = more.field(1).to_numpy()
+                own = np.fromiter(map(symbol, words), np.uint16, len(words))
+                at = np.flatnonzero((c >= own_count) | ((own < len(shared.value)) & (c > 0)))
+                h = np.array([xxhash.xxh3_64_intdigest(words[j]) for j in at], np.uint64)
+                order = np.argsort(h, kind="stable")
+                made = [_packed(c), _packed(own), _packed(at[order].astype(np.int32)), _packed(h[order])]
+                yield pa.RecordBatch.from_arrays(
+                    [*r.columns[:5], *(pa.array([x], pa.binary()) for x in made), pa.array([len(words)], pa.int64()), pa.array([len(at)], pa.int64())],
+                    names=["chunk", "ids", "held", "lengths", "tokens", "c", "symbol", "at", "hash", "n_words", "n_own"])
+                del words, c, own, at, h, order, made, r
+        release_memory()
+
+    lists = back.groupBy(F.col("chunk").alias("_chunk")).agg(F.collect_list(F.struct("at", "c")).alias("back"))
+    return packed.join(lists, packed["chunk"] == lists["_chunk"], "left") \
+        .select("chunk", "ids", "held", "lengths", "tokens", "words", "n", "back").mapInArrow(work, READY)
+
+
+def _with_classes(chunks: DataFrame, moved: DataFrame | None) -> DataFrame:
+    """The ready chunks with the classes of their words, part by part (null: still those of the symbols)."""
+    if moved is None:
+        return chunks.withColumn("classes", F.lit(None).cast("array<struct<part: long, payload: binary>>"))
+    lists = moved.where(F.col("chunk") >= 0).groupBy(F.col("chunk").alias("_chunk")).agg(F.collect_list(F.struct("part", "payload")).alias("classes"))
+    return chunks.join(lists, chunks["chunk"] == lists["_chunk"], "left").drop("_chunk")
+
+
+def _opened_chunk(r: dict, own: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(word numbers, words of each text, held out, places of the words clustered by themselves, class of each word)."""
+    length = r["lengths"].values.to_numpy(zero_copy_only=False).astype(np.int64)
+    x = _opened(r["tokens"].as_buffer(), int(length.sum()), np.uint32).astype(np.int64)
+    words, n_own = r["n_words"].as_py(), r["n_own"].as_py()
+    at = _opened(r["at"].as_buffer(), n_own, np.int32)
+    cls = own[_opened(r["symbol"].as_buffer(), words, np.uint16)]
+    if r["classes"].is_valid:
+        parts = sorted(r["classes"].as_py(), key=lambda p: p["part"])
+        cls[at] = np.concatenate([np.frombuffer(p["payload"], np.uint16) for p in parts])
+    return x, length, r["held"].values.to_numpy(zero_copy_only=False).astype(bool), at, cls
+
+
+def _count_classes(chunks: DataFrame, own: np.ndarray, k: int, parts: int, words_too: bool) -> DataFrame:
+    """(chunk, part, payload): the class bigrams (negative parts) and, for each
+    chunk and part of the words' hashes, the neighbour classes of its words."""
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(k * k, np.int64)
+        for b in batches:
+            for i in range(len(b)):
+                r = {c: b.column(j)[i] for j, c in enumerate(b.schema.names)}
+                x, length, held, at, cls = _opened_chunk(r, own)
+                end = len(cls)
+                now = _with_ends(x[~np.repeat(held, length)], length[~held], end)
+                del x
+                c = np.append(cls, own[-1]).astype(np.uint16)[now]
+                place = np.full(end + 1, -1, np.int32)
+                place[at] = np.arange(len(at), dtype=np.int32)
+                codes, counts = [], []
+                for begin in range(0, len(now), STEP):             # a bounded number of tokens at a time
+                    u = np.append(now[begin:begin + STEP], now[begin + STEP:begin + STEP + 1])
+                    t = min(STEP, len(now) - begin)
+                    c_now = c[begin:begin + t].astype(np.int64)
+                    c_before = np.append(own[-1] if begin == 0 else c[begin - 1], c[begin:begin + t - 1]).astype(np.int64)
+                    total += np.bincount(c_before * k + c_now, minlength=k * k)
+                    if not words_too or not len(at):
+                        continue
+                    c_after = np.append(c[begin + 1:begin + t + 1], np.zeros(max(0, begin + t + 1 - len(now)), np.uint16))
+                    again = np.append(u[1:] == u[:-1], np.zeros(t + 1 - len(u), bool))              # the same word follows
+                    repeats = np.append(begin > 0 and now[begin - 1] == now[begin], again[:-1])
+                    s = place[now[begin:begin + t]].astype(np.int64) * (2 * k + 1)
+                    some = s >= 0
+                    f, m = np.unique(np.concatenate([(s + np.where(again, 2 * k, c_after))[some], (s + k + c_before)[some & ~repeats]]),
+                                     return_counts=True)
+                    codes.append(f)
+                    counts.append(m)
+                del now, c, place
+                if not words_too or not len(at):
+                    continue
+                codes, n = np.concatenate([*codes, np.zeros(0, np.int64)]), np.concatenate([*counts, np.zeros(0, np.int64)]).astype(np.int32)
+                order = np.argsort(codes, kind="stable")
+                codes, n = codes[order], n[order]
+                start = np.flatnonzero(np.append(True, codes[1:] != codes[:-1])) if len(codes) else np.zeros(0, np.int64)
+                codes, n = codes[start], np.add.reduceat(n, start) if len(start) else n
+                w, key = codes // (2 * k + 1), (codes % (2 * k + 1)).astype(np.uint16)
+                del order, start, codes, counts
+                h = _opened(r["hash"].as_buffer(), len(at), np.uint64)
+                part = (h >> np.uint64(32)).astype(np.int64) * parts >> 32
+                found, cut = np.unique(part, return_index=True)
+                cut = np.append(cut, len(at))
+                edge = np.searchsorted(w, cut)
+                payload = []
+                for a, z, e, f in zip(cut, cut[1:], edge, edge[1:]):
+                    head = np.array([z - a, f - e], np.int64).tobytes()
+                    payload.append(pa.compress(head + h[a:z].tobytes() + cls[at[a:z]].astype(np.uint16).tobytes() + (w[e:f] - a).astype(np.uint32).tobytes()
+                                               + key[e:f].tobytes() + n[e:f].astype(np.uint32).tobytes(), "zstd", asbytes=True))
+                sizes = [16 + 10 * (z - a) + 10 * (f - e) for a, z, e, f in zip(cut, cut[1:], edge, edge[1:])]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.full(len(found), r["chunk"].as_py())), pa.array(found), pa.array(payload, pa.binary()), pa.array(np.array(sizes, np.int64))],
+                    names=["chunk", "part", "payload", "size"])
+        yield pa.RecordBatch.from_arrays(
+            [pa.array([-1], pa.int64()), pa.array([-1 - TaskContext.get().partitionId() % 16], pa.int64()), pa.array([total.tobytes()], pa.binary()),
+             pa.array([0], pa.int64())], names=["chunk", "part", "payload", "size"])
+        release_memory()
+
+    cols = ["chunk", "held", "lengths", "tokens", "symbol", "at", "hash", "n_words", "n_own", "classes"]
+    return chunks.select(*cols).mapInArrow(work, "chunk long, part long, payload binary, size long")
+
+
+def _total(rows: DataFrame, size: int) -> np.ndarray:
+    """Sum of the payloads, summed up in 16 groups first."""
+    def summed(f: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame({"payload": [sum(np.frombuffer(x, np.int64) for x in f["payload"]).tobytes()]})
+
+    parts = rows.select(F.pmod("part", F.lit(16)).alias("g"), "payload").groupBy("g").applyInPandas(summed, "payload binary")
+    return sum((np.frombuffer(bytes(r["payload"]), np.int64) for r in parts.collect()), np.zeros(size, np.int64))
+
+
+def _move(counted: DataFrame, n: np.ndarray, parity: int) -> DataFrame:
+    """(chunk, part, payload): the new classes of each chunk's words, and (chunk -1)
+    the number of different words of every class."""
+    k = len(n)
+
+    def work(f: pd.DataFrame) -> pd.DataFrame:
+        hashes, classes, codes, counts = [], [], [], []
+        for payload, size in zip(f["payload"], f["size"]):
+            raw = pa.decompress(payload, int(size), "zstd", asbytes=True)
+            words, entries = np.frombuffer(raw, np.int64, 2)
+            at = 16
+            got = []
+            for kind, m in ((np.uint64, words), (np.uint16, words), (np.uint32, entries), (np.uint16, entries), (np.uint32, entries)):
+                got.append(np.frombuffer(raw, kind, m, at))
+                at += int(m) * np.dtype(kind).itemsize
+            hashes.append(got[0])
+            classes.append(got[1])
+            codes.append((got[2], got[3]))
+            counts.append(got[4])
+        distinct, first, which = np.unique(np.concatenate(hashes), return_index=True, return_inverse=True)
+        own = np.concatenate(classes)[first].astype(np.int64)
+        cut = np.cumsum([0, *map(len, hashes)])
+        code = np.concatenate([which[a:z][w] * (2 * k + 1) + key for (w, key), a, z in zip(codes, cut, cut[1:])])
+        order = np.argsort(code, kind="stable")
+        code, count = code[order], np.concatenate(counts)[order].astype(np.float64)
+        start = np.flatnonzero(np.append(True, code[1:] != code[:-1])) if len(code) else np.zeros(0, np.int64)
+        code, count = code[start], np.add.reduceat(count, start) if len(start) else count
+        new = best_classes(code // (2 * k + 1), code % (2 * k + 1), count, own, n)
+        new = np.where(distinct % np.uint64(2) == parity, new, own)
+        out = [new[which[a:z]].astype(np.uint16).tobytes() for a, z in zip(cut, cut[1:])]
+        return pd.DataFrame({"chunk": [*f["chunk"], -1], "part": [*f["part"], f["part"].iloc[0]],
+                             "payload": [*out, np.bincount(new, minlength=k).astype(np.int64).tobytes()]})
+
+    return counted.where(F.col("chunk") >= 0).groupBy("part").applyInPandas(work, "chunk long, part long, payload binary")
+
+
+def cluster_words(chunks: DataFrame, own: np.ndarray, k: int, sweeps: int) -> tuple[np.ndarray, DataFrame | None, np.ndarray | None]:
+    """(class bigrams, classes of the chunks' words, different words of every
+    class) after sweeps over all words that are clustered by themselves; None where
+    the classes of the symbols are as good."""
+    spark = chunks.sparkSession
+    parts = 1 + (chunks.agg(F.sum("n_own")).first()[0] or 0) // PART_WORDS
+    moved = types = best = None
+    for sweep in range(sweeps + 1):
+        path = scratch_path(spark, "neighbours")
+        _count_classes(_with_classes(chunks, moved), own, k, parts, sweep < sweeps).write.parquet(path)
+        counted = spark.read.parquet(path)
+        n = _total(counted.where(F.col("chunk") < 0), k * k).reshape(k, k).astype(np.float64)
+        now, last = likelihood(n), best[0] if best else None
+        if last is None or now > last:
+            best = (now, n, moved, types)
+        # the first two sweeps move one half of the words each
+        if sweep == sweeps or not n.any() or (sweep > 1 and now - last < LEAST_GAIN * n.sum()):
+            break
+        path = scratch_path(spark, "classes")
+        _move(counted, n, sweep % 2).write.parquet(path)
+        moved = spark.read.parquet(path)
+        types = _total(moved.where(F.col("chunk") < 0), k)
+    return best[1:]
+
+
 def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", held_col: str = "held_out",
-          frequent: int = FREQUENT, endings: int = ENDINGS, classes: int = CLASSES, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
+          frequent: int = FREQUENT, endings: int = ENDINGS, classes: int = CLASSES, chunk_bytes: int = CHUNK_BYTES,
+          own_count: int = OWN_COUNT, word_sweeps: int = WORD_SWEEPS) -> DataFrame:
     """Per row: id, held_out, n_tokens, n_known, train_tokens, base_score, score,
     perplexity (of the score), after learning from the rows that are not held out."""
     spark = docs.sparkSession
@@ -232,19 +492,22 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", held_
     ending = F.pmod(F.crc32(F.substring("word", -3, 3)), F.lit(endings)).cast("int")
     by_ending = counts.groupBy(ending.alias("e")).agg(
         F.count(F.lit(1)).alias("v"), F.sum("c").alias("n"), F.sum((F.col("c") == 1).cast("long")).alias("n1"),
-        F.sum((F.col("c") == 2).cast("long")).alias("n2")).collect()
+        F.sum((F.col("c") == 2).cast("long")).alias("n2"), F.sum((F.col("c") < own_count).cast("long")).alias("rare")).collect()
     n_docs = packed.agg(F.sum(F.size(F.filter("held", lambda x: ~x)))).first()[0] or 0
     total = sum(r["n"] for r in by_ending) + n_docs       # the ends are tokens
     types = sum(r["v"] for r in by_ending) + (1 if n_docs else 0)
-    top = {bytes(r["word"]): i for i, r in enumerate(counts.orderBy(F.desc("c"), "word").limit(frequent).collect())}
+    most = counts.orderBy(F.desc("c"), "word").limit(frequent).collect()
+    top = {bytes(r["word"]): i for i, r in enumerate(most)}
     n1, n2 = sum(r["n1"] for r in by_ending), sum(r["n2"] for r in by_ending)
     discount = min(0.95, max(0.05, n1 / (n1 + 2 * n2))) if n1 else 0.5
     pairs = _bigrams(packed, top, endings)
     own = exchange(pairs, classes)
     k = int(own.max()) + 1
-    member = np.zeros((len(own), k))
-    member[np.arange(len(own)), own] = 1
-    trans = member.T @ pairs @ member
+    back = vocabulary.join(counts, "word").where(F.col("c") != F.col("n")).select("chunk", "at", "c")
+    path = scratch_path(spark, "ready")
+    ready(packed, back, top, endings, own_count).write.parquet(path)
+    chunks = spark.read.parquet(path)
+    trans, moved, own_types = cluster_words(chunks, own, k, word_sweeps)
     per_class = trans.sum(0)
     # different words of every class
     symbol_types = np.zeros(len(own))
@@ -255,51 +518,54 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", held_
         symbol_types[len(top) + zlib.crc32(w[-3:]) % endings] -= 1
     symbol_types[-1] = 1 if n_docs else 0
     class_types = np.bincount(own, symbol_types, k)
+    if moved is not None:                                  # words clustered by themselves, the rarer ones by ending, the end
+        rare = np.zeros(len(own))
+        for r in by_ending:
+            rare[len(top) + r["e"]] = r["rare"]
+        for r in most:
+            if r["c"] < own_count:
+                rare[len(top) + zlib.crc32(bytes(r["word"])[-3:]) % endings] -= 1
+        rare[-1] = symbol_types[-1]
+        class_types = own_types + np.bincount(own, rare, k)
     share = per_class / max(1.0, per_class.sum())
     log_trans = (trans + ALPHA * share) / (trans.sum(1, keepdims=True) + ALPHA)
     # symbols, classes x classes numbers
-    model = spark.sparkContext.broadcast((top, own, log_trans, per_class, class_types))
+    model = spark.sparkContext.broadcast((own, log_trans, per_class, class_types))
     end_class = int(own[-1])
     base_below = total + (types + 1)
 
-    def work(d: pd.DataFrame, v: pd.DataFrame) -> pd.DataFrame:
-        frequent_words, cls_of, move, n_class, t_class = model.value
-        out = []
-        for _, r in d.iterrows():                          # the one row of the chunk
-            x, length, _ = _unpacked(r)
-            words = len(r["words"])
-            c = np.empty(words + 1)
-            c[:-1] = r["n"]
-            c[v["at"].to_numpy()] = v["c"].to_numpy()      # words that other chunks hold too
-            c[-1] = n_docs
-            symbol = symbol_of(frequent_words, endings)
-            cls = np.empty(words + 1, np.int64)
-            cls[:-1] = cls_of[np.fromiter(map(symbol, r["words"]), np.int64, words)]
-            cls[-1] = end_class
-            known = c > 0
-            size = np.maximum(n_class[cls], 1.0)
-            emit = np.where(known, c - discount, discount * t_class[cls]) / size
-            uni = np.where(known, c - discount, discount * types) / max(1, total)
-            flat = _with_ends(x, length, words)
-            doc = np.repeat(np.arange(len(length)), length + 1)
-            now = cls[flat]
-            before = np.concatenate([[end_class], now])[:-1]       # each text ends with the end, which stands before the next
-            base10 = np.log10((c + 1) / base_below)[flat]
-            if total:
-                p = CLASS_SHARE * move[before, now] * emit[flat] + (1 - CLASS_SHARE) * uni[flat]
-                own10 = np.where(p > 0, np.log10(np.maximum(p, 1e-300)), base10)
-            else:
-                own10 = base10
-            f = pd.DataFrame({"id": pd.array(r["ids"], "Int64"), "held_out": r["held"], "n_tokens": length + 1})
-            f["n_known"] = np.bincount(doc, known[flat], len(length)).astype(np.int64)
-            f["train_tokens"] = total
-            f["base_score"] = np.bincount(doc, base10, len(length))
-            f["score"] = np.bincount(doc, own10, len(length))
-            f["perplexity"] = np.power(10.0, -f["score"] / f["n_tokens"])
-            out.append(f)
-        return pd.concat(out) if out else pd.DataFrame()
-
-    back = vocabulary.join(counts, "word").where(F.col("c") != F.col("n")).select(F.col("chunk").alias("own"), "at", "c")
-    return packed.groupBy("chunk").cogroup(back.groupBy("own")).applyInPandas(
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cls_of, move, n_class, t_class = model.value
+        for b in batches:
+            for i in range(len(b)):
+                r = {x: b.column(j)[i] for j, x in enumerate(b.schema.names)}
+                x, length, held, _, own_cls = _opened_chunk(r, cls_of)
+                words = len(own_cls)
+                c = np.append(_opened(r["c"].as_buffer(), words, np.int64), n_docs).astype(np.float64)
+                cls = np.append(own_cls, end_class)
+                known = c > 0
+                size = np.maximum(n_class[cls], 1.0)
+                emit = np.where(known, c - discount, discount * t_class[cls]) / size
+                uni = np.where(known, c - discount, discount * types) / max(1, total)
+                flat = _with_ends(x, length, words)
+                doc = np.repeat(np.arange(len(length)), length + 1)
+                now = cls[flat]
+                before = np.concatenate([[end_class], now])[:-1]       # each text ends with the end, which stands before the next
+                base10 = np.log10((c + 1) / base_below)[flat]
+                if total:
+                    p = CLASS_SHARE * move[before, now] * emit[flat] + (1 - CLASS_SHARE) * uni[flat]
+                    own10 = np.where(p > 0, np.log10(np.maximum(p, 1e-300)), base10)
+                else:
+                    own10 = base10
+                score = np.bincount(doc, own10, len(length))
+                yield pa.RecordBatch.from_arrays(
+                    [r["ids"].values, r["held"].values, pa.array(length + 1), pa.array(np.bincount(doc, known[flat], len(length)).astype(np.int64)),
+                     pa.array(np.full(len(length), total, np.int64)), pa.array(np.bincount(doc, base10, len(length))), pa.array(score),
+                     pa.array(np.power(10.0, -score / (length + 1)))],
+                    names=["id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score", "perplexity"])
+        release_memory()
+
+    cols = ["ids", "held", "lengths", "tokens", "c", "symbol", "at", "n_words", "n_own", "classes"]
+    return _with_classes(chunks, moved).select(*cols).mapInArrow(
         work, "id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, perplexity double") \
         .withColumnRenamed("id", id_col)

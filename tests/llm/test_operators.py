@@ -344,6 +344,46 @@ def test_exchange_raises_likelihood():
             assert likelihood(np.where(np.arange(30) == w, c, own)) <= likelihood(own) + 1e-6
 
 
+def test_words_move_to_their_best_class():
+    rng = np.random.default_rng(6)
+    pairs = rng.poisson(1.5, (24, 24)).astype(float)
+    own, k = rng.integers(4, size=24), 4
+
+    def table(c):
+        m = np.eye(k)[c]
+        return m.T @ pairs @ m
+
+    word, key, count = [], [], []
+    for w in range(24):
+        row = np.zeros(2 * k + 1)
+        for v in range(24):
+            if v != w:
+                row[own[v]] += pairs[w, v]
+                row[k + own[v]] += pairs[v, w]
+        row[2 * k] = pairs[w, w]
+        for x in np.flatnonzero(row):
+            word, key, count = [*word, w], [*key, x], [*count, row[x]]
+    got = brown_lm.best_classes(np.array(word), np.array(key), np.array(count), own, table(own))
+    for w in range(24):
+        all_l = [brown_lm.likelihood(table(np.where(np.arange(24) == w, c, own))) for c in range(k)]
+        assert all_l[got[w]] == pytest.approx(max(all_l))
+
+
+def test_words_beyond_the_frequent_are_clustered(spark):
+    """Two kinds of words with one ending that follow each other: only their own classes tell them apart."""
+    rng = random.Random(9)
+    kinds = [[f"{c}{i}xyz" for i in range(20)] for c in "ab"]
+
+    def text():
+        return " ".join(rng.choice(kinds[j % 2]) for j in range(40))
+
+    rows = [(i, text(), i >= 150) for i in range(200)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, held_out boolean").repartition(3)
+    for chunk_bytes in (3_000, brown_lm.CHUNK_BYTES):
+        got = brown_lm.score(df, frequent=4, endings=1, classes=4, chunk_bytes=chunk_bytes).where("held_out").collect()
+        assert len(got) == 50 and np.mean([r["perplexity"] for r in got]) < 24         # 20 words may follow; 40 without classes
+
+
 def test_lm_odd(spark, odd, empty):
     flagged = odd.withColumn("held_out", F.coalesce(F.col("doc_id") % 2 == 0, F.lit(False)))
     assert brown_lm.score(flagged).count() == odd.count()
