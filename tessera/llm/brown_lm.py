@@ -55,7 +55,7 @@ SWEEPS = 8
 OWN_COUNT = 5                   # words that occur as often are clustered by themselves
 WORD_SWEEPS = 4                 # sweeps over all of these words at most
 LEAST_GAIN = 1e-3               # of a sweep over all words, in nats a token
-STEP = 500_000                  # tokens whose neighbours are counted at a time
+STEP = 300_000                  # tokens of whole texts that are counted or scored at a time
 PART_WORDS = 200_000            # words of chunks in a part of the sums
 ALPHA = 20.0                    # weight of class frequencies in a transition
 CLASS_SHARE = 0.95              # weight of the class model against the unigram
@@ -327,7 +327,7 @@ def _with_classes(chunks: DataFrame, moved: DataFrame | None) -> DataFrame:
 def _opened_chunk(r: dict, own: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(word numbers, words of each text, held out, places of the words clustered by themselves, class of each word)."""
     length = r["lengths"].values.to_numpy(zero_copy_only=False).astype(np.int64)
-    x = _opened(r["tokens"].as_buffer(), int(length.sum()), np.uint32).astype(np.int64)
+    x = _opened(r["tokens"].as_buffer(), int(length.sum()), np.uint32)
     words, n_own = r["n_words"].as_py(), r["n_own"].as_py()
     at = _opened(r["at"].as_buffer(), n_own, np.int32)
     cls = own[_opened(r["symbol"].as_buffer(), words, np.uint16)]
@@ -337,6 +337,15 @@ def _opened_chunk(r: dict, own: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.
     return x, length, r["held"].values.to_numpy(zero_copy_only=False).astype(bool), at, cls
 
 
+def _slices(length: np.ndarray) -> Iterator[tuple[slice, slice]]:
+    """(texts, their words) in parts of about ``STEP`` tokens."""
+    ends = np.cumsum(length + 1)
+    cut = np.unique(np.concatenate([[0], np.searchsorted(ends, np.arange(STEP, ends[-1], STEP)) + 1, [len(length)]])) if len(length) else [0]
+    place = np.append(0, np.cumsum(length))
+    for a, z in zip(cut, cut[1:]):
+        yield slice(int(a), int(z)), slice(int(place[a]), int(place[z]))
+
+
 def _count_classes(chunks: DataFrame, own: np.ndarray, k: int, parts: int, words_too: bool) -> DataFrame:
     """(chunk, part, payload): the class bigrams (negative parts) and, for each
     chunk and part of the words' hashes, the neighbour classes of its words."""
@@ -347,30 +356,29 @@ def _count_classes(chunks: DataFrame, own: np.ndarray, k: int, parts: int, words
                 r = {c: b.column(j)[i] for j, c in enumerate(b.schema.names)}
                 x, length, held, at, cls = _opened_chunk(r, own)
                 end = len(cls)
-                now = _with_ends(x[~np.repeat(held, length)], length[~held], end)
-                del x
-                c = np.append(cls, own[-1]).astype(np.uint16)[now]
-                place = np.full(end + 1, -1, np.int32)
-                place[at] = np.arange(len(at), dtype=np.int32)
+                c_of = np.append(cls, own[-1])
+                place = np.full(end + 1, -1, np.int64)
+                place[at] = np.arange(len(at))
                 codes, counts = [], []
-                for begin in range(0, len(now), STEP):             # a bounded number of tokens at a time
-                    u = np.append(now[begin:begin + STEP], now[begin + STEP:begin + STEP + 1])
-                    t = min(STEP, len(now) - begin)
-                    c_now = c[begin:begin + t].astype(np.int64)
-                    c_before = np.append(own[-1] if begin == 0 else c[begin - 1], c[begin:begin + t - 1]).astype(np.int64)
-                    total += np.bincount(c_before * k + c_now, minlength=k * k)
+                for rows, flat in _slices(length):
+                    out = held[rows]
+                    now = _with_ends(x[flat][~np.repeat(out, length[rows])], length[rows][~out], end)
+                    c = c_of[now].astype(np.int64)
+                    c_before = np.concatenate([[own[-1]], c])[:-1].astype(np.int64)       # each text ends with the end
+                    total += np.bincount(c_before * k + c, minlength=k * k)
                     if not words_too or not len(at):
                         continue
-                    c_after = np.append(c[begin + 1:begin + t + 1], np.zeros(max(0, begin + t + 1 - len(now)), np.uint16))
-                    again = np.append(u[1:] == u[:-1], np.zeros(t + 1 - len(u), bool))              # the same word follows
-                    repeats = np.append(begin > 0 and now[begin - 1] == now[begin], again[:-1])
-                    s = place[now[begin:begin + t]].astype(np.int64) * (2 * k + 1)
+                    s = place[now] * (2 * k + 1)
+                    again = np.append(now[1:] == now[:-1], False)        # the same word follows
+                    repeats = np.concatenate([[False], again])[:len(now)]
+                    c_after = np.append(c[1:], 0)[:len(now)]             # the last token is an end
+                    again = again[:len(now)]
                     some = s >= 0
                     f, m = np.unique(np.concatenate([(s + np.where(again, 2 * k, c_after))[some], (s + k + c_before)[some & ~repeats]]),
                                      return_counts=True)
                     codes.append(f)
-                    counts.append(m)
-                del now, c, place
+                    counts.append(m.astype(np.int32))
+                del x, place
                 if not words_too or not len(at):
                     continue
                 codes, n = np.concatenate([*codes, np.zeros(0, np.int64)]), np.concatenate([*counts, np.zeros(0, np.int64)]).astype(np.int32)
@@ -539,7 +547,7 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", held_
         for b in batches:
             for i in range(len(b)):
                 r = {x: b.column(j)[i] for j, x in enumerate(b.schema.names)}
-                x, length, held, _, own_cls = _opened_chunk(r, cls_of)
+                x, length, _, _, own_cls = _opened_chunk(r, cls_of)
                 words = len(own_cls)
                 c = np.append(_opened(r["c"].as_buffer(), words, np.int64), n_docs).astype(np.float64)
                 cls = np.append(own_cls, end_class)
@@ -547,22 +555,25 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", held_
                 size = np.maximum(n_class[cls], 1.0)
                 emit = np.where(known, c - discount, discount * t_class[cls]) / size
                 uni = np.where(known, c - discount, discount * types) / max(1, total)
-                flat = _with_ends(x, length, words)
-                doc = np.repeat(np.arange(len(length)), length + 1)
-                now = cls[flat]
-                before = np.concatenate([[end_class], now])[:-1]       # each text ends with the end, which stands before the next
-                base10 = np.log10((c + 1) / base_below)[flat]
-                if total:
-                    p = CLASS_SHARE * move[before, now] * emit[flat] + (1 - CLASS_SHARE) * uni[flat]
-                    own10 = np.where(p > 0, np.log10(np.maximum(p, 1e-300)), base10)
-                else:
-                    own10 = base10
-                score = np.bincount(doc, own10, len(length))
-                yield pa.RecordBatch.from_arrays(
-                    [r["ids"].values, r["held"].values, pa.array(length + 1), pa.array(np.bincount(doc, known[flat], len(length)).astype(np.int64)),
-                     pa.array(np.full(len(length), total, np.int64)), pa.array(np.bincount(doc, base10, len(length))), pa.array(score),
-                     pa.array(np.power(10.0, -score / (length + 1)))],
-                    names=["id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score", "perplexity"])
+                for rows, flat in _slices(length):
+                    long = length[rows]
+                    flat = _with_ends(x[flat], long, words)
+                    doc = np.repeat(np.arange(len(long)), long + 1)
+                    now = cls[flat]
+                    before = np.concatenate([[end_class], now])[:-1]       # each text ends with the end, which stands before the next
+                    base10 = np.log10((c + 1) / base_below)[flat]
+                    if total:
+                        p = CLASS_SHARE * move[before, now] * emit[flat] + (1 - CLASS_SHARE) * uni[flat]
+                        own10 = np.where(p > 0, np.log10(np.maximum(p, 1e-300)), base10)
+                    else:
+                        own10 = base10
+                    score = np.bincount(doc, own10, len(long))
+                    ids, out = (r[n].values.slice(rows.start, len(long)) for n in ("ids", "held"))
+                    yield pa.RecordBatch.from_arrays(
+                        [ids, out, pa.array(long + 1), pa.array(np.bincount(doc, known[flat], len(long)).astype(np.int64)),
+                         pa.array(np.full(len(long), total, np.int64)), pa.array(np.bincount(doc, base10, len(long))), pa.array(score),
+                         pa.array(np.power(10.0, -score / (long + 1)))],
+                        names=["id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score", "perplexity"])
         release_memory()
 
     cols = ["ids", "held", "lengths", "tokens", "c", "symbol", "at", "n_words", "n_own", "classes"]
