@@ -3,6 +3,7 @@
 import math
 
 import duckdb
+import pandas as pd
 
 from tessera.sources.tables import TABLES
 
@@ -15,15 +16,15 @@ def duck(sf_dir):
 
 
 def norm(v):
-    if v is None:
+    if v is None or v is pd.NA:
         return (0, "")
     if hasattr(v, "item") and not isinstance(v, (list, tuple, str)):
         try:
             v = v.item()
         except (ValueError, AttributeError):
             pass
-    if isinstance(v, float):
-        return (0, "") if math.isnan(v) else (1, float(f"{v:.9g}"))
+    if isinstance(v, float):                       # pandas holds whole numbers with nulls as floats
+        return (0, "") if math.isnan(v) else (3, str(int(v))) if v.is_integer() and abs(v) < 2**53 else (1, float(f"{v:.9g}"))
     if isinstance(v, (list, tuple)):
         return (2, str([norm(x) for x in v]))
     return (3, str(v))
