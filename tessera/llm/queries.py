@@ -8,7 +8,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import bpe, brown_lm, decontaminate, filter_audit, html_text, langid, linededup, neardup, shard, topk, toxicity
+from tessera.llm import (bpe, brown_lm, decontaminate, filter_audit, html_text, langid, linededup, neardup, prefix_trie,
+                         shard, topk, toxicity)
 from tessera.llm.common import fold, table
 
 SHARDS = 40
@@ -71,6 +72,10 @@ def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.trie(prefix_trie.rebuilt(table(spark, sf_dir, "conversations")))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = {name: f for name, f in globals().items() if name.startswith("op") and name[2].isdigit()}
     return dict(sorted(found.items(), key=lambda x: int(x[0][2:].split("_")[0])))
@@ -78,4 +83,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 def oracle_sql() -> dict[str, str]:
     return {"op4_topk": topk.oracle(), "op6_shard": shard.oracle(SHARDS), "op9_decontaminate": decontaminate.oracle(),
-            "op11_filter_audit": filter_audit.oracle()}
+            "op11_filter_audit": filter_audit.oracle(), "op12_prefix_trie": prefix_trie.oracle()}
