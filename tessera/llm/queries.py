@@ -9,10 +9,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm import (bpe, brown_lm, decontaminate, filter_audit, html_text, langid, linededup, neardup, prefix_trie,
-                         shard, topk, toxicity)
+                         shard, token_files, topk, toxicity)
 from tessera.llm.common import fold, table
+from tessera.session import scratch_path
 
 SHARDS = 40
+END_ID = 2
 
 
 def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -76,6 +78,12 @@ def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prefix_trie.trie(prefix_trie.rebuilt(table(spark, sf_dir, "conversations")))
 
 
+def op13_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = scratch_path(spark, "tokens")
+    token_files.write(table(spark, sf_dir, "documents"), path, bpe.tokenizer_path(spark), END_ID)
+    return token_files.checksums(token_files.read(spark, path))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = {name: f for name, f in globals().items() if name.startswith("op") and name[2].isdigit()}
     return dict(sorted(found.items(), key=lambda x: int(x[0][2:].split("_")[0])))
