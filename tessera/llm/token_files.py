@@ -32,23 +32,35 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessera.llm.common import release_memory
 
-UNITS = 1_000_000         # units remembered by one worker before it starts anew
+UNITS = 1_000_000         # units that one worker remembers
 LONG_UNIT = 64            # longer ones are not remembered
+MARKS = ".,;:!?"          # told off the end of a unit
 BLOCK = 1 << 16           # characters that the library takes at once
-LINE = 1 << 20            # characters of a line that are split at once
-TEXTS = 64                # texts whose unknown units are encoded together
+LINE = 1 << 20            # characters that are split at once
+CHARS = 4 << 20           # characters of texts whose unknown units are encoded together, about
 
-_ODD = re.compile(r"\s\s|\A\s|\s\Z|[^\S \n]")
 _CUT = re.compile(r"(?<=\S) (?=\S)")
 
 
+class _Units(dict):
+    """Remembered units, and those of the texts at hand beside them."""
+    rest: dict[str, bytes | None] = {}
+
+    def __missing__(self, unit: str) -> bytes | None:
+        return self.rest[unit]
+
+
 class UnitEncoder:
-    """The tokenizers library behind a memory of units; ids as little-endian unsigned 32-bit numbers."""
+    """The tokenizers library behind a memory of units; ids as little-endian unsigned 32-bit numbers.
+
+    A unit is a word with what hangs on it; one that starts a line carries the
+    line feed before it, any other follows a space."""
 
     def __init__(self, spec: str):
         from tokenizers import Tokenizer
@@ -61,39 +73,48 @@ class UnitEncoder:
         self.cuts = pre.get("type") == "ByteLevel" and pre.get("use_regex", True) and not pre.get("add_prefix_space") \
             and not file.get("normalizer") and not any(re.search(r"\s", t) for t in self.added) \
             and not any(t.get("lstrip") or t.get("rstrip") for t in file.get("added_tokens") or [])
-        self.first: dict[str, bytes] = {}              # units at the start of a line
-        self.later: dict[str, bytes] = {}              # units after a space
-        self.feed = self.whole("\n")
+        self.known = _Units()
+        self.feed = len(self.whole("\n"))
+        self.marks = {c: self.whole(c) for c in MARKS}
 
     def whole(self, text: str) -> bytes:
         return np.asarray(self.library.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
-    def learn(self, known: dict[str, bytes], units: list[str], before: str, after: str) -> None:
-        """Encode units together, each in its surroundings."""
-        at = 0
-        while at < len(units):
-            end, size = at, 0
-            while end < len(units) and (size < BLOCK or end == at):
-                size += len(units[end]) + 1
-                end += 1
-            now = units[at:end]
-            got = self.library.encode("".join(before + u + after for u in now), add_special_tokens=False)
-            size = np.cumsum([0] + [len(u) + 1 for u in now])
-            starts = np.fromiter((o[0] for o in got.offsets), np.int64, len(got.ids))
-            data = np.asarray(got.ids, "<u4").tobytes()
-            low = np.searchsorted(starts, size[:-1]) * 4
-            high = np.searchsorted(starts, size[1:] - len(after)) * 4
-            known.update(zip(now, (data[a:b] for a, b in zip(low.tolist(), high.tolist()))))
-            at = end
-
-    def _blocks(self, text: str) -> Iterator[tuple[bool, list[str]]]:
-        """(whether a line starts, units) of a text whose white space is single."""
-        for line in text.split("\n"):
-            first = True
-            while len(line) > LINE and (cut := line.rfind(" ", 0, LINE)) > 0:
-                yield first, line[:cut].split(" ")
-                line, first = line[cut + 1:], False
-            yield first, line.split(" ")
+    def _encoded(self, units: list[str]) -> Iterator[tuple[str, bytes]]:
+        """Units that the library encodes together, each after a space or its line feed."""
+        at, size = 0, 0
+        spelt = [u if u[0] == "\n" else " " + u for u in units]
+        for end, u in enumerate(spelt, 1):
+            size += len(u)
+            if size < BLOCK and end < len(units):
+                continue
+            got = self.library.encode("".join(spelt[at:end]), add_special_tokens=False)
+            ids = got.ids
+            starts = np.fromiter((o[0] for o in got.offsets), np.int64, len(ids))
+            data = np.asarray(ids, "<u4").tobytes()
+            cuts = (np.searchsorted(starts, np.cumsum([0, *map(len, spelt[at:end])])) * 4).tolist()
+            yield from zip(units[at:end], map(data.__getitem__, map(slice, cuts, cuts[1:])))
+            at, size = end, 0
+
+    def _learn(self, new: set[str]) -> None:
+        """Ids of unknown units; None for those that can't be taken out of their text."""
+        known, marks = self.known, self.marks
+        known.rest = found = {}
+        marked, plain = [], set()
+        for u in new:
+            core = u[1:] if u[:1] == "\n" else u
+            if not core or core[0].isspace() or core[-1].isspace():
+                found[u] = None
+            elif core[-1] in marks and core[-2:-1].isalpha():            # a mark after a letter is a piece of its own
+                marked.append(u)
+                if u[:-1] not in known:
+                    plain.add(u[:-1])
+            else:
+                plain.add(u)
+        found.update(self._encoded(list(plain)))
+        found.update([(u, known[u[:-1]] + marks[u[-1]]) for u in marked])
+        if len(known) < UNITS:                                           # frequent units come early
+            known.update([(u, x) for u, x in found.items() if x is not None and len(u) <= LONG_UNIT])
 
     def _odd(self, text: str) -> bytes:
         if not self.cuts or len(text) <= BLOCK:
@@ -107,44 +128,32 @@ class UnitEncoder:
         return b"".join(out)
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        plain = [self.cuts and bool(t) and not _ODD.search(t) and not any(x in t for x in self.added) for t in texts]
-        if len(self.later) + len(self.first) > UNITS:
-            self.later.clear()
-            self.first.clear()
-        first, later = set(), set()
-        for text, is_plain in zip(texts, plain):
-            if is_plain:
-                for starts, units in self._blocks(text):
-                    if starts:
-                        first.add(units[0])
-                        del units[0]
-                    later.update(units)
-        for known, units, before, after in ((self.first, first, "", "\n"), (self.later, later, " ", "")):
-            new = sorted(units.difference(known))
-            if new:
-                self.learn(known, new, before, after)
-        out, one, other = [], self.first.__getitem__, self.later.__getitem__
-        for text, is_plain in zip(texts, plain):
-            if not is_plain:
-                out.append(self._odd(text) if text else b"")
-                continue
-            parts, begun = [], False
-            for starts, units in self._blocks(text):
-                if starts:
-                    if begun:
-                        parts.append(self.feed)
-                    begun = True
-                    parts.append(one(units[0]))
-                    del units[0]
-                parts.extend(map(other, units))
-            out.append(b"".join(parts))
-        for known, units in ((self.first, first), (self.later, later)):
-            for unit in units:
-                if len(unit) > LONG_UNIT:
-                    known.pop(unit, None)
+        # every unit after a space; the line feed put before the text goes again
+        rows = [("\n" + t).replace("\n", " \n")[1:] if self.cuts and t and not any(x in t for x in self.added) else None for t in texts]
+        units: set[str] = set()
+        for row in rows:
+            for block in _blocks(row):
+                units.update(block)
+        self._learn({u for u in units if u not in self.known})
+        get, out = self.known.__getitem__, []
+        for text, row in zip(texts, rows):
+            try:
+                out.append(b"".join([b"".join(map(get, block)) for block in _blocks(row)])[self.feed:] if row else self._odd(text) if text else b"")
+            except TypeError:                                              # white space that isn't single
+                out.append(self._odd(text))
         return out
 
 
+def _blocks(row: str | None) -> Iterator[list[str]]:
+    """Units of a text, those of some characters at a time."""
+    at = 0
+    while row and (cut := row.find(" ", at + LINE)) > 0:
+        yield row[at:cut].split(" ")
+        at = cut + 1
+    if row:
+        yield row[at:].split(" ")
+
+
 _ENCODERS: dict[int, UnitEncoder] = {}
 
 
@@ -168,8 +177,9 @@ def write(docs: DataFrame, path: str, tokenizer: str, end_id: int, id_col: str =
         encoder, before = _encoder(spec.value), 0
         end = np.asarray([end_id], "<u4").tobytes()
         for batch in batches:
-            for at in range(0, batch.num_rows, TEXTS):
-                some = batch.slice(at, TEXTS)
+            ends = np.cumsum(pc.binary_length(batch.column(1)).to_numpy())
+            for at in (cuts := np.unique([0, *np.searchsorted(ends, range(CHARS, int(ends[-1]) if len(ends) else 0, CHARS))]).tolist()):
+                some = batch.slice(at, next((c for c in cuts if c > at), batch.num_rows) - at)
                 data = [x + end for x in encoder.encode(some.column(1).to_pylist())]
                 sizes = np.asarray([len(x) // 4 for x in data], np.int64)
                 offsets = np.concatenate([[0], np.cumsum(sizes)])
