@@ -38,6 +38,7 @@ from tessera.session import scratch_path
 
 FAN = 64                  # blocks that one task of a merging round takes
 PIECE = 8192              # ids in one piece of an open node's list of ends
+BORDER = 200_000          # border nodes (a key and a number each) that may be broadcast
 ROWS = 10_000             # rows of one output batch
 
 _FIELDS = [("kind", pa.string()), ("block", pa.int64()), ("key", pa.binary()), ("parent_key", pa.binary()), ("conv_id", pa.int64()),
@@ -248,10 +249,13 @@ def trie(conversations: DataFrame, id_col: str = "conv_id", seq_col: str = "seq"
         border = border.unionByName(x)
     sha = found.where("kind = 'ends'").select("key", "ends", "block", "depth").repartition(F.col("key")) \
         .sortWithinPartitions("key", "block", "depth").select("key", "ends").mapInArrow(_ends, "key binary, sha string")
-    border = border.join(sha, "key", "left").withColumn("ends_sha256", F.coalesce("sha", F.lit(NOTHING))).drop("sha")
+    border = border.drop("ends").join(sha, "key", "left").withColumn("ends_sha256", F.coalesce("sha", F.lit(NOTHING))).drop("sha")
     inner = found.where("kind = 'closed'")
-    # children of border nodes learn their parent's smallest member; the border has a few rows a partition
+    # children of border nodes learn their parent's smallest member. The border has a few rows a partition; with
+    # very long conversations it may have many, and is broadcast only where its counted rows are few
     above = border.select(F.col("key").alias("parent_key"), F.col("conv_id").alias("_parent"))
+    if sum(x.count() for x in closed) <= BORDER:
+        above = F.broadcast(above)
     inner = inner.join(above, "parent_key", "left").withColumn("parent_conv_id", F.coalesce("parent_conv_id", "_parent"))
     own = border.drop("parent_conv_id").join(above.withColumnRenamed("_parent", "parent_conv_id"), "parent_key", "left")
     names = ["conv_id", "depth", "parent_conv_id", "n_convs", "n_children", "n_leaves", "saved_tokens", "ends_sha256"]
