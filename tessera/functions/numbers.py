@@ -80,3 +80,13 @@ def fix_decimal(c: Column) -> Column:
     removed, then the guarded parse; ``1.234,56`` therefore becomes NULL."""
     s = F.regexp_replace(c.cast("string"), r"(?<=\d),(?=\d)", ".")
     return to_number(F.replace(s, F.lit('"'), F.lit("")))
+
+
+def digamma_sql(m: str) -> str:
+    """The digamma function of a whole number from 1 on, as SQL that Spark and
+    DuckDB share: ten steps of its recursion, then the asymptotic series."""
+    z = f"(CAST({m} AS DOUBLE) + 10)"
+    steps = " + ".join(f"1e0 / (CAST({m} AS DOUBLE) + {i})" for i in range(10))
+    # terms B(2n) / (2n z^2n)
+    series = "".join(f" - {num}e0 / ({den} * pow({z}, {p}))" for num, den, p in ((1, 12, 2), (-1, 120, 4), (1, 252, 6), (-1, 240, 8), (1, 132, 10)))
+    return f"(ln({z}) - 1e0 / (2 * {z}){series} - ({steps}))"

@@ -18,13 +18,14 @@ from tessera.functions.ranking import _blocks
 
 
 def cumulative_counts(counts: DataFrame, group_cols: list[str], value_col: str, count_col: str,
-                      n_blocks: int | None = None, rel_err: float = 0.001) -> DataFrame:
+                      n_blocks: int | None = None, rel_err: float = 0.001, ties: tuple[str, ...] = ()) -> DataFrame:
     """(group, value, count) -> adds ``before``: rows of the group with a
-    smaller value. No task holds more than ~1/n_blocks of any group."""
+    smaller value (or an equal one that comes first by the ``ties`` columns).
+    No task holds more than ~1/n_blocks of any group."""
     spark = counts.sparkSession
     n_blocks = n_blocks or max(2, int(spark.conf.get("spark.sql.shuffle.partitions")))
     blk = _blocks(counts, value_col, n_blocks, rel_err)
-    w = Window.partitionBy(*group_cols, "_blk").orderBy(value_col) \
+    w = Window.partitionBy(*group_cols, "_blk").orderBy(value_col, *ties) \
         .rowsBetween(Window.unboundedPreceding, -1)
     local = blk.withColumn("_lb", F.coalesce(F.sum(count_col).over(w), F.lit(0)))
     sizes = blk.groupBy(*group_cols, "_blk").agg(F.sum(count_col).alias("_n"))

@@ -18,8 +18,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.functions.frame import columns_of_kind, qcol
-from tessera.functions.quantiles import exact_quantiles
+from tessera.functions.numbers import digamma_sql
+from tessera.functions.planar import kth_distance
+from tessera.functions.quantiles import cumulative_counts, exact_quantiles
 from tessera.functions.ranking import average_rank
+from tessera.session import cut_lineage
 
 
 def _features(df: DataFrame, targets: list[str], features: list[str] | None) -> list[str]:
@@ -75,8 +78,8 @@ def spearman(df: DataFrame, features: list[str], target: str) -> DataFrame:
     """R2: Pearson correlation of average ranks, pairwise-complete per
     feature. Rows collapse to distinct (feature, x, y) with counts; ranks of
     x and of y are computed within each feature's complete pairs."""
-    items = F.array(*[F.struct(F.lit(f).alias("feature"), qcol(f).cast("double").alias("x")) for f in features])
-    longf = df.select(qcol(target).cast("double").alias("y"), F.inline(items)) \
+    items = F.array(*[F.struct(F.lit(f).alias("feature"), _number(f).alias("x")) for f in features])
+    longf = df.select(_number(target).alias("y"), F.inline(items)) \
         .where(F.col("x").isNotNull() & F.col("y").isNotNull())
     pairs = longf.groupBy("feature", "x", "y").agg(F.count(F.lit(1)).alias("n"))
     rx = average_rank(pairs.groupBy("feature", "x").agg(F.sum("n").alias("n")), ["feature"], "x", "n", "rx")
@@ -259,8 +262,8 @@ def mutual_information(df: DataFrame, targets: list[str], features: list[str] |
     out = None
     for t in targets:
         items = F.array(*[F.struct(F.lit(f).alias("feature"),
-                                   bin_expr(qcol(f).cast("double"), cuts[f]).alias("bx")) for f in feats])
-        longf = df.select(bin_expr(qcol(t).cast("double"), cuts[t]).alias("by"), F.inline(items)) \
+                                   bin_expr(_number(f), cuts[f]).alias("bx")) for f in feats])
+        longf = df.select(bin_expr(_number(t), cuts[t]).alias("by"), F.inline(items)) \
             .where(F.col("bx").isNotNull() & F.col("by").isNotNull())
         joint = longf.groupBy("feature", "bx", "by").agg(F.count(F.lit(1)).alias("nxy"))
         px = joint.groupBy("feature", "bx").agg(F.sum("nxy").alias("nx"))
@@ -273,6 +276,55 @@ def mutual_information(df: DataFrame, targets: list[str], features: list[str] |
     return out.select("feature", "target", "mi").orderBy("target", "mi", "feature")
 
 
+#: Distances closer than this share of the numbers at hand count as equal.
+EQUAL = 1e-12
+
+
+def mutual_information_knn(df: DataFrame, targets: list[str], features: list[str] | None = None,
+                           k: int = 3) -> DataFrame:
+    """Mutual information (nats) by nearest neighbours (Kraskov, Stoegbauer
+    and Grassberger 2004), sorted ascending: with r the distance to the k-th
+    neighbour in the plane of feature and target (scaled to unit variance, larger of
+    both axes), digamma(n) + digamma(k) less the mean digamma of the rows
+    strictly nearer than r on either axis, the row itself included; 0 if negative.
+
+    Rows with a NULL or NaN in the pair are skipped; a pair with k rows or fewer has
+    a null score. No noise is added: where the k-th distance is 0, rows at the same
+    value count. One pass finds all k-th distances in tiles of the plane
+    (:mod:`tessera.functions.planar`); ranges on an axis are differences of
+    cumulative counts over the sorted values."""
+    feats = _features(df, targets, features)
+    pairs = [(f, t) for t in targets for f in feats]
+    items = F.array(*[F.struct(F.lit(f"{i}").alias("g"), _number(f).alias("x"), _number(t).alias("y")) for i, (f, t) in enumerate(pairs)])
+    rows = df.select(F.inline(items)).where(F.col("x").isNotNull() & F.col("y").isNotNull())
+    scale = rows.groupBy("g").agg(F.count(F.lit(1)).alias("n"), F.stddev_pop("x").alias("sx"), F.stddev_pop("y").alias("sy"))
+    spark, schema = df.sparkSession, "g string, n long, sx double, sy double"
+    found = scale.collect()                                         # a row a pair
+    scale = F.broadcast(spark.createDataFrame([(r["g"], r["n"], r["sx"] or 1.0, r["sy"] or 1.0) for r in found], schema))
+    scaled = rows.join(scale, "g").select("g", (F.col("x") / F.col("sx")).alias("x"), (F.col("y") / F.col("sy")).alias("y"))
+    near = cut_lineage(kth_distance(scaled, k).where(F.col("r") != float("inf")))
+
+    axes = F.array(F.struct(F.lit("x").alias("axis"), F.col("x").alias("v")), F.struct(F.lit("y").alias("axis"), F.col("y").alias("v")))
+    sides = near.select("g", "x", "y", "w", "r", F.inline(axes))
+    tol = F.lit(EQUAL) * (F.abs("v") + F.col("r") + 1)
+    sides = sides.withColumn("h", F.greatest(F.col("r") - tol, tol))
+    # how many values come before the upper end, less how many up to the lower end
+    ends = F.array(F.struct((F.col("v") + F.col("h")).alias("at"), F.lit(0).alias("kind")),
+                   F.struct((F.col("v") - F.col("h")).alias("at"), F.lit(2).alias("kind")))
+    asked = sides.select("g", "axis", "x", "y", "w", F.inline(ends))
+    values = sides.groupBy("g", "axis", F.col("v").alias("at")).agg(F.sum("w").alias("w")).withColumn("kind", F.lit(1))
+    events = values.unionByName(asked.select("g", "axis", "at", "kind").distinct().withColumn("w", F.lit(0).cast("long")))
+    counted = cumulative_counts(events, ["g", "axis"], "at", "w", ties=("kind",)).where(F.col("kind") != 1) \
+        .select("g", "axis", "at", "kind", "before")
+    rows_in = asked.join(counted, ["g", "axis", "at", "kind"]).groupBy("g", "axis", "x", "y", "w") \
+        .agg(F.sum(F.when(F.col("kind") == 0, F.col("before")).otherwise(-F.col("before"))).alias("m"))
+    sums = rows_in.groupBy("g").agg(F.sum(F.col("w") * F.expr(digamma_sql("m"))).alias("s"))
+    names = spark.createDataFrame([(f"{i}", f, t) for i, (f, t) in enumerate(pairs)], "g string, feature string, target string")
+    mi = F.expr(f"{digamma_sql('n')} + {digamma_sql(str(k))} - s / n")
+    return F.broadcast(names).join(scale, "g", "left").join(sums, "g", "left") \
+        .select("feature", "target", F.when(F.col("s").isNotNull(), F.greatest(mi, F.lit(0.0))).alias("mi")).orderBy("target", "mi", "feature")
+
+
 # ---------------------------------------------------------------- R12-R16
 def causal_effect(df: DataFrame, outcome: str, treatments: list[str] | None = None,
                   confounders: list[str] | None = None) -> DataFrame:

@@ -170,6 +170,37 @@ def mutual_information_wide(spark, d):
     return mi.select("feature", "target", F.round("mi", 9).alias("mi"))
 
 
+#: p_size with gaps of both kinds.
+GAPPY_SIZE = "CASE WHEN p_partkey % 17 = 0 THEN NULL WHEN p_partkey % 19 = 0 THEN CAST('NaN' AS DOUBLE) ELSE CAST(p_size AS DOUBLE) END"
+
+
+def _mi_knn_sql(k=3):
+    from tessera.functions.numbers import digamma_sql
+    columns = {"p_partkey": "CAST(p_partkey AS DOUBLE)", "p_size": GAPPY_SIZE}
+    parts = " UNION ALL ".join(f"SELECT '{f}' AS feature, p_partkey AS id, {c} AS x, p_retailprice AS y FROM part" for f, c in columns.items())
+    tol = "1e-12 * (abs({v}) + r + 1)"
+    half = {v: f"greatest(r - {tol.format(v='a.' + v)}, {tol.format(v='a.' + v)})" for v in "xy"}
+    return f"""
+WITH u AS (SELECT * FROM ({parts}) WHERE x IS NOT NULL AND NOT isnan(x)),
+p AS (SELECT feature, id, x / stddev_pop(x) OVER (PARTITION BY feature) AS x, y / stddev_pop(y) OVER (PARTITION BY feature) AS y FROM u),
+r AS (SELECT a.feature, a.id, min(greatest(abs(a.x - b.x), abs(a.y - b.y)), {k})[{k}] AS r
+      FROM p a JOIN p b ON a.feature = b.feature AND a.id <> b.id GROUP BY a.feature, a.id),
+q AS (SELECT p.*, r FROM p JOIN r USING (feature, id)),
+c AS (SELECT a.feature, a.id, count(*) FILTER (abs(b.x - a.x) < {half['x']}) AS nx, count(*) FILTER (abs(b.y - a.y) < {half['y']}) AS ny
+      FROM q a JOIN p b ON a.feature = b.feature GROUP BY a.feature, a.id)
+SELECT feature, 'p_retailprice' AS target,
+       round(greatest(0, {digamma_sql('count(*)')} + {digamma_sql(str(k))} - avg({digamma_sql('nx')} + {digamma_sql('ny')})), 9) AS mi
+FROM c GROUP BY feature"""
+
+
+@register("mutual_information_knn_part", "R11", _mi_knn_sql())
+def mutual_information_knn_part(spark, d):
+    from tessera.sources.tables import table
+    part = table(spark, d, "part").withColumn("p_size", F.expr(GAPPY_SIZE))
+    mi = R.mutual_information_knn(part, ["p_retailprice"], ["p_partkey", "p_size"])
+    return mi.select("feature", "target", F.round("mi", 9).alias("mi"))
+
+
 @register("causal_effect_single", "R12", """
 SELECT 'quantity' AS treatment, round(regr_slope(l_extendedprice, l_quantity), 4) AS effect FROM lineitem
 UNION ALL SELECT 'all_treatments', round(regr_slope(l_extendedprice, l_quantity), 4) FROM lineitem""")
