@@ -3,9 +3,8 @@ spectral, k-prototypes, automatic tuning and the selection wrapper.
 
 Every method returns (id, Cluster). k-means and GMM are Spark ML
 estimators. DBSCAN is exact and order-free (two tile-pair passes, see
-:func:`dbscan`). Agglomerative merges k-means micro-clusters on the driver
-(a few hundred weighted centroids, Lance-Williams updates), then joins the
-micro-cluster labels back to the rows."""
+:func:`dbscan`). Agglomerative clustering cuts merge trees
+(:mod:`tessera.operators.linkage`)."""
 
 from __future__ import annotations
 
@@ -19,6 +18,7 @@ from pyspark.sql import functions as F
 from tessera.functions.frame import qcol
 from tessera.functions.pairs import DEFAULT_TILE_ROWS, apply_grid, apply_tiles, euclidean, stack, vector_col
 from tessera.functions.ranking import group_row_number
+from tessera.operators.linkage import MergeTree, cut_scores, merge_trees, merges_of, single_linkage
 from tessera.operators.neighbors import connected_components, knn
 from tessera.session import cut_lineage
 
@@ -169,64 +169,17 @@ def dbscan(df: DataFrame, features, id_col: str, eps: float = 0.5, min_samples:
 
 # ---------------------------------------------------------------- K2
 def _lance_williams(C: np.ndarray, w: np.ndarray, k: int, linkage: str) -> np.ndarray:
-    """Merge weighted centroids down to k groups; returns the group of each
-    centroid. Ward starts from the variance that joining two centroids of
-    their weights adds; complete / average / single work on the centroid
-    distances (an approximation of those linkages of the points)."""
-    m = len(C)
-    groups = {i: [i] for i in range(m)}
-    D = np.sqrt(((C[:, None, :] - C[None, :, :]) ** 2).sum(-1))
-    if linkage == "ward":
-        D = 2.0 * np.outer(w, w) / np.add.outer(w, w) * D ** 2
-    np.fill_diagonal(D, np.inf)
-    size = w.astype(float).copy()
-    alive = np.ones(m, dtype=bool)
-    while alive.sum() > k:
-        sub = np.where(alive[:, None] & alive[None, :], D, np.inf)
-        i, j = np.unravel_index(np.argmin(sub), sub.shape)
-        i, j = min(i, j), max(i, j)
-        for t in np.nonzero(alive)[0]:
-            if t in (i, j):
-                continue
-            if linkage == "ward":
-                n = size[i] + size[j] + size[t]
-                d = ((size[i] + size[t]) * D[i, t] + (size[j] + size[t]) * D[j, t] - size[t] * D[i, j]) / n
-            elif linkage == "complete":
-                d = max(D[i, t], D[j, t])
-            elif linkage == "single":
-                d = min(D[i, t], D[j, t])
-            elif linkage == "average":
-                d = (size[i] * D[i, t] + size[j] * D[j, t]) / (size[i] + size[j])
-            else:
-                raise ValueError(f"unknown linkage {linkage!r}")
-            D[i, t] = D[t, i] = d
-        size[i] += size[j]
-        groups[i] += groups.pop(j)
-        alive[j] = False
-        D[j, :] = D[:, j] = np.inf
-    out = np.empty(m, dtype=int)
-    for g, (_, members) in enumerate(sorted(groups.items(), key=lambda kv: min(kv[1]))):
-        out[members] = g
-    return out
+    """Groups of weighted centroids merged down to ``k``."""
+    return np.array(MergeTree(None, "", len(C), merges_of(C, w, linkage)).groups(k))
 
 
 def agglomerative(df: DataFrame, features, id_col: str, k: int = 3, linkage: str = "ward",
                   micro: int = 200, seed: int = 42) -> DataFrame:
-    """K2: two-phase agglomerative clustering: k-means micro-clusters on
-    Spark, Lance-Williams merging of their weighted centroids on the driver
-    (micro x micro, model-sized), labels joined back by micro-cluster."""
-    n = df.count()
-    m = int(min(max(micro, k), max(k, n)))
-    labels, model = kmeans(df, features, id_col, k=m, seed=seed, return_model=True)
-    sizes = {r["Cluster"]: r["n"] for r in labels.groupBy("Cluster").agg(F.count(F.lit(1)).alias("n")).collect()}
-    centers = np.array(model.clusterCenters())
-    used = sorted(sizes)
-    C = centers[used]
-    w = np.array([sizes[u] for u in used])
-    groups = _lance_williams(C, w, min(k, len(used)), linkage)
-    mapping = df.sparkSession.createDataFrame([(int(u), int(g)) for u, g in zip(used, groups)],
-                                              "Cluster int, _g int")
-    return labels.join(F.broadcast(mapping), "Cluster").select(qcol(id_col), F.col("_g").alias("Cluster"))
+    """K2: single linkage is exact (:func:`tessera.operators.linkage.single_linkage`);
+    the others cut the merge tree of k-means micro-clusters."""
+    if linkage == "single":
+        return single_linkage(df, features, id_col, k)
+    return merge_trees(df, features, id_col, [linkage], micro, k, seed)[linkage].cut(k)
 
 
 # ---------------------------------------------------------------- K5
@@ -354,15 +307,15 @@ def tune_dbscan(df, features, id_col, eps_values=None, min_samples_values=None,
 
 
 def tune_agglomerative(df, features, id_col, k_range=None, linkages=("ward", "complete"),
-                       patience: int = 3) -> dict:
-    """Per linkage (patience reset per linkage), best silhouette."""
-    n = df.count()
-    k_range = list(k_range or range(2, min(50, n) + 1))
-    score = _score_fn(df, features, id_col)
+                       patience: int = 3, micro: int = 200) -> dict:
+    """Per linkage (patience reset per linkage), best silhouette. One
+    merge tree per linkage gives every candidate, one pass over the pairs all scores."""
+    k_range = list(k_range or range(2, min(50, df.count()) + 1))
+    trees = merge_trees(df, features, id_col, linkages, micro, max(k_range, default=2))
+    scores = cut_scores(df, features, trees, k_range)
     overall, overall_s = None, -np.inf
     for link in linkages:
-        best, s = _tune_loop(k_range, lambda k: agglomerative(df, features, id_col, k=k, linkage=link),
-                             score, patience)
+        best, s = _tune_loop(k_range, lambda k: (link, k), scores.get, patience)
         if best is not None and s > overall_s:
             overall, overall_s = {"n_clusters": best, "linkage": link}, s
     return {**(overall or {"n_clusters": 3, "linkage": linkages[0]}), "score": overall_s if overall else None}

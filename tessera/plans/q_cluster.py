@@ -7,6 +7,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tessera.operators import cluster as K
+from tessera.operators import linkage as L
 from tessera.operators import reduce as D
 from tessera.plans.catalog import register
 from tessera.plans.q_select import blobs2d
@@ -56,7 +57,41 @@ def agglomerative_embeddings(spark, d):
     return K.agglomerative(emb(spark, d), "embedding", "vec_id", k=10, linkage="ward")
 
 
-@register("agglomerative_single_embeddings", "K2")
+#: Prim's algorithm: at each step the nearest point that is not in the tree (whose entry isn't infinite) joins it.
+SPANNING_SQL = """
+WITH RECURSIVE e AS (SELECT vec_id AS id, CAST(embedding AS DOUBLE[]) AS x, row_number() OVER (ORDER BY vec_id) AS i FROM embeddings),
+m AS (SELECT a.i, list(list_distance(a.x, b.x) ORDER BY b.i) AS ds FROM e a, e b GROUP BY a.i),
+p AS (
+  SELECT 1 AS step, CAST(1 AS BIGINT) AS v, CAST(NULL AS BIGINT) AS f, CAST(NULL AS DOUBLE) AS d,
+         list_transform(ds, lambda x, j: CASE WHEN j = 1 THEN CAST('infinity' AS DOUBLE) ELSE x END) AS best,
+         list_transform(ds, lambda x, j: CAST(1 AS BIGINT)) AS via FROM m WHERE i = 1
+  UNION ALL
+  SELECT step + 1, n, via[n], best[n],
+         list_transform(best, lambda x, j: CASE WHEN j = n OR isinf(x) THEN CAST('infinity' AS DOUBLE) ELSE least(x, ds[j]) END),
+         list_transform(via, lambda x, j: CASE WHEN NOT isinf(best[j]) AND ds[j] < best[j] THEN n ELSE x END)
+  FROM (SELECT *, CAST(list_position(best, list_min(best)) AS BIGINT) AS n FROM p) q JOIN m ON m.i = q.n WHERE NOT isinf(list_min(best))),
+t AS (SELECT step, v, f, d, row_number() OVER (ORDER BY d DESC) AS longest FROM p WHERE f IS NOT NULL)"""
+
+
+@register("spanning_tree_embeddings", "K2,N0", SPANNING_SQL + """
+SELECT least(a.id, b.id) AS a, greatest(a.id, b.id) AS b, round(d, 9) AS dist FROM t JOIN e a ON a.i = t.v JOIN e b ON b.i = t.f""")
+def spanning_tree_embeddings(spark, d):
+    return L.spanning_edges(emb(spark, d), "embedding", "vec_id").select("a", "b", F.round("dist", 9).alias("dist"))
+
+
+@register("merge_tree_embeddings", "K2,K10")
+def merge_tree_embeddings(spark, d):
+    """The dendrograms of both tuned linkages, from one k-means."""
+    trees = L.merge_trees(emb(spark, d), "embedding", "vec_id", ["ward", "complete"])
+    ward, complete = (trees[x].table().withColumn("linkage", F.lit(x)) for x in ("ward", "complete"))
+    return ward.unionByName(complete)
+
+
+@register("agglomerative_single_embeddings", "K2", SPANNING_SQL + """,
+g AS (SELECT v AS a, f AS b FROM t WHERE longest > 4 UNION ALL SELECT f, v FROM t WHERE longest > 4),
+r(id, root) AS (SELECT i, i FROM e UNION SELECT g.b, r.root FROM r JOIN g ON g.a = r.id),
+c AS (SELECT id, min(root) AS root FROM r GROUP BY id)
+SELECT e.id AS vec_id, CAST(dense_rank() OVER (ORDER BY root) - 1 AS INTEGER) AS Cluster FROM c JOIN e ON e.i = c.id""")
 def agglomerative_single_embeddings(spark, d):
     return K.agglomerative(emb(spark, d), "embedding", "vec_id", k=5, linkage="single")
 
@@ -88,7 +123,7 @@ def tune_dbscan_embeddings_2d(spark, d):
 
 @register("tune_agglomerative_embeddings", "K10,K12")
 def tune_agglomerative_embeddings(spark, d):
-    p = K.best_params("AGGLOMERATIVE", emb(spark, d), "embedding", "vec_id", k_range=range(2, 6))
+    p = K.best_params("AGGLOMERATIVE", emb(spark, d), "embedding", "vec_id")
     return spark.createDataFrame([(p["n_clusters"], p["linkage"], p["score"])],
                                  "n_clusters int, linkage string, silhouette double")
 

@@ -8,6 +8,7 @@ import pytest
 
 from tessera.functions import planar
 from tessera.functions.numbers import digamma_sql
+from tessera.operators import linkage as L
 from tessera.operators import relevance as R
 
 
@@ -67,3 +68,83 @@ def test_not_a_number_is_missing(spark):
     df = spark.createDataFrame(rows, "x double, y double")
     assert R.spearman(df, ["x"], "y").first()["corr"] == pytest.approx(1.0)
     assert R.mutual_information(df, ["y"], ["x"], 3).first()["mi"] == pytest.approx(math.log(3))
+
+
+# ------------------------------------------------------------------ linkage
+def brute_tree(points):
+    """Kruskal with edges ordered by (distance, ids)."""
+    ids = sorted(points)
+    edges = sorted((float(np.sqrt(((points[a] - points[b]) ** 2).sum())), a, b) for i, a in enumerate(ids) for b in ids[i + 1:])
+    root = {i: i for i in ids}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    out = []
+    for d, a, b in edges:
+        if find(a) != find(b):
+            root[find(a)] = find(b)
+            out.append((a, b, d))
+    return out
+
+
+def cloud(seed, n=160, ties=False):
+    rng = np.random.default_rng(seed)
+    centres = rng.normal(size=(4, 3)) * 30                     # clumps, whose lists of neighbours end inside
+    x = centres[rng.integers(0, 4, n)] + rng.normal(size=(n, 3))
+    return {int(i) * 7: v for i, v in enumerate(np.round(x) if ties else x)}
+
+
+def frame(spark, points):
+    return spark.createDataFrame([(i, *v.tolist()) for i, v in points.items()], "id long, x double, y double, z double")
+
+
+@pytest.mark.parametrize("ties,small", [(False, 10 ** 5), (True, 0)])
+def test_spanning_tree(spark, monkeypatch, ties, small):
+    monkeypatch.setattr(L, "SMALL_GRAPH", small)
+    points = cloud(4, 120, ties)
+    edges = L.spanning_edges(frame(spark, points), ["x", "y", "z"], "id", neighbours=3, tile_rows=40)
+    got = sorted((r["a"], r["b"], r["dist"]) for r in edges.collect())
+    assert got == [(a, b, pytest.approx(d)) for a, b, d in sorted(brute_tree(points))]
+
+
+def test_single_linkage_of_few_points(spark):
+    points = cloud(1, 6)
+    df = frame(spark, points)
+    for k in (1, 2, 6, 9):
+        labels = {r["id"]: r["Cluster"] for r in L.single_linkage(df, ["x", "y", "z"], "id", k).collect()}
+        kept = brute_tree(points)[:max(0, 6 - k)]
+        want = {i: i for i in points}
+        for a, b, _ in kept:
+            want = {i: min(want[a], want[b]) if c in (want[a], want[b]) else c for i, c in want.items()}
+        order = sorted(set(want.values()))
+        assert labels == {i: order.index(c) for i, c in want.items()}
+    assert L.single_linkage(df.limit(0), ["x", "y", "z"], "id", 3).count() == 0
+
+
+def test_cuts_are_nested_and_scored(spark):
+    from tessera.operators.cluster import agglomerative
+    from tessera.operators.cluster_quality import silhouette
+    points = cloud(2)
+    df = frame(spark, points)
+    trees = L.merge_trees(df, ["x", "y", "z"], "id", ["ward", "complete", "average"], micro=30)
+    for tree in trees.values():
+        finer = tree.groups(1)
+        assert set(finer) == {0}
+        for k in range(2, 31):
+            coarser, finer = finer, tree.groups(k)
+            assert len(set(finer)) == k
+            assert len(set(zip(finer, coarser))) == k                 # each group lies in one group of the cut before
+        heights = [h for _, _, h in tree.merges]
+        assert heights == sorted(heights) and tree.table().count() == 29
+    scores = L.cut_scores(df, ["x", "y", "z"], trees, [1, 2, 4, 9, 30])
+    for (name, k), s in scores.items():
+        labels = trees[name].cut(k)
+        want = silhouette(df.join(labels, "id"), ["x", "y", "z"], "Cluster", "id").first()[0]
+        assert s == (None if want is None else pytest.approx(want)), (name, k)
+    again = agglomerative(df, ["x", "y", "z"], "id", 4, "ward", micro=30)
+    assert again.join(trees["ward"].cut(4), ["id", "Cluster"]).count() == len(points)
+    assert L.merge_trees(df.limit(0), ["x", "y", "z"], "id", ["ward"])["ward"].cut(3).count() == 0
+    assert [r["Cluster"] for r in L.merge_trees(df.limit(1), ["x", "y", "z"], "id", ["ward"])["ward"].cut(3).collect()] == [0]
