@@ -156,6 +156,61 @@ def simple_impute_dirty_orders(spark, d):
         F.col("o_orderpriority").alias("priority_mode"))
 
 
+@register("task_types_dirty_orders", "I4", f"""
+WITH s AS (SELECT * FROM {FX.view(FX.DIRTY_ORDERS_SQL)}),
+n AS (SELECT 'o_custkey' AS column_name, true AS numeric, count(DISTINCT o_custkey) AS n FROM s
+  UNION ALL SELECT 'o_orderstatus', false, count(DISTINCT o_orderstatus) FROM s
+  UNION ALL SELECT 'o_totalprice', true, count(DISTINCT o_totalprice) FROM s
+  UNION ALL SELECT 'o_orderdate', false, count(DISTINCT o_orderdate) FROM s
+  UNION ALL SELECT 'o_orderpriority', false, count(DISTINCT o_orderpriority) FROM s)
+SELECT column_name, CASE WHEN numeric AND n > 20 THEN 'regression' WHEN n <= 2 THEN 'binary' ELSE 'multiclass' END AS task FROM n""")
+def task_types_dirty_orders(spark, d):
+    df = FX.dirty_orders(spark, d)
+    rows = [(c, I.task_type(df, c)) for c in df.columns if c != "o_orderkey"]
+    return spark.createDataFrame(rows, "column_name string, task string")
+
+
+def _knn_sql(distance, fill):
+    """The sampled rows near each row without a value, and what the five nearest give."""
+    return f"""
+WITH s AS (SELECT * FROM {FX.view(FX.DIRTY_ORDERS_SQL)}),
+t AS (SELECT * FROM s WHERE CAST('0x' || substr(md5(CAST(o_orderkey AS VARCHAR) || ':42'), 1, 8) AS BIGINT) % 1000000 < 200000),
+{distance},
+near AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY dist, other) AS rn FROM pairs),
+five AS (SELECT * FROM near WHERE rn <= 5),
+{fill}"""
+
+
+@register("knn_impute_priority_orders", "I5,I6,N1", _knn_sql("""
+k AS (SELECT * FROM t WHERE o_orderpriority IS NOT NULL),
+f AS (SELECT avg(CAST(o_custkey AS DOUBLE)) AS m, stddev_pop(CAST(o_custkey AS DOUBLE)) AS sd FROM k),
+pairs AS (SELECT a.o_orderkey AS id, b.o_orderkey AS other, b.o_orderpriority AS y, sqrt(((a.o_custkey - b.o_custkey) / sd) * ((a.o_custkey - b.o_custkey) / sd)) AS dist
+  FROM s a, k b, f WHERE a.o_orderpriority IS NULL)""", """
+votes AS (SELECT id, y, count(*) AS n FROM five GROUP BY id, y),
+fill AS (SELECT id, arg_min(y, (-n, y)) AS y FROM votes GROUP BY id)
+SELECT o_orderkey, coalesce(o_orderpriority, y) AS o_orderpriority FROM s LEFT JOIN fill ON id = o_orderkey"""))
+def knn_impute_priority_orders(spark, d):
+    """Vote of the five orders with the nearest customer number."""
+    df = FX.dirty_orders(spark, d).select("o_orderkey", "o_custkey", "o_orderpriority")
+    return I.knn_impute(df, "o_orderkey", "o_orderpriority").select("o_orderkey", "o_orderpriority")
+
+
+@register("knn_impute_price_orders", "I5,I6,N1", _knn_sql("""
+k AS (SELECT * FROM t WHERE o_totalprice IS NOT NULL),
+f AS (SELECT avg(CAST(o_custkey AS DOUBLE)) AS m, stddev_pop(CAST(o_custkey AS DOUBLE)) AS sd FROM k),
+pairs AS (SELECT a.o_orderkey AS id, b.o_orderkey AS other, b.o_totalprice AS y,
+    sqrt(((a.o_custkey - b.o_custkey) / sd) * ((a.o_custkey - b.o_custkey) / sd)
+      + CASE WHEN a.o_orderpriority IS DISTINCT FROM b.o_orderpriority THEN 1 ELSE 0 END
+      + CASE WHEN a.o_orderstatus IS DISTINCT FROM b.o_orderstatus THEN 1 ELSE 0 END) AS dist
+  FROM s a, k b, f WHERE a.o_totalprice IS NULL)""", """
+fill AS (SELECT id, avg(y) AS y FROM five GROUP BY id)
+SELECT o_orderkey, round(coalesce(o_totalprice, y), 6) AS o_totalprice FROM s LEFT JOIN fill ON id = o_orderkey"""))
+def knn_impute_price_orders(spark, d):
+    """Mean price of the five nearest orders by customer number, priority (with gaps) and status."""
+    df = FX.dirty_orders(spark, d).drop("o_orderdate")
+    return I.knn_impute(df, "o_orderkey", "o_totalprice").select("o_orderkey", F.round("o_totalprice", 6).alias("o_totalprice"))
+
+
 @register("model_impute_dirty_orders", "I3,I4,I5")
 def model_impute_dirty_orders(spark, d):
     """Rows-only: fast model imputation of price (regression) and priority

@@ -6,7 +6,9 @@ import math
 import numpy as np
 import pytest
 
-from tessera.functions import planar
+from pyspark.sql import functions as F
+
+from tessera.functions import blocks, planar
 from tessera.functions.numbers import digamma_sql
 from tessera.operators import linkage as L
 from tessera.operators import relevance as R
@@ -148,3 +150,46 @@ def test_cuts_are_nested_and_scored(spark):
     assert again.join(trees["ward"].cut(4), ["id", "Cluster"]).count() == len(points)
     assert L.merge_trees(df.limit(0), ["x", "y", "z"], "id", ["ward"])["ward"].cut(3).count() == 0
     assert [r["Cluster"] for r in L.merge_trees(df.limit(1), ["x", "y", "z"], "id", ["ward"])["ward"].cut(3).collect()] == [0]
+
+
+# ------------------------------------------------------------------ nearest rows
+@pytest.mark.parametrize("numeric,text,block", [(2, 1, 20), (1, 0, 16), (0, 2, 16), (2, 1, 10_000)])
+def test_nearest_rows(spark, monkeypatch, numeric, text, block):
+    monkeypatch.setattr(blocks, "ASKING_ROWS", 25)
+    rng = np.random.default_rng(numeric + text)
+
+    def rows(n, first):
+        # two thirds share one place on the axis
+        return [(first + i, [0.0 if j == 0 and i % 3 else float(np.round(rng.normal() * 5, 1)) for j in range(numeric)],
+                 [str(rng.integers(0, 3)) for _ in range(text)], str(rng.integers(0, 4))) for i in range(n)]
+
+    have, want_rows = rows(150, 1000), rows(90, 0)
+    scale = [2.0, 3.0][:numeric]
+    searched = spark.createDataFrame(have, "id long, v array<double>, c array<string>, y string")
+    asking = spark.createDataFrame([r[:3] for r in want_rows], "id long, v array<double>, c array<string>")
+    got = {r["id"]: [(n["dist"], n["other"], n["y"]) for n in r["near"]] for r in blocks.nearest_rows(asking, searched, 4, scale, 0, block).collect()}
+    assert len(got) == 90
+    for i, v, c, _ in want_rows:
+        near = sorted((math.sqrt(sum(((a - b) / s) ** 2 for a, b, s in zip(v, w, scale)) + sum(a != b for a, b in zip(c, e))), o, y)
+                      for o, w, e, y in have)[:4]
+        assert [n[1:] for n in got[i]] == [n[1:] for n in near]
+        assert [n[0] for n in got[i]] == pytest.approx([n[0] for n in near])
+    few = blocks.nearest_rows(asking, searched.where("id < 1002"), 4, scale, 0, block).collect()
+    assert {len(r["near"]) for r in few} == {2}
+    assert {len(r["near"]) for r in blocks.nearest_rows(asking, searched.limit(0), 4, scale, 0, block).collect()} == {0}
+
+
+def test_knn_impute_odd_columns(spark):
+    from tessera.operators.impute import knn_impute
+    rows = [(i, float(i % 10) if i % 7 else float("nan"), None if i % 5 == 0 else "ab"[i % 2], i % 2 == 0 if i % 4 else None, float(i) if i % 3 else None)
+            for i in range(200)]
+    df = spark.createDataFrame(rows, "id long, x double, t string, b boolean, y double")
+    for col in ("x", "t", "b", "y"):
+        out = knn_impute(df, "id", col, fraction=0.6)
+        assert out.schema == df.schema and out.count() == 200
+        assert out.where(F.col(col).isNull() | (F.isnan(col) if col in "xy" else F.lit(False))).count() == 0
+        kept = {r["id"]: r[col] for r in df.collect()}
+        assert all(r[col] == kept[r["id"]] for r in out.collect() if kept[r["id"]] is not None and kept[r["id"]] == kept[r["id"]])
+    lost = knn_impute(df.withColumn("y", F.lit(None).cast("double")), "id", "y")
+    assert lost.where("y IS NOT NULL").count() == 0
+    assert knn_impute(df.limit(0), "id", "y").count() == 0
