@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from tessera.functions.frame import qcol
 from tessera.functions.pairs import DEFAULT_TILE_ROWS, apply_grid, apply_tiles, euclidean, stack, vector_col
 from tessera.functions.ranking import group_row_number
+from tessera.operators.dbscan_grid import Grid
 from tessera.operators.linkage import MergeTree, cut_scores, merge_trees, merges_of, single_linkage
 from tessera.operators.neighbors import connected_components, knn
 from tessera.session import cut_lineage
@@ -253,7 +254,7 @@ def _tune_loop(candidates, run, score, patience):
         s = score(labels)
         if s is None:
             continue
-        if s > best_score:
+        if s > best_score + 1e-12:             # equal labels score alike but for the order of sums
             best, best_score, misses = params, s, 0
         else:
             misses += 1
@@ -289,19 +290,24 @@ def tune_kmeans(df, features, id_col, k_range=None, patience: int = 3, seed: int
 
 def tune_dbscan(df, features, id_col, eps_values=None, min_samples_values=None, patience: int = 5) -> dict:
     """K9: eps 0.1..4.9 x 22 min_samples values, all-noise skipped, noise
-    scored as its own cluster; fallback eps 0.5, min_samples 5."""
+    scored as its own cluster; fallback eps 0.5, min_samples 5. The cells share
+    their work (:mod:`tessera.operators.dbscan_grid`)."""
     eps_values = eps_values if eps_values is not None else [round(0.1 * i, 1) for i in range(1, 50)]
     # The min_samples grid of the reference's tuner.
     ms = min_samples_values or [2, 3, 4, 5, 6, 7, 8, 9, 10, 12, 15, 16, 17, 18, 19, 20, 25, 30, 40, 50, 75, 100]
-    grid = [(e, m) for e in eps_values for m in ms]
-    score = _score_fn(df, features, id_col)
-
-    def sc(labels):
-        if labels.where(F.col("Cluster") != NOISE).limit(1).count() == 0:
-            return None
-        return score(labels)
-
-    best, s = _tune_loop(grid, lambda p: dbscan(df, features, id_col, eps=p[0], min_samples=p[1]), sc, patience)
+    shared = Grid(df, features, id_col, eps_values, ms)
+    scores: dict[float, dict] = {}
+
+    def score(cell):
+        eps, m = float(cell[0]), cell[1]
+        sets = shared.core_sets(eps)
+        if m not in sets:
+            return None                                  # all noise
+        if eps not in scores:
+            scores[eps] = shared.scores(eps, list(set(sets.values())))
+        return scores[eps][sets[m]]
+
+    best, s = _tune_loop([(e, m) for e in eps_values for m in ms], lambda cell: cell, score, patience)
     return {"eps": best[0], "min_samples": best[1], "score": s} if best else \
         {"eps": 0.5, "min_samples": 5, "score": None}
 

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from tessera.operators import cluster as K
 from tessera.operators import linkage as L
 from tessera.operators import reduce as D
+from tessera.operators.dbscan_grid import Grid
 from tessera.plans.catalog import register
 from tessera.plans.q_select import blobs2d
 from tessera.plans.q_vectors import emb
@@ -113,10 +114,45 @@ def tune_kmeans_embeddings(spark, d):
     return spark.createDataFrame([(p["n_clusters"], p["score"])], "n_clusters int, silhouette double")
 
 
+def _dbscan_cells_sql(radii, counts):
+    """How many core points each cell of the grid has, and how many rows are noise."""
+    cells = " UNION ALL ".join(f"SELECT {e} AS eps, {m} AS m" for e in radii for m in counts)
+    return f"""
+WITH e AS (SELECT vec_id, CAST(embedding[1] AS DOUBLE) AS x, CAST(embedding[2] AS DOUBLE) AS y FROM embeddings),
+cells AS ({cells}),
+d AS (SELECT a.vec_id AS a, b.vec_id AS b, sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y)) AS d FROM e a, e b),
+n AS (SELECT eps, a, count(*) AS n FROM d, (SELECT DISTINCT eps FROM cells) WHERE d <= eps GROUP BY eps, a),
+near AS (SELECT d.a, n.eps, max(n.n) AS most FROM d JOIN n ON n.a = d.b AND d.d <= n.eps GROUP BY d.a, n.eps)
+SELECT CAST(c.eps AS DOUBLE) AS eps, CAST(c.m AS INTEGER) AS min_samples, count(*) FILTER (n.n >= c.m) AS n_core,
+       count(*) FILTER (near.most < c.m) AS n_noise
+FROM cells c JOIN n ON n.eps = c.eps JOIN near ON near.eps = c.eps AND near.a = n.a GROUP BY c.eps, c.m"""
+
+
+GRID_RADII, GRID_COUNTS = [0.005, 0.01, 0.02, 0.04], [2, 3, 5, 10, 20]
+
+
+@register("dbscan_grid_embeddings_2d", "K9,J7,N5", _dbscan_cells_sql(GRID_RADII, GRID_COUNTS))
+def dbscan_grid_embeddings_2d(spark, d):
+    """Core points and noise of every cell, from the clusterings of the shared grid."""
+    e = emb2d(spark, d)
+    grid, n = Grid(e, ["x", "y"], "vec_id", GRID_RADII, GRID_COUNTS), e.count()
+    out = spark.createDataFrame([(eps, m, grid.cores[i, m], n) for i, eps in enumerate(GRID_RADII) for m in GRID_COUNTS],
+                                "eps double, min_samples int, n_core long, n long")
+    noise = None
+    for eps in GRID_RADII:
+        sets = grid.core_sets(eps)
+        same = spark.createDataFrame([(eps, m, s) for m, s in sets.items()], "eps double, min_samples int, m int")
+        part = grid.labels(eps, list(set(sets.values()))).groupBy("m").agg(F.count_if(F.col("Cluster") == -1).alias("n_noise")) \
+            .join(F.broadcast(same), "m").drop("m")
+        noise = part if noise is None else noise.unionByName(part)
+    return out.join(noise, ["eps", "min_samples"], "left") \
+        .select("eps", "min_samples", "n_core", F.coalesce("n_noise", "n").alias("n_noise"))
+
+
 @register("tune_dbscan_embeddings_2d", "K9,K12")
 def tune_dbscan_embeddings_2d(spark, d):
-    p = K.best_params("DBSCAN", emb2d(spark, d), ["x", "y"], "vec_id",
-                      eps_values=[0.005, 0.01, 0.02], min_samples_values=[3, 5, 10])
+    """The whole grid of 49 radii and 22 counts."""
+    p = K.best_params("DBSCAN", emb2d(spark, d), ["x", "y"], "vec_id")
     return spark.createDataFrame([(float(p["eps"]), int(p["min_samples"]), p["score"])],
                                  "eps double, min_samples int, silhouette double")
 

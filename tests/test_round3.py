@@ -193,3 +193,68 @@ def test_knn_impute_odd_columns(spark):
     lost = knn_impute(df.withColumn("y", F.lit(None).cast("double")), "id", "y")
     assert lost.where("y IS NOT NULL").count() == 0
     assert knn_impute(df.limit(0), "id", "y").count() == 0
+
+
+# ------------------------------------------------------------------ dbscan grid
+def brute_dbscan(x, eps, m):
+    """Labels by position: clusters numbered by first core point, border points in the smallest adjacent one."""
+    near = np.sqrt(((x[:, None] - x[None]) ** 2).sum(-1)) <= eps
+    core = near.sum(1) >= m
+    labels, number = np.full(len(x), -1), 0
+    for i in np.nonzero(core)[0]:
+        if labels[i] < 0:
+            todo = [i]
+            while todo:
+                j = todo.pop()
+                if labels[j] < 0:
+                    labels[j] = number
+                    todo += np.nonzero(near[j] & core & (labels < 0))[0].tolist()
+            number += 1
+    for i in np.nonzero(~core)[0]:
+        labels[i] = min(labels[near[i] & core], default=-1)
+    return labels
+
+
+def brute_silhouette(x, labels):
+    names = sorted(set(labels.tolist()))
+    if len(names) < 2:
+        return None
+    d, out = np.sqrt(((x[:, None] - x[None]) ** 2).sum(-1)), []
+    for i, c in enumerate(labels):
+        own = (labels == c).sum() - 1
+        a = d[i][labels == c].sum() / own if own else None
+        b = min(d[i][labels == o].mean() for o in names if o != c)
+        out.append(0.0 if a is None else (b - a) / max(a, b))
+    return float(np.mean(out))
+
+
+@pytest.mark.parametrize("dims", [2, 4])
+def test_dbscan_grid(spark, dims):
+    from tessera.operators.cluster import tune_dbscan
+    from tessera.operators.dbscan_grid import Grid
+    rng = np.random.default_rng(dims)
+    centres = rng.normal(size=(3, dims)) * 4
+    x = np.concatenate([centres[rng.integers(0, 3, 90)] + rng.normal(size=(90, dims)) * 0.5, rng.uniform(-8, 8, (20, dims))])
+    cols = ["a", "b", "c", "d"][:dims]
+    df = spark.createDataFrame([(i * 5, *v.tolist()) for i, v in enumerate(x)], "id long, " + ", ".join(f"{c} double" for c in cols))
+    features = cols if dims == 2 else "v"
+    df = df.withColumn("v", F.array(*cols))
+    radii, counts = ([0.05, 0.6, 1.5, 40.0], [2, 5, 9, 100]) if dims == 2 else ([1.5], [2, 9])
+    grid = Grid(df, features, "id", radii, counts, tile_rows=40)
+    best = (None, -np.inf)
+    for eps in radii:
+        sets = grid.core_sets(eps)
+        got = {(r["id"], r["m"]): r["Cluster"] for r in grid.labels(eps, list(set(sets.values()))).collect()} if sets else {}
+        scores = grid.scores(eps, list(set(sets.values()))) if sets else {}
+        for m in counts:
+            want = brute_dbscan(x, eps, m)
+            if m not in sets:
+                assert set(want) == {-1}
+                continue
+            assert [got[i * 5, sets[m]] for i in range(len(x))] == want.tolist()
+            s = brute_silhouette(x, want)
+            assert scores[sets[m]] == (None if s is None else pytest.approx(s))
+            if s is not None and s > best[1] + 1e-12:
+                best = ((eps, m), s)
+    found = tune_dbscan(df, features, "id", eps_values=radii[-2:], min_samples_values=counts, patience=100)
+    assert (found["eps"], found["min_samples"]) == best[0] and found["score"] == pytest.approx(best[1])
