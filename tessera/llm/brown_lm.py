@@ -43,16 +43,18 @@ import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark import TaskContext
+from pyspark.core.broadcast import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm.common import release_memory
-from tessera.session import scratch_path
+from tessera.session import drop_table, scratch_path, shuffles_released
 
 FREQUENT, ENDINGS, CLASSES = 1024, 511, 64
 CHUNK_BYTES = 24_000_000
 SWEEPS = 8
 OWN_COUNT = 5                   # words that occur as often are clustered by themselves
+LOOKUP = 4_000_000              # words clustered by themselves that may be broadcast
 WORD_SWEEPS = 4                 # sweeps over all of these words at most
 LEAST_GAIN = 1e-3               # of a sweep over all words, in nats a token
 STEP = 300_000                  # tokens of whole texts that are counted or scored at a time
@@ -316,22 +318,26 @@ def ready(packed: DataFrame, back: DataFrame, frequent: dict[bytes, int], ending
         .select("chunk", "ids", "held", "lengths", "tokens", "words", "n", "back").mapInArrow(work, READY)
 
 
-def _with_classes(chunks: DataFrame, moved: DataFrame | None) -> DataFrame:
-    """The ready chunks with the classes of their words, part by part (null: still those of the symbols)."""
-    if moved is None:
+def _with_classes(chunks: DataFrame, moved: DataFrame | Broadcast | None) -> DataFrame:
+    """The ready chunks with the classes of their words, part by part (null:
+    those of the symbols, or of the broadcast words)."""
+    if moved is None or isinstance(moved, Broadcast):
         return chunks.withColumn("classes", F.lit(None).cast("array<struct<part: long, payload: binary>>"))
     lists = moved.where(F.col("chunk") >= 0).groupBy(F.col("chunk").alias("_chunk")).agg(F.collect_list(F.struct("part", "payload")).alias("classes"))
     return chunks.join(lists, chunks["chunk"] == lists["_chunk"], "left").drop("_chunk")
 
 
-def _opened_chunk(r: dict, own: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def _opened_chunk(r: dict, own: np.ndarray, lookup: Broadcast | None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(word numbers, words of each text, held out, places of the words clustered by themselves, class of each word)."""
     length = r["lengths"].values.to_numpy(zero_copy_only=False).astype(np.int64)
     x = _opened(r["tokens"].as_buffer(), int(length.sum()), np.uint32)
     words, n_own = r["n_words"].as_py(), r["n_own"].as_py()
     at = _opened(r["at"].as_buffer(), n_own, np.int32)
     cls = own[_opened(r["symbol"].as_buffer(), words, np.uint16)]
-    if r["classes"].is_valid:
+    if lookup is not None:
+        hashes, classes = lookup.value
+        cls[at] = classes[np.searchsorted(hashes, _opened(r["hash"].as_buffer(), n_own, np.uint64))]
+    elif r["classes"].is_valid:
         parts = sorted(r["classes"].as_py(), key=lambda p: p["part"])
         cls[at] = np.concatenate([np.frombuffer(p["payload"], np.uint16) for p in parts])
     return x, length, r["held"].values.to_numpy(zero_copy_only=False).astype(bool), at, cls
@@ -346,15 +352,17 @@ def _slices(length: np.ndarray) -> Iterator[tuple[slice, slice]]:
         yield slice(int(a), int(z)), slice(int(place[a]), int(place[z]))
 
 
-def _count_classes(chunks: DataFrame, own: np.ndarray, k: int, parts: int, words_too: bool) -> DataFrame:
+def _count_classes(chunks: DataFrame, moved: DataFrame | Broadcast | None, own: np.ndarray, k: int, parts: int, words_too: bool) -> DataFrame:
     """(chunk, part, payload): the class bigrams (negative parts) and, for each
     chunk and part of the words' hashes, the neighbour classes of its words."""
+    lookup = moved if isinstance(moved, Broadcast) else None
+
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(k * k, np.int64)
         for b in batches:
             for i in range(len(b)):
                 r = {c: b.column(j)[i] for j, c in enumerate(b.schema.names)}
-                x, length, held, at, cls = _opened_chunk(r, own)
+                x, length, held, at, cls = _opened_chunk(r, own, lookup)
                 end = len(cls)
                 c_of = np.append(cls, own[-1])
                 place = np.full(end + 1, -1, np.int64)
@@ -408,7 +416,7 @@ def _count_classes(chunks: DataFrame, own: np.ndarray, k: int, parts: int, words
         release_memory()
 
     cols = ["chunk", "held", "lengths", "tokens", "symbol", "at", "hash", "n_words", "n_own", "classes"]
-    return chunks.select(*cols).mapInArrow(work, "chunk long, part long, payload binary, size long")
+    return _with_classes(chunks, moved).select(*cols).mapInArrow(work, "chunk long, part long, payload binary, size long")
 
 
 def _total(rows: DataFrame, size: int) -> np.ndarray:
@@ -420,9 +428,10 @@ def _total(rows: DataFrame, size: int) -> np.ndarray:
     return sum((np.frombuffer(bytes(r["payload"]), np.int64) for r in parts.collect()), np.zeros(size, np.int64))
 
 
-def _move(counted: DataFrame, n: np.ndarray, parity: int) -> DataFrame:
-    """(chunk, part, payload): the new classes of each chunk's words, and (chunk -1)
-    the number of different words of every class."""
+def _move(counted: DataFrame, n: np.ndarray, parity: int, whole: bool) -> DataFrame:
+    """(chunk, part, payload): the new classes of each chunk's words or (``whole``,
+    chunk -2) hashes and classes of all words, and (chunk -1) the number of
+    different words of every class."""
     k = len(n)
 
     def work(f: pd.DataFrame) -> pd.DataFrame:
@@ -449,53 +458,101 @@ def _move(counted: DataFrame, n: np.ndarray, parity: int) -> DataFrame:
         code, count = code[start], np.add.reduceat(count, start) if len(start) else count
         new = best_classes(code // (2 * k + 1), code % (2 * k + 1), count, own, n)
         new = np.where(distinct % np.uint64(2) == parity, new, own)
+        types = np.bincount(new, minlength=k).astype(np.int64).tobytes()
+        if whole:
+            return pd.DataFrame({"chunk": [-2, -1], "part": [f["part"].iloc[0]] * 2,
+                                 "payload": [distinct.astype(np.uint64).tobytes() + new.astype(np.uint16).tobytes(), types]})
         out = [new[which[a:z]].astype(np.uint16).tobytes() for a, z in zip(cut, cut[1:])]
-        return pd.DataFrame({"chunk": [*f["chunk"], -1], "part": [*f["part"], f["part"].iloc[0]],
-                             "payload": [*out, np.bincount(new, minlength=k).astype(np.int64).tobytes()]})
+        return pd.DataFrame({"chunk": [*f["chunk"], -1], "part": [*f["part"], f["part"].iloc[0]], "payload": [*out, types]})
 
     return counted.where(F.col("chunk") >= 0).groupBy("part").applyInPandas(work, "chunk long, part long, payload binary")
 
 
-def cluster_words(chunks: DataFrame, own: np.ndarray, k: int, sweeps: int) -> tuple[np.ndarray, DataFrame | None, np.ndarray | None]:
+def _lookup(moved: DataFrame) -> Broadcast:
+    """Hashes, in order, and classes of all words that are clustered by themselves."""
+    hashes, classes = [np.zeros(0, np.uint64)], [np.zeros(0, np.uint16)]
+    for r in moved.where(F.col("chunk") == -2).select("payload").collect():
+        raw = bytes(r["payload"])
+        words = len(raw) // 10
+        hashes.append(np.frombuffer(raw, np.uint64, words))
+        classes.append(np.frombuffer(raw, np.uint16, words, 8 * words))
+    hashes, classes = np.concatenate(hashes), np.concatenate(classes)
+    order = np.argsort(hashes, kind="stable")
+    return moved.sparkSession.sparkContext.broadcast((hashes[order], classes[order]))
+
+
+def cluster_words(chunks: DataFrame, own: np.ndarray, k: int, sweeps: int, own_words: int) \
+        -> tuple[np.ndarray, DataFrame | Broadcast | None, np.ndarray | None]:
     """(class bigrams, classes of the chunks' words, different words of every
     class) after sweeps over all words that are clustered by themselves; None where
-    the classes of the symbols are as good."""
-    spark = chunks.sparkSession
+    the classes of the symbols are as good. Up to ``LOOKUP`` of these words (10 bytes each)
+    are broadcast with their classes; more are brought to the chunks by a join."""
+    spark, small = chunks.sparkSession, own_words <= LOOKUP
     parts = 1 + (chunks.agg(F.sum("n_own")).first()[0] or 0) // PART_WORDS
     moved = types = best = None
+    old: list[str] = []                                     # tables of classes that may still be the best
     for sweep in range(sweeps + 1):
         path = scratch_path(spark, "neighbours")
-        _count_classes(_with_classes(chunks, moved), own, k, parts, sweep < sweeps).write.parquet(path)
+        _count_classes(chunks, moved, own, k, parts, sweep < sweeps).write.parquet(path)
         counted = spark.read.parquet(path)
         n = _total(counted.where(F.col("chunk") < 0), k * k).reshape(k, k).astype(np.float64)
         now, last = likelihood(n), best[0] if best else None
         if last is None or now > last:
             best = (now, n, moved, types)
+            for done in old[:-1]:
+                drop_table(spark, done)
+            del old[:-1]
         # the first two sweeps move one half of the words each
         if sweep == sweeps or not n.any() or (sweep > 1 and now - last < LEAST_GAIN * n.sum()):
+            drop_table(spark, path)
             break
-        path = scratch_path(spark, "classes")
-        _move(counted, n, sweep % 2).write.parquet(path)
-        moved = spark.read.parquet(path)
-        types = _total(moved.where(F.col("chunk") < 0), k)
+        to = scratch_path(spark, "classes")
+        _move(counted, n, sweep % 2, small).write.parquet(to)
+        drop_table(spark, path)
+        moved = spark.read.parquet(to)
+        types = _total(moved.where(F.col("chunk") == -1), k)
+        if small:
+            moved = _lookup(moved)
+            drop_table(spark, to)
+        else:
+            old.append(to)
     return best[1:]
 
 
-def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", held_col: str = "held_out",
+def word_masses(c: np.ndarray, cls: np.ndarray, n_class: np.ndarray, t_class: np.ndarray, discount: float, total: int) -> tuple[np.ndarray, np.ndarray]:
+    """(probability of each word in its class, unigram probability). A word with count
+    ``c`` 0 stands for the unknown word of its class, which has what was taken off the class's ``t_class`` words."""
+    mass = np.where(c > 0, c - discount, discount * t_class[cls])
+    return mass / np.maximum(n_class[cls], 1.0), mass / max(1, total)
+
+
+def transitions(counts: np.ndarray) -> np.ndarray:
+    """Probability of every class after every class."""
+    share = counts.sum(0) / max(1.0, counts.sum())
+    return (counts + ALPHA * share) / (counts.sum(1, keepdims=True) + ALPHA)
+
+
+def score(docs: DataFrame, *args, **options) -> DataFrame:
+    """Per row: id, held_out, n_tokens, n_known, train_tokens, base_score, score,
+    perplexity (of the score), after learning from the rows that are not held out. Takes the options of :func:`_score`."""
+    with shuffles_released(docs.sparkSession):               # each step writes a table and reads no shuffle again
+        return _score(docs, *args, **options)
+
+
+def _score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", held_col: str = "held_out",
           frequent: int = FREQUENT, endings: int = ENDINGS, classes: int = CLASSES, chunk_bytes: int = CHUNK_BYTES,
           own_count: int = OWN_COUNT, word_sweeps: int = WORD_SWEEPS) -> DataFrame:
-    """Per row: id, held_out, n_tokens, n_known, train_tokens, base_score, score,
-    perplexity (of the score), after learning from the rows that are not held out."""
     spark = docs.sparkSession
     path = scratch_path(spark, "packed")
     pack(docs.select(F.col(id_col).cast("long").alias("id"), F.col(held_col).alias("held_out"), F.col(text_col).alias("text")),
          chunk_bytes).write.parquet(path)
-    packed = spark.read.parquet(path)
+    packed, written = spark.read.parquet(path), [path]
     vocabulary = packed.select("chunk", F.posexplode_outer(F.arrays_zip("words", "n")).alias("at", "x")).where(F.col("at").isNotNull()) \
         .select("chunk", "at", F.col("x.words").alias("word"), F.col("x.n").alias("n"))
     path = scratch_path(spark, "counts")
     vocabulary.where(F.col("n") > 0).groupBy("word").agg(F.sum("n").alias("c")).write.parquet(path)
     counts = spark.read.parquet(path)
+    written.append(path)
     # words, sums and rare words by ending: endings rows
     ending = F.pmod(F.crc32(F.substring("word", -3, 3)), F.lit(endings)).cast("int")
     by_ending = counts.groupBy(ending.alias("e")).agg(
@@ -515,7 +572,10 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", held_
     path = scratch_path(spark, "ready")
     ready(packed, back, top, endings, own_count).write.parquet(path)
     chunks = spark.read.parquet(path)
-    trans, moved, own_types = cluster_words(chunks, own, k, word_sweeps)
+    for done in written:                                     # what the ready chunks were made of
+        drop_table(spark, done)
+    own_words = sum(r["v"] - r["rare"] for r in by_ending) + sum(r["c"] < own_count for r in most)
+    trans, moved, own_types = cluster_words(chunks, own, k, word_sweeps, own_words)
     per_class = trans.sum(0)
     # different words of every class
     symbol_types = np.zeros(len(own))
@@ -535,10 +595,9 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", held_
                 rare[len(top) + zlib.crc32(bytes(r["word"])[-3:]) % endings] -= 1
         rare[-1] = symbol_types[-1]
         class_types = own_types + np.bincount(own, rare, k)
-    share = per_class / max(1.0, per_class.sum())
-    log_trans = (trans + ALPHA * share) / (trans.sum(1, keepdims=True) + ALPHA)
     # symbols, classes x classes numbers
-    model = spark.sparkContext.broadcast((own, log_trans, per_class, class_types))
+    model = spark.sparkContext.broadcast((own, transitions(trans), per_class, class_types))
+    lookup = moved if isinstance(moved, Broadcast) else None
     end_class = int(own[-1])
     base_below = total + (types + 1)
 
@@ -547,14 +606,12 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", held_
         for b in batches:
             for i in range(len(b)):
                 r = {x: b.column(j)[i] for j, x in enumerate(b.schema.names)}
-                x, length, _, _, own_cls = _opened_chunk(r, cls_of)
+                x, length, _, _, own_cls = _opened_chunk(r, cls_of, lookup)
                 words = len(own_cls)
                 c = np.append(_opened(r["c"].as_buffer(), words, np.int64), n_docs).astype(np.float64)
                 cls = np.append(own_cls, end_class)
                 known = c > 0
-                size = np.maximum(n_class[cls], 1.0)
-                emit = np.where(known, c - discount, discount * t_class[cls]) / size
-                uni = np.where(known, c - discount, discount * types) / max(1, total)
+                emit, uni = word_masses(c, cls, n_class, t_class, discount, total)
                 for rows, flat in _slices(length):
                     long = length[rows]
                     flat = _with_ends(x[flat], long, words)
@@ -576,7 +633,7 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", held_
                         names=["id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score", "perplexity"])
         release_memory()
 
-    cols = ["ids", "held", "lengths", "tokens", "c", "symbol", "at", "n_words", "n_own", "classes"]
+    cols = ["ids", "held", "lengths", "tokens", "c", "symbol", "at", "hash", "n_words", "n_own", "classes"]
     return _with_classes(chunks, moved).select(*cols).mapInArrow(
         work, "id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, perplexity double") \
         .withColumnRenamed("id", id_col)

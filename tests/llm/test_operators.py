@@ -317,6 +317,32 @@ def test_lm_probabilities_sum_to_one(spark):
     assert got[101] > got[108]                             # "a b" is likelier than "a q"
 
 
+def test_lm_events_have_mass_one():
+    """All known words and the unknown word of every class, after any class."""
+    rng = np.random.default_rng(0)
+    k, c = 5, rng.integers(1, 40, 200).astype(float)
+    cls = rng.integers(0, k, 200)
+    n_class, t_class = np.bincount(cls, c, k), np.bincount(cls, minlength=k).astype(float)
+    counts = rng.integers(0, 9, (k, k)).astype(float)
+    counts[3] = 0                                              # a class that nothing followed
+    counts *= n_class / np.maximum(counts.sum(0), 1)           # as often entered as its words occur
+    move = brown_lm.transitions(counts)
+    emit, uni = brown_lm.word_masses(np.append(c, np.zeros(k)), np.append(cls, np.arange(k)), n_class, t_class, 0.63, int(c.sum()))
+    where = np.append(cls, np.arange(k))
+    for before in range(k):
+        p = brown_lm.CLASS_SHARE * move[before, where] * emit + (1 - brown_lm.CLASS_SHARE) * uni
+        assert p.sum() == pytest.approx(1.0, abs=1e-9)
+
+
+def test_lm_classes_by_broadcast_or_join(spark, docs, monkeypatch):
+    df = docs.select("doc_id", "text", (F.col("doc_id") % 7 == 2).alias("held_out"))
+    got = []
+    for limit in (10 ** 6, 0):
+        monkeypatch.setattr(brown_lm, "LOOKUP", limit)
+        got.append({r["doc_id"]: r["score"] for r in brown_lm.score(df, chunk_bytes=100_000).collect()})
+    assert got[0] == pytest.approx(got[1])
+
+
 def test_exchange_raises_likelihood():
     rng = np.random.default_rng(1)
     pairs = np.zeros((30, 30))
