@@ -54,6 +54,7 @@ FREQUENT, ENDINGS, CLASSES = 1024, 511, 64
 CHUNK_BYTES = 24_000_000
 SWEEPS = 8
 OWN_COUNT = 5                   # words that occur as often are clustered by themselves
+FAN = 16                        # tables of bigrams that are added up in one group
 LOOKUP = 4_000_000              # words clustered by themselves that may be broadcast
 WORD_SWEEPS = 4                 # sweeps over all of these words at most
 LEAST_GAIN = 1e-3               # of a sweep over all words, in nats a token
@@ -212,23 +213,24 @@ def _bigrams(packed: DataFrame, frequent: dict[bytes, int], endings: int) -> np.
                 now = _with_ends(own[x[~np.repeat(held, length)]], length[~held], size - 1)
                 before = np.concatenate([[size - 1], now])[:-1]
                 total += np.bincount(before * size + now, minlength=size * size)
-        m = total.reshape(size, size)
-        some = np.flatnonzero(m.any(1))
-        yield pd.DataFrame({"before": some.astype(np.int32), "counts": [m[i].tobytes() for i in some]})
+        yield pd.DataFrame({"id": [TaskContext.get().partitionId()], "counts": [_packed(total)]})
 
     def summed(f: pd.DataFrame) -> pd.DataFrame:
-        total = sum(np.frombuffer(x, np.int64) for x in f["counts"])
-        return pd.DataFrame({"before": f["before"].iloc[:1], "counts": [total.tobytes()]})
-
-    out = np.zeros((size, size))
-    parts = packed.select("held", "lengths", "tokens", "words").mapInPandas(count, "before int, counts binary")
-    # a first sum of some tasks' rows, then one row for each symbol: no group holds the rows of all tasks
-    parts = parts.withColumn("part", F.pmod(F.xxhash64("counts"), F.lit(16)).cast("int")) \
-        .groupBy("before", "part").applyInPandas(summed, "before int, counts binary") \
-        .groupBy("before").applyInPandas(summed, "before int, counts binary")
-    for r in parts.toLocalIterator():                     # a row for each symbol
-        out[r["before"]] = np.frombuffer(bytes(r["counts"]), np.int64)
-    return out
+        total = np.zeros(size * size, np.int64)
+        for x in f["counts"]:
+            total += _opened(x, size * size, np.int64)
+        return pd.DataFrame({"id": f["id"].iloc[:1], "counts": [_packed(total)]})
+
+    left = packed.select("held", "lengths", "tokens", "words")
+    tasks = left.rdd.getNumPartitions()
+    parts = left.mapInPandas(count, "id long, counts binary")
+    while tasks > 1:                                      # sums of some tasks, then sums of some sums
+        parts = parts.withColumn("id", F.floor(F.col("id") / FAN)).groupBy("id").applyInPandas(summed, "id long, counts binary")
+        tasks = -(-tasks // FAN)
+    out = np.zeros(size * size, np.int64)
+    for r in parts.collect():                             # one table of symbols
+        out += _opened(bytes(r["counts"]), size * size, np.int64)
+    return out.reshape(size, size).astype(float)
 
 
 def likelihood(n: np.ndarray) -> float:
@@ -313,7 +315,7 @@ def ready(packed: DataFrame, back: DataFrame, frequent: dict[bytes, int], ending
                 del words, c, own, at, h, order, made, r
         release_memory()
 
-    lists = back.groupBy(F.col("chunk").alias("_chunk")).agg(F.collect_list(F.struct("at", "c")).alias("back"))
+    lists = back.withColumnRenamed("chunk", "_chunk")
     return packed.join(lists, packed["chunk"] == lists["_chunk"], "left") \
         .select("chunk", "ids", "held", "lengths", "tokens", "words", "n", "back").mapInArrow(work, READY)
 
@@ -569,6 +571,11 @@ def _score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", held
     own = exchange(pairs, classes)
     k = int(own.max()) + 1
     back = vocabulary.join(counts, "word").where(F.col("c") != F.col("n")).select("chunk", "at", "c")
+    # a table of its own, so that the shuffles of words are gone before the chunks are shuffled
+    path = scratch_path(spark, "back")
+    back.groupBy("chunk").agg(F.collect_list(F.struct("at", "c")).alias("back")).write.parquet(path)
+    back = spark.read.parquet(path)
+    written.append(path)
     path = scratch_path(spark, "ready")
     ready(packed, back, top, endings, own_count).write.parquet(path)
     chunks = spark.read.parquet(path)
