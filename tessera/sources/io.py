@@ -83,7 +83,8 @@ def inferred_types(df: DataFrame, cols: list[str] | None = None) -> dict[str, st
     for k, c in enumerate(text):
         v = qcol(c)
         s = N.strip(v)
-        small, whole = s.try_cast("long").isNotNull(), s.rlike(N.INTEGER_PATTERN)
+        whole = s.rlike(N.INTEGER_PATTERN)
+        small = F.when(whole, s.try_cast("long")).isNotNull()          # a refused cast costs an exception a value
         aggs += [times(v.isNull()).alias(f"n{k}"),
                  times(v.isNotNull() & ~(small | N.parses(s))).alias(f"f{k}"),
                  times(v.isNotNull() & ~(small | whole)).alias(f"i{k}"),
