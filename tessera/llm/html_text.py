@@ -12,12 +12,19 @@ open block takes the label of its nearest decided neighbour in the same region
 (a ``main`` or ``article`` element, or else the whole page); between two
 equally near ones text wins. A region without any decided block is text, and in a
 page without any text by the first pass only links make boilerplate. If a page has an article region with text, blocks outside
-of it are boilerplate.
+of it are boilerplate. A form that holds the only text of a page (first pass) wraps the
+page and is read.
+
+Words of a class, id or role tell noise by grades. Headings are never noise by their id.
+Inside an article region a word of ordinary language (``share``, ``legal``, ``notice``)
+counts only where it comes first in a name, and ``market-share`` stays.
 
 Semantics: null or empty html gives the empty text. Broken markup is read to its
-end: unclosed elements end with their parent, an unfinished tag at the end is
-dropped, attributes may hold ``>`` in quotes. Whole pages are read whatever
-their length; repeated rows get equal texts."""
+end in linear time: unclosed elements end with their parent, an unfinished tag at the end is
+dropped, attribute values may hold ``>`` in quotes. Where quotes would leave a tag without an end,
+they count no more from there to the end of the page. Whole pages are read whatever
+their length; repeated rows get equal texts. ``text`` gives way to the result where the
+input has another column of that name."""
 
 from __future__ import annotations
 
@@ -56,14 +63,22 @@ navigation menu breadcrumb breadcrumbs sidebar aside complementary footer conten
 gdpr notice notification alert popup modal overlay dialog newsletter subscribe subscription signup login register comment
 comments commentlist disqus respond reply replies discussion share sharing social related recommended recommendations widget
 toolbar pagination pager copyright legal disclaimer search form skip toast""".split())
+#: Those that articles use as ordinary words.
+ORDINARY = frozenset("""promo promotion banner navigation menu aside complementary header consent notice notification alert
+dialog subscription login register respond reply replies discussion share sharing social related recommended
+recommendations legal copyright disclaimer search form skip toast""".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 
 LONG, ENOUGH = 70, 0.15        # characters and share of stop words that make a block text
 EMPTY = 0.05                   # a long block with a smaller share is boilerplate
 LINKED = 0.5                   # share of characters in links that makes a block boilerplate
 
-_TAG = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[(?P<cdata>.*?)(?:\]\]>|\Z)|<[!?][^>]*>?|"
-                  r"<(?P<end>/?)(?P<name>[a-zA-Z][^\s/>]*)(?P<rest>(?:[^>\"']|\"[^\"]*\"|'[^']*'|[\"'])*?)>|<[a-zA-Z/][^<>]*\Z", re.S)
-_ATTRIBUTE = re.compile(r"\b(class|id|role|hidden|aria-hidden|style)\b(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?", re.I)
+_OPEN = re.compile(r"<(?:!--|!\[CDATA\[|[!?]|(?P<end>/?)(?P<name>[a-zA-Z][^\s/>]*+)|/)")
+#: Attributes up to the end of the tag; a quote counts only where a value begins.
+_REST = re.compile(r"((?:[^>=]++|=\s*+(?:\"[^\"]*+\"|'[^']*+')?+)*+)>")
+_ATTRIBUTE = re.compile(r"([^\s=>/\"']++)(?:\s*+=\s*+(?:\"([^\"]*+)\"|'([^']*+)'|([^\s>]++)))?+")
+_ZEROS = re.compile(r"(&#[xX]?)0{3,}+")
+_HUGE = re.compile(r"&#[0-9]{12,}+;?")         # beyond any character
 _PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 _WORD = re.compile(r"[^\W\d_]+")
 
@@ -75,22 +90,76 @@ class Block:
     linked: int                # characters in links
 
 
-def _says_noise(rest: str) -> bool:
+def _names_noise(value: str, strict: bool) -> bool:
+    """Does a class, id or role name noise? ``strict``: an ordinary word must come first in a name."""
+    for name in value.split():
+        for i, part in enumerate(_PART.findall(name)):
+            part = part.lower()
+            if part in NOISE and not (strict and i and part in ORDINARY):
+                return True
+    return False
+
+
+def _says_noise(tag: str, rest: str, inside: bool) -> bool:
     for name, a, b, c in _ATTRIBUTE.findall(rest):
         name, value = name.lower(), a or b or c
         if name == "hidden" or name == "aria-hidden" and value.lower() == "true" \
-                or name == "style" and re.search(r"display\s*:\s*none", value, re.I):
+                or name == "style" and re.search(r"display\s*+:\s*+none", value, re.I):
             return True
-        if name in ("class", "id", "role") and any(p.lower() in NOISE for p in _PART.findall(value)):
+        if (name in ("class", "role") or name == "id" and tag not in HEADINGS) and _names_noise(value, inside):
             return True
     return False
 
 
-def blocks(page: str) -> list[Block]:
-    """Blocks of a page in order, without the elements that are left out."""
+def unescape(raw: str) -> str:
+    """Character references decoded; numbers of any length, those beyond any character as U+FFFD."""
+    if "&#" in raw:
+        raw = _HUGE.sub("\ufffd", _ZEROS.sub(r"\g<1>0", raw))
+    return html.unescape(raw)
+
+
+def _markup(page: str) -> Iterator[tuple[int, int, str | None, bool, str]]:
+    """(start, end, name, is an end tag, attributes) of every piece of markup in
+    order; the name is None for comments and the like, and empty for CDATA, whose text stands in
+    place of attributes. A piece may be sent a position to go on from."""
+    at, last, quotes = 0, page.rfind(">"), True
+    while m := _OPEN.search(page, at):
+        start, at, name, rest, is_end = m.start(), m.end(), None, "", False
+        if m[0] == "<!--" or m[0] == "<![CDATA[":
+            close = "-->" if m[0] == "<!--" else "]]>"
+            end = page.find(close, at)
+            if m[0] != "<!--":
+                name, rest = "", page[at:end if end >= 0 else len(page)]
+            at = len(page) if end < 0 else end + 3
+        elif m[0] in ("<!", "<?"):
+            at = len(page) if start > last else page.index(">", at) + 1
+        elif start > last:                               # no tag ends from here on
+            if page.find("<", at) >= 0:
+                continue
+            at = len(page)                               # the unfinished one at the end goes
+        elif not m["name"]:
+            continue
+        else:
+            name, is_end = m["name"].lower(), bool(m["end"])
+            found = _REST.match(page, at) if quotes else None
+            if found:
+                rest, at = found[1], found.end()
+            else:
+                end = page.index(">", at)
+                quotes, rest, at = False, page[at:end], end + 1
+        to = yield start, at, name, is_end, rest
+        at = at if to is None else to
+
+
+def blocks(page: str, forms: bool = False) -> list[Block]:
+    """Blocks of a page in order, without the elements that are left out;
+    with ``forms`` an element is not left out for being a form."""
     out: list[Block] = []
     stack: list[tuple[str, bool, int]] = []             # open elements: name, left out, region
+    where: dict[str, list[int]] = {}                    # their places in the stack by name
+    region_at: list[int] = []                           # places of article and main elements
     text: list[str] = []
+    unclosed: set[str] = set()                          # skipped elements without an end tag from here on
     linked = links = regions = at = 0
     out_of = 0                                          # open elements that are left out
 
@@ -109,60 +178,69 @@ def blocks(page: str) -> list[Block]:
         nonlocal links, out_of
         while len(stack) > to:
             name, left, _ = stack.pop()
+            where[name].pop()
+            if name in REGIONS:
+                region_at.pop()
             out_of -= left
             links -= name == "a"
 
     def add(raw: str) -> None:
         nonlocal linked
         if raw and not out_of:
-            raw = html.unescape(raw)
+            raw = unescape(raw)
             text.append(raw)
             if links:
                 linked += len(raw.strip())
 
+    pieces, to = _markup(page), None
     while True:
-        m = _TAG.search(page, at)
-        add(page[at:m.start()] if m else page[at:])
-        if not m:
+        try:
+            start, end, name, is_end, rest = pieces.send(to)
+        except StopIteration:
             break
-        at = m.end()
-        if not m["name"]:
-            if m["cdata"]:
-                add(html.escape(m["cdata"]))
+        to = None
+        add(page[at:start])
+        at = end
+        if not name:
+            if name is not None and rest:
+                add(html.escape(rest))
             continue
-        name = m["name"].lower()
-        if m["end"]:
+        if is_end:
             if name in BLOCKS:
                 flush()
-            for i in range(len(stack) - 1, -1, -1):
-                if stack[i][0] == name:
-                    close(i)
-                    break
-                if stack[i][0] in REGIONS and name not in ("body", "html"):
-                    break                               # a stray end tag does not end the article
+            # a stray end tag does not end the article
+            if where.get(name) and (name in ("body", "html") or not region_at or region_at[-1] <= where[name][-1]):
+                close(where[name][-1])
             continue
-        if name in SKIPPED:
-            end = re.compile(rf"</{re.escape(name)}\s*>", re.I).search(page, at)
-            at = end.end() if end else len(page) if name in ("script", "style", "textarea", "title") else at
+        if name in SKIPPED and not (name == "svg" and rest.endswith("/")):
+            stop = None if name in unclosed else re.compile(rf"</{re.escape(name)}\s*+>", re.I).search(page, at)
+            if stop:
+                at = to = stop.end()
+            elif name in ("script", "style", "textarea", "title"):
+                at = to = len(page)
+            else:
+                unclosed.add(name)
             continue
         if name in BLOCKS:
             flush()
-        if name in ENDS_P and any(x[0] == "p" for x in stack[-6:]):
-            for i in range(len(stack) - 1, -1, -1):
-                if stack[i][0] == "p":
-                    close(i)
-                    break
-        if name in VOID or m["rest"].endswith("/"):
+        if name in ENDS_P and where.get("p") and where["p"][-1] >= len(stack) - 6:
+            close(where["p"][-1])
+        if name in VOID or rest.endswith("/"):
             continue
         inside = region()
-        noise = name in LEFT_OUT or name == "header" and not inside or \
-            name not in ("html", "body", "main") and bool(m["rest"].strip()) and _says_noise(m["rest"])
+        noise = name in LEFT_OUT and not (forms and name == "form") or name == "header" and not inside or \
+            name not in ("html", "body", "main") and bool(rest.strip()) and _says_noise(name, rest, bool(inside)) \
+            and not (forms and name == "form")
         if name in REGIONS and not inside and not noise and not out_of:
             regions += 1
             inside = regions
+        if name in REGIONS:
+            region_at.append(len(stack))
+        where.setdefault(name, []).append(len(stack))
         stack.append((name, noise, inside))
         out_of += noise
         links += name == "a"
+    add(page[at:])
     flush()
     return out
 
@@ -207,8 +285,13 @@ def second_pass(found: list[Block], labels: list[bool | None]) -> list[bool]:
 
 
 def main_text(page: str | None) -> str:
-    found = blocks(page or "")
+    page = page or ""
+    found = blocks(page)
     labels = [first_pass(b) for b in found]
+    if True not in labels and "<form" in page.lower():
+        wrapped = blocks(page, forms=True)
+        if True in (read := [first_pass(b) for b in wrapped]):
+            found, labels = wrapped, read
     if True not in labels:                              # no text to compare with: only links speak against a block
         labels = [None if label is False and b.linked <= LINKED * len(b.text) else label for b, label in zip(found, labels)]
     labels = second_pass(found, labels)
@@ -218,9 +301,7 @@ def main_text(page: str | None) -> str:
 
 def extract(pages: DataFrame, html_col: str = "html", out: str = "text") -> DataFrame:
     """``pages`` with the main text in place of the html."""
-    keep = [c for c in pages.columns if c != html_col]
-    if out in keep:
-        raise ValueError(f"the input already has {out!r}")
+    keep = [c for c in pages.columns if c != html_col and c.lower() != out.lower()]
     schema = T.StructType([*[pages.schema[c] for c in keep], T.StructField(out, T.StringType(), False)])
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -4,6 +4,7 @@ import hashlib
 import html
 import random
 import re
+import time
 import zlib
 from collections import Counter
 
@@ -149,7 +150,39 @@ def test_html_rules(page, text):
     assert html_text.main_text(page) == text
 
 
+LONG_TEXT = "The cat is on the mat and it was there for the whole of the day, so we left it in the house."
+
+
+@pytest.mark.parametrize("page, text", [
+    (f"<article><p>{LONG_TEXT}</p><section id='market-share'><p>{LONG_TEXT}</p></section></article>", f"{LONG_TEXT} {LONG_TEXT}"),
+    (f"<article><h2 id='legal-notice-period'>Notice period</h2><p>{LONG_TEXT}</p></article>", f"Notice period {LONG_TEXT}"),
+    (f"<form id=aspnetForm><nav>Menu</nav><p>{LONG_TEXT}</p></form>", LONG_TEXT),
+    (f"<p>{LONG_TEXT}</p><form><p>{LONG_TEXT}</p></form>", LONG_TEXT),
+    ("<form><p>Your name</p></form>", ""),
+    (f"<article><p>{LONG_TEXT}</p><div class='share-buttons'>Share</div><section class='user-comments'>{LONG_TEXT}</section></article>", LONG_TEXT),
+    (f"<p title='id=comments'>{LONG_TEXT}</p>", LONG_TEXT),
+    ("<p>a<svg/>b</p>", "ab"), ("<p a=\"x>y</p>z", "y z"), ("<p don't>x</p>", "x"), ("a < b <1 c", "a < b <1 c"), ("a </ c", "a"),
+    ("<p>&#" + "0" * 5000 + "65; &#" + "9" * 5000 + ";</p>", "A \ufffd"),
+])
+def test_html_names(page, text):
+    assert html_text.main_text(page) == text
+
+
+@pytest.mark.parametrize("page", [
+    "<a " + '"' * 10 ** 6, "<a " * 333_000, "<a<a " * 200_000, "<div>" * 100_000 + "</b>" * 100_000, "<a =\">\" " * 125_000,
+    "<b><article>" + "<div>" * 80_000 + "</b>" * 80_000, "<noscript>" * 100_000, "<p>" * 300_000, "<!-- " * 200_000, "<![CDATA[" * 110_000,
+    "<a " + "=" * 10 ** 6 + ">", "<a id" + " " * 10 ** 6 + ">", "<a class='" * 100_000 + ">", "&#" * 500_000, "<" * 10 ** 6, "</" * 500_000,
+    "<p style='" + "display " * 125_000 + "'>x", "<script" * 140_000 + ">", "<a b='" + "\"" * 10 ** 6 + ">",
+], ids=range(19))
+def test_html_linear(page):
+    begin = time.process_time()
+    html_text.main_text(page)
+    assert time.process_time() - begin < 3
+
+
 def test_html_odd(spark, odd, empty):
+    clash = spark.createDataFrame([("<p>x", "old")], "html string, TEXT string")
+    assert [r.asDict() for r in html_text.extract(clash).collect()] == [{"text": "x"}]
     assert html_text.extract(odd, "text", "text").count() == odd.count()
     assert html_text.extract(empty, "text", "text").count() == 0
     assert len(html_text.main_text("<p>" + "long word " * 200_000)) == 10 * 200_000 - 1
