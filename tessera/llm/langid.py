@@ -7,9 +7,9 @@ script. Viterbi over the words of a text, with a penalty for every switch,
 then labels spans of one language; the language with most letters is the
 text's prediction and its share of letters the score.
 
-Training: ``train_rows`` labelled rows at most (those with the smallest hash
-of their id) are counted in Spark; what reaches the driver is a table of
-``buckets`` counts per language. Everything else covers all rows.
+Training: ``train_rows`` labelled rows of each language at most (those with the smallest
+hashes of id and text, so that rows without an id differ) are counted in Spark; what
+reaches the driver is a table of ``buckets`` counts per language. Everything else covers all rows.
 
 Semantics: null texts and texts without a letter are ``und`` with score 0 and
 no spans; equal shares go to the first language in alphabetical order; with no
@@ -25,7 +25,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -33,7 +33,7 @@ from tessera.llm.common import release_memory, without
 
 BUCKETS = 1 << 17
 LONGEST_GRAM = 4
-TRAIN_ROWS = 2000
+TRAIN_ROWS = 500               # of each language
 SWITCH = 12.0                  # log-probability that a change of language has to gain
 WORDS_AT_ONCE = 1_000_000      # words labelled together by one worker
 WORD_CACHE = 200_000           # distinct words remembered by one worker before the cache starts anew
@@ -81,12 +81,14 @@ def _grams(words: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
 def train(docs: DataFrame, label_col: str = "lang", id_col: str = "doc_id", text_col: str = "text",
           train_rows: int = TRAIN_ROWS) -> dict:
     """Counts of buckets and scripts per label over a bounded sample of the
-    rows with a label and a text."""
-    rows = docs.where(F.col(label_col).isNotNull()).withColumn("_h", F.xxhash64(id_col))
-    # hashes are sorted, not texts; train_rows hashes at most are broadcast
-    picked = rows.select("_h").distinct().orderBy("_h").limit(train_rows)
-    sample = rows.join(F.broadcast(picked), "_h").dropDuplicates(["_h"]) \
-        .select(F.col(label_col).alias("label"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    rows of every label; a null text counts as the empty one."""
+    rows = docs.where(F.col(label_col).isNotNull()).select(
+        F.col(label_col).alias("label"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), F.xxhash64(id_col, text_col).alias("_h"))
+    # hashes are sorted, not texts, and a map task keeps train_rows of a language at most
+    first = Window.partitionBy("label").orderBy("_h")
+    picked = rows.select("label", "_h").distinct().withColumn("_n", F.row_number().over(first)) \
+        .where(F.col("_n") <= train_rows).select("label", "_h")
+    sample = rows.join(F.broadcast(picked), ["label", "_h"]).dropDuplicates(["label", "_h"]).select("label", "text")
 
     def count(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         seen: dict[str, Counter] = {}                    # words of the sample, whose rows are bounded
@@ -108,7 +110,9 @@ def train(docs: DataFrame, label_col: str = "lang", id_col: str = "doc_id", text
     labels = sorted(total)
     if not labels:
         return {"labels": [], "log": np.zeros((BUCKETS, 0), np.float32), "allowed": np.zeros((len(_NAMES) + 1, 0), bool)}
-    c = np.stack([total[x][:BUCKETS] for x in labels], 1) + 0.5
+    c = np.stack([total[x][:BUCKETS] for x in labels], 1)
+    sums = c.sum(0)                                     # of equal weight, so that a language of few rows isn't outvoted
+    c = c * (sums.max() / np.maximum(sums, 1)) + 0.5
     seen = np.stack([total[x][BUCKETS:] for x in labels], 1)
     share = seen / np.maximum(seen.sum(0), 1)
     allowed = share > 1e-3
@@ -120,20 +124,21 @@ def viterbi(scores: np.ndarray, lengths: np.ndarray, switch: float) -> np.ndarra
     """Best state of every word; ``scores`` holds the texts one after another.
     All texts advance together, one word a step."""
     n, k = scores.shape
-    states = np.zeros(n, np.int16)
+    states = np.zeros(n, np.int32)
     order = np.argsort(-lengths, kind="stable")
     lengths, starts = lengths[order], (np.cumsum(lengths) - lengths)[order]
     live = np.searchsorted(-lengths, -np.arange(1, (lengths[0] if len(lengths) else 0) + 1), "right")
-    back = np.zeros((n, k), np.int8)
+    state = np.int8 if k <= 1 << 7 else np.int32
+    back = np.zeros((n, k), state)
     best = np.zeros((len(lengths), k), np.float32)
-    stay = np.arange(k, dtype=np.int8)
+    stay = np.arange(k, dtype=state)
     for t, m in enumerate(live):
         at, v = starts[:m] + t, best[:m]
         if t:
             top = v.argmax(1)
             change = v[np.arange(m), top] - np.float32(switch)
             moved = change[:, None] > v
-            back[at] = np.where(moved, top[:, None].astype(np.int8), stay)
+            back[at] = np.where(moved, top[:, None].astype(state), stay)
             v = np.maximum(v, change[:, None])
         v = v + scores[at]
         best[:m] = v - v.max(1, keepdims=True)
