@@ -6,10 +6,13 @@ item of fewer words, but not none, is one window. All windows of all documents
 are hashed, the hashes are looked up in the set of benchmark windows, and the
 words of a found window are compared with the item's to rule out equal hashes.
 
-Only DataFrame functions run here. The benchmark windows are broadcast while
-they are at most ``broadcast_windows`` (counted first); beyond that the same
-join is a shuffled one. Documents are never shuffled: only their ids, sizes
-and found windows are.
+Only DataFrame functions run here. The benchmark's windows, and what one scan finds of them in
+the documents, are each written once under the shared checkpoint folder. The distinct
+windows are broadcast while they are at most ``broadcast_windows`` and
+their measured size is at most ``broadcast_bytes``; beyond that the same
+join is a shuffled one. So are the keys of the documents with equal hashes, by which the
+texts to be compared are picked: only those are shuffled, not the others. Items
+are joined to the verified windows as rows.
 
 Semantics: a null or empty text has no words and is clean; repeated rows get
 equal results each; benchmark rows with a null id mark words as hit but are not
@@ -21,11 +24,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm.common import lower_az, row_key
+from tessera.session import scratch_path
 
 #: Fixed value: what separates words.
 GAP = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 N = 13
 BROADCAST_WINDOWS = 1_000_000
+BROADCAST_BYTES = 64 << 20
 
 
 def words(text: Column) -> Column:
@@ -69,20 +74,34 @@ def with_window_hashes(df: DataFrame, lengths: list[int], ws: str = "ws") -> Dat
 
 
 def benchmark_windows(items: DataFrame, n: int = N, id_col: str = "item_id", text_col: str = "text") -> DataFrame:
-    """(gram, len, ids): the distinct windows of all items with the ids
-    of the items they come from."""
+    """(gram, len, item): the distinct windows of every item."""
     w = items.select(F.col(id_col).cast("string").alias("item"), words(F.col(text_col)).alias("ws")) \
         .where(F.size("ws") > 0).withColumn("len", F.least(F.size("ws"), F.lit(n)))
-    g = w.select("item", "len", "ws", F.explode(_windows(F.col("ws"), F.col("len"))).alias("at")) \
-        .select("item", "len", F.slice("ws", F.col("at"), F.col("len")).alias("gram"))
-    return g.groupBy("gram", "len").agg(F.collect_set("item").alias("ids"))
+    return w.select("item", "len", "ws", F.explode(_windows(F.col("ws"), F.col("len"))).alias("at")) \
+        .select(F.slice("ws", F.col("at"), F.col("len")).alias("gram"), "len", "item").distinct()
 
 
 def hashed(grams: DataFrame, lengths: list[int]) -> DataFrame:
     """The windows of :func:`benchmark_windows` with their ``hash``."""
     h = F.coalesce(*[F.when(F.col("len") == k, F.get(f"h{k}", F.lit(0))) for k in lengths]) if lengths \
         else F.lit(None).cast("long")
-    return with_window_hashes(grams, lengths, "gram").select("gram", "len", "ids", h.alias("hash"))
+    return with_window_hashes(grams, lengths, "gram").select(*grams.columns, h.alias("hash"))
+
+
+def _written(df: DataFrame, name: str) -> DataFrame:
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def _bytes(of: Column) -> Column:
+    """Sum of a row's bytes as a broadcast table holds them, generously."""
+    return F.coalesce(F.sum(F.coalesce(of, F.lit(0)).cast("long") + 64), F.lit(0))
+
+
+def _by_key() -> Column:
+    """Rows with the key (_id, _th, _tl) and those with the same key under (i, h, l)."""
+    return F.col("_id").eqNullSafe(F.col("i")) & F.col("_th").eqNullSafe(F.col("h")) & F.col("_tl").eqNullSafe(F.col("l"))
 
 
 def _same(a: DataFrame, b: DataFrame) -> Column:
@@ -120,36 +139,42 @@ def _start(at: Column, size: Column, n_words: Column, lengths: list[int]) -> Col
 
 
 def contamination(docs: DataFrame, items: DataFrame, n: int = N, id_col: str = "doc_id", text_col: str = "text",
-                  broadcast_windows: int = BROADCAST_WINDOWS) -> DataFrame:
+                  broadcast_windows: int = BROADCAST_WINDOWS, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
     """One row per distinct document row: (_id, _th, _tl, n_words, copies,
     spans, item_ids), where ``spans`` are the hit word positions (0-based,
     sorted) and ``item_ids`` the sorted ids of the items with occurring windows."""
-    grams = benchmark_windows(items, n)
-    count = {r["len"]: r["count"] for r in grams.groupBy("len").count().collect()}       # at most n rows
-    lengths = sorted(count)
-    small = sum(count.values()) <= broadcast_windows
-    grams = hashed(grams, lengths)
-    per_doc = candidates(docs, grams, lengths, small, id_col, text_col)
+    pairs = benchmark_windows(items, n)
+    lengths = sorted(r["len"] for r in pairs.select("len").distinct().collect())                  # at most n rows
+    pairs = _written(hashed(pairs, lengths), "windows")
+    grams = pairs.select("gram", "len", "hash").distinct()
+    word_bytes = F.aggregate("gram", F.lit(0), lambda x, w: x + F.octet_length(w) + 16)
+    size = grams.agg(F.count(F.lit(1)).alias("rows"), _bytes(word_bytes).alias("bytes")).first()
+    small = size["rows"] <= broadcast_windows and size["bytes"] <= broadcast_bytes
+    per_doc = _written(candidates(docs, grams, lengths, small, id_col, text_col), "found")
     # words are compared for the documents with equal hashes only
+    keys = per_doc.where(F.size("found") > 0).select(F.col("_id").alias("i"), F.col("_th").alias("h"), F.col("_tl").alias("l"))
+    few = keys.agg(_bytes(F.octet_length(F.col("i").cast("string"))).alias("size")).first()["size"] <= broadcast_bytes
     some = per_doc.where(F.size("found") > 0).select(
         "_id", "_th", "_tl", "n_words", F.explode("found").alias("f")).select("*", F.col("f.hash").alias("hash"))
     some = some.join(F.broadcast(grams) if small else grams, "hash")
     some = some.withColumn("start", _start(F.col("f.at"), F.col("len"), F.col("n_words"), lengths or [n])) \
         .where((F.col("start") >= 0) & (F.col("start") + F.col("len") <= F.col("n_words"))) \
-        .groupBy("_id", "_th", "_tl").agg(F.collect_set(F.struct("start", "len", "gram", "ids")).alias("found"))
-    text = docs.select(*row_key(id_col, text_col), F.col(text_col).alias("_text")) \
-        .join(some.withColumnsRenamed({"_id": "i", "_th": "h", "_tl": "l"}),
-              F.col("_id").eqNullSafe(F.col("i")) & F.col("_th").eqNullSafe(F.col("h")) & F.col("_tl").eqNullSafe(F.col("l"))) \
-        .dropDuplicates(["_id", "_th", "_tl"])
+        .groupBy("_id", "_th", "_tl").agg(F.collect_set(F.struct("start", "len", "gram")).alias("found"))
+    text = docs.select(*row_key(id_col, text_col), F.col(text_col).alias("_text"))
+    text = text.join(F.broadcast(keys) if few else keys, _by_key(), "left_semi").dropDuplicates(["_id", "_th", "_tl"])
+    text = text.join(some.withColumnsRenamed({"_id": "i", "_th": "h", "_tl": "l"}), _by_key())
     hits = text.withColumn("ws", words(F.col("_text"))).select("_id", "_th", "_tl", F.filter(
-        "found", lambda h: F.slice(F.col("ws"), h["start"] + 1, h["len"]) == h["gram"]).alias("hits"))
-    hits = hits.select(
-        "_id", "_th", "_tl",
-        F.array_sort(F.array_distinct(F.flatten(F.transform(
-            "hits", lambda h: F.sequence(h["start"], h["start"] + h["len"] - 1))))).alias("spans"),
-        F.array_sort(F.array_distinct(F.flatten(F.transform("hits", lambda h: h["ids"])))).alias("item_ids"))
+        "found", lambda h: F.slice(F.col("ws"), h["start"] + 1, h["len"]) == h["gram"]).alias("hits")).where(F.size("hits") > 0)
+    hits = _written(hits, "hits")
+    spans = hits.select("_id", "_th", "_tl", F.array_sort(F.array_distinct(F.flatten(F.transform(
+        "hits", lambda h: F.sequence(h["start"], h["start"] + h["len"] - 1))))).alias("spans"))
+    listed = hits.select("_id", "_th", "_tl", F.explode(F.array_distinct(F.transform(
+        "hits", lambda h: h["gram"]))).alias("gram")) \
+        .join(pairs.where(F.col("item").isNotNull()).select("gram", "item"), "gram") \
+        .groupBy("_id", "_th", "_tl").agg(F.array_sort(F.collect_set("item")).alias("item_ids"))
+    spans = spans.join(listed.withColumnsRenamed({"_id": "i", "_th": "h", "_tl": "l"}), _by_key(), "left").drop("i", "h", "l")
     none = [F.array().cast("array<int>"), F.array().cast("array<string>")]
-    return per_doc.join(hits, _same(per_doc, hits), "left").select(
+    return per_doc.join(spans, _same(per_doc, spans), "left").select(
         per_doc["_id"], per_doc["_th"], per_doc["_tl"], "n_words", "copies",
         F.coalesce("spans", none[0]).alias("spans"), F.coalesce("item_ids", none[1]).alias("item_ids"))
 

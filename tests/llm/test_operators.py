@@ -555,6 +555,8 @@ def test_decontamination_short_items(spark, odd, empty):
     # without a broadcast the result is the same
     a = decontaminate.contamination(odd, items, broadcast_windows=0).select("_id", "n_words", "spans").collect()
     b = decontaminate.contamination(odd, items).select("_id", "n_words", "spans").collect()
+    c = decontaminate.contamination(odd, items, broadcast_bytes=0).select("_id", "n_words", "spans").collect()
+    assert sorted(map(str, b)) == sorted(map(str, c))
     assert Counter(map(str, a)) == Counter(map(str, b))
 
 
@@ -604,3 +606,34 @@ def test_language_spans_and_odd(spark, docs, odd, empty):
     assert langid.identify(odd, model).count() == odd.count() and langid.identify(empty, model).count() == 0
     nothing = langid.train(empty)
     assert {r["lang_pred"] for r in langid.identify(odd, nothing).collect()} == {"und"}
+
+
+def test_viterbi_many_labels():
+    rng = np.random.default_rng(5)
+    scores = rng.normal(0, 3, (300, 200)).astype(np.float32)
+    scores[:100, 199] += 30
+    n = np.array([100, 0, 50, 150])
+    got = langid.viterbi(scores, n, 4.0)
+    assert set(got[:100]) == {199}
+    at = 0
+    for k in n:
+        if k:
+            want = brute_viterbi(scores[at:at + k], 4.0)
+            assert list(got[at:at + k]) == list(want)
+        at += k
+
+
+def test_language_many_and_rare(spark):
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    stem = {f"l{i:03d}": letters[i % 26] * 3 + letters[i // 26] * 3 + letters[i * 7 % 26] for i in range(200)}
+    rows = [(i, f"{w} {w}{w} {w}", x) for i, (x, w) in enumerate(stem.items())]
+    model = langid.train(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    assert model["labels"] == sorted(stem)
+    got = langid.identify(spark.createDataFrame(rows, "doc_id long, text string, lang string"), model).collect()
+    assert all(r["lang"] == r["lang_pred"] for r in got)
+    one = [(i, "the house and the garden", "en") for i in range(3000)] + [(None, "das Haus und der Garten", "de")]
+    one += [(None, f"la maison {i}", "fr") for i in range(3)]
+    model = langid.train(spark.createDataFrame(one, "doc_id long, text string, lang string"), train_rows=20)
+    assert model["labels"] == ["de", "en", "fr"]
+    tests = spark.createDataFrame([(1, "der Garten und das Haus")], "doc_id long, text string")
+    assert langid.identify(tests, model).first()["lang_pred"] == "de"
