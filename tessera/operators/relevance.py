@@ -9,8 +9,12 @@ count aggregate; regressions and tree importances are Spark ML estimators
 
 from __future__ import annotations
 
+import functools
 import math
+from collections.abc import Iterator
 
+import numpy as np
+import pandas as pd
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import (GBTRegressor, GeneralizedLinearRegression, LinearRegression,
                                    RandomForestRegressor)
@@ -194,6 +198,87 @@ def lasso(df: DataFrame, target: str, features: list[str] | None = None, alpha:
     return _coef_frame(df.sparkSession, feats + ["intercept"], list(m.coefficients) + [m.intercept])
 
 
+def _cross_products(data: DataFrame, cols: list[str]) -> tuple[int, np.ndarray, np.ndarray]:
+    """(rows, means, centred cross products) of complete numeric columns: one
+    aggregate for the means, one table of len(cols) squared sums a task."""
+    first = data.agg(F.count(F.lit(1)), *[F.avg(qcol(c)) for c in cols]).first()
+    n = first[0]
+    if not n:
+        return 0, np.zeros(len(cols)), np.zeros((len(cols), len(cols)))
+    means = np.array(first[1:], dtype=np.float64)
+    width = len(cols)
+
+    def sums(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        g = np.zeros((width, width))
+        for f in frames:
+            x = f.to_numpy(np.float64) - means
+            g += x.T @ x
+        i, j = np.indices(g.shape)
+        yield pd.DataFrame({"i": i.ravel(), "j": j.ravel(), "v": g.ravel()})
+
+    g = np.zeros((width, width))
+    for r in data.select(*[qcol(c) for c in cols]).mapInPandas(sums, "i int, j int, v double") \
+            .groupBy("i", "j").agg(F.sum("v").alias("v")).toLocalIterator():
+        g[r["i"], r["j"]] = r["v"]
+    return n, means, g
+
+
+def _lasso_path(gram: np.ndarray, cov: np.ndarray, alpha: float, max_iter: int, tol: float = 1e-12) -> np.ndarray:
+    """Cyclic coordinate descent of |y - Xw|^2 / 2n + alpha |w|_1 on X'X / n and X'y / n."""
+    w = np.zeros(len(cov))
+    for _ in range(max_iter):
+        moved = 0.0
+        for j in np.flatnonzero(np.diag(gram) > 0):
+            rest = cov[j] - gram[j] @ w + gram[j, j] * w[j]
+            new = np.sign(rest) * max(abs(rest) - alpha, 0.0) / gram[j, j]
+            moved = max(moved, abs(new - w[j]) * math.sqrt(gram[j, j]))
+            w[j] = new
+        if moved <= tol * max(1.0, float(np.abs(cov).max())):
+            return w
+    raise ValueError(f"lasso has not converged after {max_iter} rounds")
+
+
+def multi_target(df: DataFrame, targets: list[str], features: list[str] | None = None, method: str = "ols",
+                 alpha: float = 1.0, degree: int = 2, bias: bool = False, max_iter: int = 5000) -> DataFrame:
+    """R4-R7 for several targets at once: (target, term, coefficient), the
+    intercept as the last term of each target. ``method`` is ``ols``, ``polynomial``
+    (terms up to ``degree``; with ``bias`` a constant term ``1``, whose coefficient is 0 beside the
+    intercept), ``ridge`` or ``lasso``.
+
+    The cross products of all terms and targets are summed in one pass; every target is a
+    right-hand side of the same terms x terms system. Rows with a null or NaN in any of the columns are
+    left out; without any row coefficients are null. Of collinear terms the smallest
+    solution in standardised units is taken, and a constant feature has coefficient 0."""
+    if method not in ("ols", "polynomial", "ridge", "lasso"):
+        raise ValueError(f"unknown method {method!r}")
+    feats = _features(df, targets, features)
+    terms = poly_terms(feats, degree) if method == "polynomial" else [(f, [f]) for f in feats]
+    clean = df.select(*[_number(c).alias(f"x{i}") for i, c in enumerate(feats)],
+                      *[_number(t).alias(f"y{i}") for i, t in enumerate(targets)]).na.drop()
+    place = {f: f"x{i}" for i, f in enumerate(feats)}
+    products = [functools.reduce(lambda a, b: a * b, [F.col(place[f]) for f in fs]) for _, fs in terms]
+    cols = [f"t{i}" for i in range(len(terms))] + [f"y{i}" for i in range(len(targets))]
+    data = clean.select(*[x.alias(f"t{i}") for i, x in enumerate(products)], *[f"y{i}" for i in range(len(targets))])
+    n, means, g = _cross_products(data, cols)
+    p = len(terms)
+    gram, cov = g[:p, :p], g[:p, p:]
+    if method == "ridge":
+        w = np.linalg.lstsq(gram + alpha * np.eye(p), cov, rcond=None)[0]
+    elif method == "lasso":
+        w = np.stack([_lasso_path(gram / max(n, 1), cov[:, t] / max(n, 1), alpha, max_iter) for t in range(len(targets))], 1)
+    else:
+        unit = np.sqrt(np.diag(gram))
+        unit[unit == 0] = 1.0
+        w = np.linalg.lstsq(gram / np.outer(unit, unit), cov / unit[:, None], rcond=1e-13)[0] / unit[:, None]
+    rows = []
+    for t, target in enumerate(targets):
+        if method == "polynomial" and bias:
+            rows.append((target, "1", 0.0 if n else None))
+        rows += [(target, name, float(w[i, t]) if n else None) for i, (name, _) in enumerate(terms)]
+        rows.append((target, "intercept", float(means[p + t] - means[:p] @ w[:, t]) if n else None))
+    return df.sparkSession.createDataFrame(rows, "target string, term string, coefficient double")
+
+
 def poisson(df: DataFrame, target: str, features: list[str] | None = None) -> DataFrame:
     """Poisson GLM with log link; (term, coefficient, std_error,
     p_value) ranked by |coefficient|, intercept named ``const``."""

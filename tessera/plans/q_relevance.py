@@ -122,6 +122,52 @@ def lasso_quantity(spark, d):
     return r.select("term", F.round("coefficient", 3).alias("coefficient"))
 
 
+# two targets (price and tax) on two features, or on one where the method has a closed form for one only
+_S2 = """s AS (SELECT count(*) AS n, avg(x) AS mx, avg(z) AS mz, avg(y) AS my, covar_pop(x, x) AS xx, covar_pop(x, z) AS xz,
+  covar_pop(z, z) AS zz, covar_pop(x, y) AS xy, covar_pop(z, y) AS zy, covar_pop(x, t) AS xt, covar_pop(t, t) AS tt, covar_pop(t, y) AS ty,
+  avg(t) AS mt, target FROM (
+  SELECT l_quantity AS x, l_discount AS z, l_quantity * l_quantity AS t, l_extendedprice AS y, 'extendedprice' AS target FROM lineitem
+  UNION ALL SELECT l_quantity, l_discount, l_quantity * l_quantity, l_tax, 'tax' FROM lineitem) GROUP BY target)"""
+
+
+def _two_features(penalty: str) -> str:
+    return f"""WITH {_S2}, d AS (SELECT *, xx + {penalty} AS a, zz + {penalty} AS c FROM s),
+b AS (SELECT *, (xy * c - xz * zy) / (a * c - xz * xz) AS bx, (zy * a - xz * xy) / (a * c - xz * xz) AS bz FROM d)
+SELECT target, 'quantity' AS term, round(bx, 7) AS coefficient FROM b UNION ALL SELECT target, 'discount', round(bz, 6) FROM b
+UNION ALL SELECT target, 'intercept', round(my - bx * mx - bz * mz, 6) FROM b"""
+
+
+def _two_targets(spark, d, features, **options):
+    r = R.multi_target(FX.wide_numeric(spark, d), [TARGET, "tax"], features, **options)
+    return r.select("target", "term", F.when(F.col("term").startswith("quantity"), F.round("coefficient", 7))
+                    .otherwise(F.round("coefficient", 6)).alias("coefficient"))
+
+
+@register("ols_two_targets", "R4", _two_features("0"))
+def ols_two_targets(spark, d):
+    return _two_targets(spark, d, ["quantity", "discount"])
+
+
+@register("ridge_two_targets", "R6", _two_features("50000.0 / n"))
+def ridge_two_targets(spark, d):
+    return _two_targets(spark, d, ["quantity", "discount"], method="ridge", alpha=50000.0)
+
+
+@register("lasso_two_targets", "R7", f"""WITH {_S2}, b AS (SELECT *, sign(xy) * greatest(abs(xy) - 0.0005, 0) / xx AS b FROM s)
+SELECT target, 'quantity' AS term, round(b, 7) AS coefficient FROM b UNION ALL SELECT target, 'intercept', round(my - b * mx, 6) FROM b""")
+def lasso_two_targets(spark, d):
+    return _two_targets(spark, d, ["quantity"], method="lasso", alpha=0.0005)
+
+
+@register("polynomial_two_targets", "R5", f"""WITH {_S2}, b AS (SELECT *, (xy * tt - xt * ty) / (xx * tt - xt * xt) AS bx,
+  (ty * xx - xt * xy) / (xx * tt - xt * xt) AS bt FROM s)
+SELECT target, '1' AS term, 0.0::DOUBLE AS coefficient FROM b
+UNION ALL SELECT target, 'quantity', round(bx, 7) FROM b UNION ALL SELECT target, 'quantity^2', round(bt, 7) FROM b
+UNION ALL SELECT target, 'intercept', round(my - bx * mx - bt * mt, 6) FROM b""")
+def polynomial_two_targets(spark, d):
+    return _two_targets(spark, d, ["quantity"], method="polynomial", bias=True)
+
+
 @register("causal_effect_discount", "R12", f"""WITH {_S}, b AS (SELECT (xy * zz - xz * zy) / (xx * zz - xz * xz) AS b FROM s)
 SELECT 'quantity' AS treatment, round(b, 4) AS effect FROM b UNION ALL SELECT 'all_treatments', round(b, 4) FROM b""")
 def causal_effect_discount(spark, d):

@@ -258,3 +258,29 @@ def test_dbscan_grid(spark, dims):
                 best = ((eps, m), s)
     found = tune_dbscan(df, features, "id", eps_values=radii[-2:], min_samples_values=counts, patience=100)
     assert (found["eps"], found["min_samples"]) == best[0] and found["score"] == pytest.approx(best[1])
+
+
+def test_several_targets(spark):
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(200, 3)) * [1, 10, 100] + [5, -3, 1000]
+    y = np.stack([2 * x[:, 0] - x[:, 2] + rng.normal(size=200), x[:, 1] * 0.3 + 7], 1)
+    rows = [tuple(map(float, (*a, 1.0, *b))) for a, b in zip(x, y)] + [(None, 1.0, 1.0, 1.0, 1.0, 1.0), (1.0, 1.0, 1.0, 1.0, float("nan"), 1.0)]
+    df = spark.createDataFrame(rows, "a double, b double, c double, one double, y double, z double")
+    centred, values = x - x.mean(0), y - y.mean(0)
+
+    def found(**options):
+        got = {(r["target"], r["term"]): r["coefficient"] for r in R.multi_target(df, ["y", "z"], ["a", "b", "c", "one"], **options).collect()}
+        return got, np.array([[got[t, f] for t in ("y", "z")] for f in ("a", "b", "c")])
+
+    got, w = found()
+    want = np.linalg.lstsq(centred, values, rcond=None)[0]
+    assert np.allclose(w, want, atol=1e-9) and got["y", "one"] == pytest.approx(0, abs=1e-9)
+    assert got["z", "intercept"] == pytest.approx(y[:, 1].mean() - x.mean(0) @ want[:, 1], abs=1e-6)
+    assert np.allclose(found(method="ridge", alpha=3.0)[1], np.linalg.solve(centred.T @ centred + 3 * np.eye(3), centred.T @ values))
+    w = found(method="lasso", alpha=0.4)[1]
+    slope = centred.T @ (values - centred @ w) / 200
+    assert np.allclose(np.where(w != 0, slope - 0.4 * np.sign(w), 0), 0, atol=1e-7) and (abs(slope) <= 0.4 + 1e-7).all()
+    none = R.multi_target(df.limit(0), ["y", "z"], ["a"]).collect()
+    assert len(none) == 4 and {r["coefficient"] for r in none} == {None}
+    with pytest.raises(ValueError):
+        R.multi_target(df, ["y"], ["a"], method="huber")
