@@ -12,20 +12,34 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
 
 from tessera.functions.frame import qcol
 from tessera.functions.pairs import DEFAULT_TILE_ROWS, apply_tiles, distance_fn, stack, vector_col
 from tessera.session import cut_lineage
 
 
+def id_kind(df: DataFrame, id_col: str) -> str:
+    """The type an id is carried in: long for whole numbers, its own otherwise."""
+    kind = df.schema[id_col].dataType
+    return "long" if isinstance(kind, IntegralType) else kind.simpleString()
+
+
+def nearest(dist: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
+    """Per row of ``dist`` the columns of its k smallest entries in the order (distance, id)."""
+    place = np.unique(ids, return_inverse=True)[1]              # texts can't be sorted beside numbers
+    return np.lexsort((np.broadcast_to(place, dist.shape), dist), axis=1)[:, :k]
+
+
 def _topk_block(k: int, metric: str):
     dist = distance_fn(metric)
 
     def block(a: pd.DataFrame, b: pd.DataFrame, same: bool) -> pd.DataFrame:
-        A, B = stack(a["_vec"]), stack(b["_vec"])
-        D = dist(A, B)
         ia, ib = a["_id"].to_numpy(), b["_id"].to_numpy()
-        outs = []
+        outs = [pd.DataFrame({"id": ia[:0], "nbr": ib[:0], "dist": np.zeros(0)})]
+        if not len(a) or not len(b):
+            return outs[0]
+        D = dist(stack(a["_vec"]), stack(b["_vec"]))
 
         def best(ids, others, dmat, drop_self):
             dm = dmat.copy()
@@ -34,8 +48,7 @@ def _topk_block(k: int, metric: str):
             kk = min(k, dm.shape[1] - (1 if drop_self else 0))
             if kk <= 0:
                 return
-            # order by (distance, id) so ties resolve the same way everywhere
-            order = np.lexsort((np.broadcast_to(others, dm.shape), dm), axis=1)[:, :kk]
+            order = nearest(dm, others, kk)
             rows = np.repeat(np.arange(len(ids)), kk)
             cols = order.ravel()
             outs.append(pd.DataFrame({"id": ids[rows], "nbr": others[cols], "dist": dm[rows, cols]}))
@@ -43,10 +56,7 @@ def _topk_block(k: int, metric: str):
         best(ia, ib, D, same)
         if not same:
             best(ib, ia, D.T, False)
-        if not outs:
-            return pd.DataFrame({"id": pd.Series([], dtype="int64"), "nbr": pd.Series([], dtype="int64"),
-                                 "dist": pd.Series([], dtype="float64")})
-        return pd.concat(outs, ignore_index=True)
+        return pd.concat([o for o in outs if len(o)] or outs, ignore_index=True)
 
     return block
 
@@ -54,9 +64,12 @@ def _topk_block(k: int, metric: str):
 def knn(df: DataFrame, id_col: str, features, k: int = 5, metric: str = "euclidean",
         tile_rows: int = DEFAULT_TILE_ROWS) -> DataFrame:
     """(id, nbr, dist, rank) -- the exact k nearest other points of every
-    point, rank 1 = nearest, ties broken by neighbour id."""
-    pts = df.select(qcol(id_col).cast("long").alias("_id"), vector_col(df, features))
-    cand = apply_tiles(pts, "_id", _topk_block(k, metric), "id long, nbr long, dist double", tile_rows)
+    point, rank 1 = nearest, ties broken by neighbour id. Ids are of any type that sorts; rows
+    without an id, and vectors that are null or hold a null, take no part."""
+    kind = id_kind(df, id_col)
+    pts = df.select(qcol(id_col).cast(kind).alias("_id"), vector_col(df, features)) \
+        .where(F.col("_id").isNotNull() & F.col("_vec").isNotNull() & F.forall("_vec", lambda x: x.isNotNull()))
+    cand = apply_tiles(pts, "_id", _topk_block(k, metric), f"id {kind}, nbr {kind}, dist double", tile_rows)
     w = Window.partitionBy("id").orderBy("dist", "nbr")
     return cand.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 

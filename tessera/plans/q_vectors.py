@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from tessera.operators import cluster_quality as Q
 from tessera.operators import embedding_quality as V
 from tessera.operators import neighbors as NB
+from tessera.operators import pivots as PV
 from tessera.plans.catalog import register
 from tessera.sources.tables import table
 
@@ -104,6 +105,14 @@ def knn_embeddings(spark, d):
     return nn.select("id", "nbr", F.round("dist", 9).alias("dist"), F.col("rank").cast("long").alias("rank"))
 
 
+@register("knn_pruned_embeddings", "N1,J7,A12", "WITH " + PAIRS_SQL + """
+SELECT i AS id, j AS nbr, round(dx, 9) AS dist, r AS rank FROM (
+  SELECT i, j, dx, row_number() OVER (PARTITION BY i ORDER BY dx, j) AS r FROM p) WHERE r <= 10""")
+def knn_pruned_embeddings(spark, d):
+    nn = PV.knn_pruned(emb(spark, d), "vec_id", "embedding", k=10)
+    return nn.select("id", "nbr", F.round("dist", 9).alias("dist"), F.col("rank").cast("long").alias("rank"))
+
+
 RANKS_SQL = PAIRS_SQL + """,
 rx AS (SELECT i, j, row_number() OVER (PARTITION BY i ORDER BY dx, j) AS r FROM p),
 ry AS (SELECT i, j, row_number() OVER (PARTITION BY i ORDER BY dy, j) AS r FROM p),
