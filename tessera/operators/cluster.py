@@ -15,6 +15,7 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessera.functions.cells import apply_cells
 from tessera.functions.frame import qcol
 from tessera.functions.pairs import DEFAULT_TILE_ROWS, apply_grid, apply_tiles, euclidean, stack, vector_col
 from tessera.functions.ranking import group_row_number
@@ -88,7 +89,8 @@ def dbscan(df: DataFrame, features, id_col: str, eps: float = 0.5, min_samples:
 
     With 1-3 scalar feature columns (the default when given) the blocks come
     from an eps grid (only neighbouring cells are compared, dense cells are
-    split into bounded sub-tiles); otherwise from hash tiles (all pairs)."""
+    split into bounded sub-tiles); otherwise from cells around pivots, of which only those
+    within reach are compared (:func:`tessera.functions.cells.apply_cells`)."""
     use_grid = grid if grid is not None else (not isinstance(features, str) and len(features) <= 3)
     if use_grid:
         pts = df.select(qcol(id_col).cast("long").alias("_id"), vector_col(df, features),
@@ -101,7 +103,7 @@ def dbscan(df: DataFrame, features, id_col: str, eps: float = 0.5, min_samples:
         pts = df.select(qcol(id_col).cast("long").alias("_id"), vector_col(df, features))
 
         def blocks(frame, fn, schema):
-            return apply_tiles(frame, "_id", fn, schema, tile_rows)
+            return apply_cells(frame, "_id", float(eps), fn, schema, tile_rows)
     eps2 = float(eps)
 
     def count_block(a, b, same):

@@ -113,6 +113,34 @@ def decision_rules(model, features: list[str]) -> str:
     return re.sub(r"feature (\d+)", lambda m: features[int(m.group(1))], text)
 
 
+def leaf_rows(model, features: list[str], spark) -> DataFrame:
+    """(leaf, depth, condition, predicted), one row for each leaf from left to right. ``condition``
+    is SQL over the feature columns; a row of data meets that of one leaf."""
+    rows = []
+
+    def walk(node, path):
+        if node.getClass().getSimpleName() == "LeafNode":
+            rows.append((len(rows), len(path), " AND ".join(path) or "TRUE", int(node.prediction())))
+            return
+        name, at = features[node.split().featureIndex()].replace("`", "``"), float(node.split().threshold())
+        walk(node.leftChild(), [*path, f"`{name}` <= {at!r}"])
+        walk(node.rightChild(), [*path, f"`{name}` > {at!r}"])
+
+    walk(model._java_obj.rootNode(), [])                       # 2 ** depth leaves at most
+    return spark.createDataFrame(rows, "leaf int, depth int, condition string, predicted int")
+
+
+def leaf_profile(df: DataFrame, leaves: DataFrame, label_col: str = "Cluster") -> DataFrame:
+    """The leaves with their numbers of rows, and of rows that have the predicted label
+    (``hits``), from one aggregate. Rows with a missing feature meet no condition."""
+    rows = leaves.orderBy("leaf").collect()
+    leaf = F.coalesce(*[F.when(F.expr(r["condition"]), F.lit(r["leaf"])) for r in rows])
+    said = F.element_at(F.lit([r["predicted"] for r in rows]), F.col("leaf") + 1)
+    per = df.select(leaf.alias("leaf"), qcol(label_col).alias("_y")).where(F.col("leaf").isNotNull()) \
+        .groupBy("leaf").agg(F.count(F.lit(1)).alias("rows"), F.count(F.when(F.col("_y") == said, 1)).alias("hits"))
+    return leaves.join(per, "leaf", "left").na.fill(0, ["rows", "hits"])
+
+
 def plain_rules(rules: str) -> str:
     """The rule text in words."""
     out = rules.replace("<=", "is at most").replace(" > ", " is more than ")

@@ -38,9 +38,8 @@ def dbscan_blobs(spark, d):
     return K.dbscan(blobs2d(spark, d), ["x", "y"], "event_id", eps=0.02, min_samples=10)
 
 
-@register("dbscan_embeddings_2d", "K3,J7,N5", """
-WITH RECURSIVE e AS (SELECT vec_id, CAST(embedding[1] AS DOUBLE) AS x, CAST(embedding[2] AS DOUBLE) AS y FROM embeddings),
-p AS (SELECT a.vec_id AS a, b.vec_id AS b FROM e a JOIN e b ON sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y)) <= 0.01),
+#: Clusters of the pairs p(a, b) within the radius of e(vec_id), four neighbours and the row itself making a core.
+DBSCAN_SQL = """,
 core AS (SELECT a AS id FROM p GROUP BY a HAVING count(*) >= 5),
 g AS (SELECT a, b FROM p WHERE a IN (SELECT id FROM core) AND b IN (SELECT id FROM core)),
 r(id, root) AS (SELECT id, id FROM core UNION SELECT g.b, r.root FROM r JOIN g ON g.a = r.id),
@@ -48,11 +47,23 @@ c AS (SELECT id, min(root) AS root FROM r GROUP BY id),
 n AS (SELECT root, row_number() OVER (ORDER BY root) - 1 AS k FROM (SELECT DISTINCT root FROM c)),
 l AS (SELECT id, k FROM c JOIN n USING (root)
       UNION ALL SELECT p.a, min(k) FROM p JOIN c ON c.id = p.b JOIN n USING (root) WHERE p.a NOT IN (SELECT id FROM core) GROUP BY p.a)
-SELECT vec_id, CAST(coalesce(k, -1) AS INTEGER) AS Cluster FROM e LEFT JOIN l ON l.id = e.vec_id""")
+SELECT vec_id, CAST(coalesce(k, -1) AS INTEGER) AS Cluster FROM e LEFT JOIN l ON l.id = e.vec_id"""
+
+
+@register("dbscan_embeddings_2d", "K3,J7,N5", """
+WITH RECURSIVE e AS (SELECT vec_id, CAST(embedding[1] AS DOUBLE) AS x, CAST(embedding[2] AS DOUBLE) AS y FROM embeddings),
+p AS (SELECT a.vec_id AS a, b.vec_id AS b FROM e a JOIN e b ON sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y)) <= 0.01)""" + DBSCAN_SQL)
 def dbscan_embeddings_2d(spark, d):
     return K.dbscan(emb2d(spark, d), ["x", "y"], "vec_id", eps=0.01, min_samples=5)
 
 
+@register("dbscan_embeddings", "K3,J7,N5", """
+WITH RECURSIVE e AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS x FROM embeddings),
+p AS (SELECT a.vec_id AS a, b.vec_id AS b FROM e a JOIN e b ON list_distance(a.x, b.x) <= 1.18)""" + DBSCAN_SQL)
+def dbscan_embeddings(spark, d):
+    return K.dbscan(emb(spark, d), "embedding", "vec_id", eps=1.18, min_samples=5)
+
+
 @register("agglomerative_embeddings", "K2")
 def agglomerative_embeddings(spark, d):
     return K.agglomerative(emb(spark, d), "embedding", "vec_id", k=10, linkage="ward")

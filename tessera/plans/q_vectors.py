@@ -40,6 +40,13 @@ def silhouette_embeddings(spark, d):
         .select(F.round("silhouette", 9).alias("silhouette"))
 
 
+@register("silhouette_squared_embeddings", "Q1", "WITH " + SIL_SQL.replace("avg(dx)", "avg(dx * dx)") + """
+SELECT round(avg(CASE WHEN a IS NULL THEN 0.0 ELSE (b - a) / greatest(a, b) END), 9) AS silhouette_squared FROM per""")
+def silhouette_squared_embeddings(spark, d):
+    return Q.silhouette_squared(emb(spark, d), "embedding", "label") \
+        .select(F.round("silhouette_squared", 9).alias("silhouette_squared"))
+
+
 CH_SQL = E_SQL + """,
 dims AS (SELECT label, unnest(x) AS v, unnest(generate_series(1, len(x))) AS d FROM e),
 cen AS (SELECT label, d, avg(v) AS mu, count(*) AS n FROM dims GROUP BY label, d),
