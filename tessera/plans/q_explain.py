@@ -90,13 +90,6 @@ def surrogate_rules_embeddings(spark, d):
                                  "line_no int, rule string, plain string")
 
 
-@register("surrogate_leaves_embeddings", "X3,X4")
-def surrogate_leaves_embeddings(spark, d):
-    data, names = _emb_wide(spark, d, 64)
-    data = data.join(table(spark, d, "embeddings").select("vec_id", F.col("label").alias("Cluster")), "vec_id")
-    return X.leaf_profile(data, X.leaf_rows(X.surrogate_tree(data, names, depth=3), names, spark))
-
-
 def _emb_wide(spark, d, dims: int = 16):
     e = table(spark, d, "embeddings")
     cols = [f"f{i:02d}" for i in range(dims)]
