@@ -5,8 +5,10 @@ are pivots; every row lies in the cell of its nearest pivot, and a cell is cut b
 into tiles of about ``tile_rows`` rows. A row first looks through its own tile, which bounds the
 distance of its last neighbour. It then visits only cells that can hold something as near: a
 cell with pivot p and radius r holds nothing nearer to x than d(x, p) - r, nor, as its rows
-are nearer to p than to x's own pivot q, than (d(x, p) - d(x, q)) / 2. Visitors of a tile
-are counted first and spread over chunks, so that every group holds about two tiles of rows.
+are nearer to p than to x's own pivot q, than (d(x, p) - d(x, q)) / 2. Tiles of neighbouring cells lie in one group of bounded rows
+(:class:`tessera.functions.cells.Groups`): a row is copied once a group it visits, and
+goes through the cells within reach there. Visitors of a group are counted
+first and spread over chunks, so that a task holds about two groups of rows.
 
 Equal vectors are searched for once: of each vector only the k + 1 smallest ids can be in
 anybody's list, and all its rows share one list. A vector held by a third of the rows
@@ -24,14 +26,13 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions.frame import qcol
-from tessera.functions.pairs import DEFAULT_TILE_ROWS, distance_fn, stack, vector_col
-from tessera.operators.neighbors import id_kind, nearest
+from tessera.functions.cells import BATCH, SLACK, Groups, pivot_distances
+from tessera.functions.pairs import DEFAULT_TILE_ROWS, chunks, stack, vector_col
+from tessera.operators.neighbors import Best, id_kind, search
 from tessera.session import cut_lineage, ship_package
 
 #: Metrics that keep the triangle inequality.
 METRICS = ("euclidean", "manhattan", "cityblock")
-#: Distances differ by rounding; a cell is skipped only if it is farther by more than this share.
-SLACK = 1e-9
 
 
 class _Search:
@@ -45,7 +46,7 @@ class _Search:
             raise ValueError("k, tile_rows, max_pivots and probes start from 1")
         ship_package(df.sparkSession)
         self.spark, self.kind, self.probes = df.sparkSession, id_kind(df, id_col), probes
-        self.size, self.tile_rows, self.dist = k + 1, tile_rows, distance_fn(metric)
+        self.size, self.tile_rows, self.dist, self.metric = k + 1, tile_rows, pivot_distances(metric), metric
         pts = df.select(qcol(id_col).cast(self.kind).alias("_id"), vector_col(df, features))
         usable = F.col("_id").isNotNull() & F.col("_vec").isNotNull() \
             & F.forall("_vec", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != F.lit(math.inf)))
@@ -76,7 +77,8 @@ class _Search:
         for r in placed.groupBy("_cell").agg(F.count(F.lit(1)).alias("n"), F.max("_own").alias("r")).collect():
             counts[r["_cell"]], radius[r["_cell"]] = r["n"], r["r"]
         self.pivots, self.radius = pivots, radius
-        self.subs = np.ceil(counts / self.tile_rows).astype("int64")
+        self.groups = Groups(pivots, counts, self.tile_rows)
+        self.subs = self.groups.subs
         cells = self.spark.createDataFrame([(i, int(s)) for i, s in enumerate(self.subs)], "_cell int, _subs long")
         self.tiles = placed.join(F.broadcast(cells), "_cell") \
             .withColumn("_sub", F.pmod(F.xxhash64("_id"), "_subs")).drop("_subs")
@@ -84,18 +86,18 @@ class _Search:
 
     def _own_tiles(self) -> DataFrame:
         """One row for each different vector: its list within its tile and the distance of the last in it."""
-        dist, size = self.dist, self.size
+        size, metric = self.size, self.metric
 
         def block(pdf: pd.DataFrame) -> pd.DataFrame:
             ask = pdf[pdf["_r"] == 1]
             if not len(ask):
                 return ask.assign(_reach=0.0, _nbr=None, _dist=None).drop(columns="_r")
-            d = dist(stack(ask["_vec"]), stack(pdf["_vec"]))
             ids = pdf["_id"].to_numpy()
-            order = nearest(d, ids, size)
-            found = np.take_along_axis(d, order, axis=1)
-            reach = found[:, -1] if found.shape[1] == size else np.full(len(ask), math.inf)
-            return ask.assign(_reach=reach, _nbr=list(ids[order]), _dist=list(found)).drop(columns="_r")
+            place = np.unique(ids, return_inverse=True)[1]
+            best, _ = search(stack(ask["_vec"]), stack(pdf["_vec"]), place, place, size, metric, False, BATCH, both=False)
+            there = [a >= 0 for a in best.at]
+            return ask.assign(_reach=best.dist[:, -1], _nbr=[ids[a[t]] for a, t in zip(best.at, there)],
+                              _dist=[d[t] for d, t in zip(best.dist, there)]).drop(columns="_r")
 
         return self.tiles.groupBy("_cell", "_sub").applyInPandas(
             block, f"_id {self.kind}, _vec array<double>, _cell int, _own double, _sub long, _reach double, "
@@ -139,46 +141,79 @@ class _Search:
         return out
 
     def visited(self) -> DataFrame:
-        """(_id, _nbr, _dist): what the visits find within reach, at most k + 1 rows a visit."""
-        reached, dist, size, kind = self._reached(), self.dist, self.size, self.kind
-        chunks = np.ceil(self.visits() / self.tile_rows).astype("int64")
-        cells = F.broadcast(self.spark.createDataFrame(
-            [(i, int(s), int(c)) for i, (s, c) in enumerate(zip(self.subs, chunks)) if c], "_to int, _subs long, _chunks long"))
+        """(_id, _nbr, _dist): what the visits find within reach, at most k + 1 rows a visited group."""
+        reached, size, kind, metric, n = self._reached(), self.size, self.kind, self.metric, len(self.pivots)
+        groups = self.groups
+        member = groups.member
 
         def go(frames):
-            for pdf in frames:
-                if len(pdf):
-                    rows, to = reached(pdf)
-                    yield pdf.iloc[rows].drop(columns="_own").assign(_to=to.astype("int32"))
-
-        names = ["_id", "_vec", "_reach", "_to", "_tsub", "_chunk"]
-        ask = self.own.select("_id", "_vec", "_cell", "_sub", "_own", "_reach").mapInPandas(
-            go, f"_id {kind}, _vec array<double>, _cell int, _sub long, _reach double, _to int") \
-            .join(cells, "_to") \
-            .withColumn("_tsub", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_subs") - 1))) \
-            .where((F.col("_to") != F.col("_cell")) | (F.col("_tsub") != F.col("_sub"))) \
-            .withColumn("_chunk", F.pmod(F.xxhash64("_id", F.lit(1)), "_chunks")).select(*names)
-        hold = self.tiles.select("_id", "_vec", F.lit(None).cast("double").alias("_reach"), F.col("_cell").alias("_to"),
-                                 F.col("_sub").alias("_tsub")).join(cells, "_to") \
+            for whole in frames:
+                for s in chunks(len(whole), BATCH):
+                    pdf = whole.iloc[s]
+                    rows, cells = reached(pdf)
+                    mask = np.zeros((len(pdf), n), np.float32)
+                    mask[rows, cells] = 1.0
+                    rows, to = np.nonzero(mask @ member > 0)
+                    yield pdf.iloc[rows].assign(_to=to.astype("int32"))
+
+        fields = f"_id {kind}, _vec array<double>, _cell int, _sub long, _own double, _reach double"
+        own = self.own.select("_id", "_vec", "_cell", "_sub", "_own", "_reach")
+        asking = own.mapInPandas(go, f"{fields}, _to int")
+        chunked = [(r["_to"], math.ceil(r["n"] / groups.rows)) for r in own.select("_vec", "_cell", "_own", "_reach").mapInPandas(
+            _counted(reached, member), "_to int, n long").groupBy("_to").agg(F.sum("n").alias("n")).collect()]
+        sizes = F.broadcast(self.spark.createDataFrame(chunked, "_to int, _chunks long"))       # one row a group
+        names = ["_id", "_vec", "_cell", "_sub", "_own", "_reach", "_to", "_chunk"]
+        ask = asking.join(sizes, "_to").withColumn("_chunk", F.pmod(F.xxhash64("_id", F.lit(1)), "_chunks")).select(*names)
+        hold = self.tiles.join(F.broadcast(groups.table(self.spark)), ["_cell", "_sub"]) \
+            .select("_id", "_vec", "_cell", "_sub", F.lit(0.0).alias("_own"), F.lit(None).cast("double").alias("_reach"),
+                    F.col("_group").alias("_to")).join(sizes, "_to") \
             .withColumn("_chunk", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_chunks") - 1))).select(*names)
 
         def block(pdf: pd.DataFrame) -> pd.DataFrame:
             asks = pdf["_reach"].notna()
-            q, m = pdf[asks], pdf[~asks]
+            q, m = pdf[asks].reset_index(drop=True), pdf[~asks].reset_index(drop=True)
+            ids = m["_id"].to_numpy()
             if not len(q) or not len(m):
                 return pd.DataFrame({"_id": pdf["_id"][:0], "_nbr": pdf["_id"][:0], "_dist": np.zeros(0)})
-            d = dist(stack(q["_vec"]), stack(m["_vec"]))
-            ids = m["_id"].to_numpy()
-            order = nearest(d, ids, size)
-            found = np.take_along_axis(d, order, axis=1)
-            keep = found <= q["_reach"].to_numpy()[:, None] * (1 + SLACK)
-            rows = np.repeat(np.arange(len(q)), order.shape[1])[keep.ravel()]
-            return pd.DataFrame({"_id": q["_id"].to_numpy()[rows], "_nbr": ids[order][keep], "_dist": found[keep]})
-
-        return ask.unionByName(hold).groupBy("_to", "_tsub", "_chunk").applyInPandas(
+            x, y, place = stack(q["_vec"]), stack(m["_vec"]), np.unique(ids, return_inverse=True)[1]
+            best, reach = Best(len(q), size), q["_reach"].to_numpy()
+            tile = m.groupby(["_cell", "_sub"]).indices
+            visits = np.zeros((len(q), n), bool)
+            for s in chunks(len(q), BATCH):
+                rows, cells = reached(q.iloc[s])
+                visits[rows + s.start, cells] = True
+            for (c, sub), at in tile.items():
+                go_ = visits[:, c] & ~((q["_cell"].to_numpy() == c) & (q["_sub"].to_numpy() == sub))    # its own tile is done
+                rows = np.flatnonzero(go_)
+                if len(rows):
+                    found, _ = search(x[rows], y[at], place[at], place[at], size, metric, False, BATCH * 4, both=False,
+                                      reach=np.minimum(reach, best.dist[:, -1])[rows])
+                    r, p = np.nonzero(found.at >= 0)
+                    best.add(rows[r], at[found.at[r, p]], found.dist[r, p], found.place[r, p])
+            t = best.table(q["_id"].to_numpy(), ids)
+            return pd.DataFrame({"_id": t["id"], "_nbr": t["nbr"], "_dist": t["dist"]})
+
+        parts = max(1, sum(c for _, c in chunked))
+        return ask.unionByName(hold).repartition(parts, "_to", "_chunk").groupBy("_to", "_chunk").applyInPandas(
             block, f"_id {kind}, _nbr {kind}, _dist double")
 
 
+def _counted(reached, member: np.ndarray):
+    """How many rows of a partition visit each group."""
+    def count(frames):
+        total = np.zeros(member.shape[1], dtype="int64")
+        for whole in frames:
+            for s in chunks(len(whole), BATCH):
+                rows, cells = reached(whole.iloc[s])
+                mask = np.zeros((min(s.stop, len(whole)) - s.start, len(member)), np.float32)
+                mask[rows, cells] = 1.0
+                total += (mask @ member > 0).sum(axis=0)
+        hit = np.flatnonzero(total)
+        yield pd.DataFrame({"_to": hit.astype("int32"), "n": total[hit]})
+
+    return count
+
+
 def knn_pruned(df: DataFrame, id_col: str, features, k: int = 5, metric: str = "euclidean",
                tile_rows: int = DEFAULT_TILE_ROWS, max_pivots: int = 1024, probes: int | None = None) -> DataFrame:
     """(id, nbr, dist, rank), the k nearest other rows of every row, ties to the smaller id.
