@@ -108,3 +108,20 @@ def test_dbscan_of_crowded_vectors(spark):
     want = [roots.index(comp[i]) if core[i] else min((roots.index(c) for c in comp[near[i] & core]), default=-1) for i in range(len(x))]
     got = {r["id"]: r["Cluster"] for r in dbscan(frame(spark, x), "v", "id", 0.5, 4, tile_rows=6).collect()}
     assert [got[i] for i in range(len(x))] == want
+
+
+def test_edges_out_of_components_over_groups_of_tiles(spark):
+    """The nearest row outside of every open component, ties to the smaller ids, copies included."""
+    from tessera.operators.linkage import _outward
+    x = np.round(cloud(150, 5), 1)
+    comp = np.random.default_rng(5).integers(0, 6, 150)
+    df = spark.createDataFrame([(i, x[i].tolist(), int(comp[i]), bool(comp[i] != 2)) for i in range(150)],
+                               "_id long, _vec array<double>, comp long, open boolean")
+    got = P.apply_tiles(df, "_id", _outward("euclidean", 4), "c1 long, dist double, a long, b long, c2 long", 4, whole=True).toPandas()
+    got = got.sort_values(["dist", "a", "b"]).groupby("c1").first()
+    d = P.apart(x, x, *[q.ravel() for q in np.indices((150, 150))]).reshape(150, 150)
+    for c in (0, 1, 3, 4, 5):
+        dist, a, b, _ = min((d[i, j], min(i, j), max(i, j), j) for i in np.flatnonzero(comp == c) for j in np.flatnonzero(comp != c))
+        assert (got.loc[c, "dist"], got.loc[c, "a"], got.loc[c, "b"]) == (dist, a, b)
+        assert {got.loc[c, "c2"], c} == {comp[a], comp[b]}
+    assert 2 not in got.index
