@@ -82,22 +82,22 @@ def spearman(df: DataFrame, features: list[str], target: str) -> DataFrame:
     """R2: Pearson correlation of average ranks, pairwise-complete per
     feature. Rows collapse to distinct (feature, x, y) with counts; ranks of
     x and of y are computed within each feature's complete pairs."""
-    items = F.array(*[F.struct(F.lit(f).alias("feature"), _number(f).alias("x")) for f in features])
+    # the feature as a number: a short key; counted once, as five branches read the counts
+    items = F.array(*[F.struct(F.lit(i).alias("f"), _number(f).alias("x")) for i, f in enumerate(features)])
     longf = df.select(_number(target).alias("y"), F.inline(items)) \
         .where(F.col("x").isNotNull() & F.col("y").isNotNull())
-    pairs = longf.groupBy("feature", "x", "y").agg(F.count(F.lit(1)).alias("n"))
-    rx = average_rank(pairs.groupBy("feature", "x").agg(F.sum("n").alias("n")), ["feature"], "x", "n", "rx")
-    ry = average_rank(pairs.groupBy("feature", "y").agg(F.sum("n").alias("n")), ["feature"], "y", "n", "ry")
-    j = pairs.join(rx.select("feature", "x", "rx"), ["feature", "x"]) \
-        .join(ry.select("feature", "y", "ry"), ["feature", "y"])
+    pairs = cut_lineage(longf.groupBy("f", "x", "y").agg(F.count(F.lit(1)).alias("n")))
+    rx, ry = (average_rank(cut_lineage(pairs.groupBy("f", v).agg(F.sum("n").alias("n"))), ["f"], v, "n", f"r{v}") for v in "xy")
+    j = pairs.join(rx.select("f", "x", "rx"), ["f", "x"]).join(ry.select("f", "y", "ry"), ["f", "y"])
     n, a, b = F.col("n").cast("double"), F.col("rx"), F.col("ry")
-    s = j.groupBy("feature").agg(F.sum(n).alias("N"), F.sum(n * a).alias("sa"), F.sum(n * b).alias("sb"),
-                                 F.sum(n * a * a).alias("saa"), F.sum(n * b * b).alias("sbb"),
-                                 F.sum(n * a * b).alias("sab"))
+    s = j.groupBy("f").agg(F.sum(n).alias("N"), F.sum(n * a).alias("sa"), F.sum(n * b).alias("sb"),
+                           F.sum(n * a * a).alias("saa"), F.sum(n * b * b).alias("sbb"),
+                           F.sum(n * a * b).alias("sab"))
     cov = F.col("sab") - F.col("sa") * F.col("sb") / F.col("N")
     va = F.col("saa") - F.col("sa") * F.col("sa") / F.col("N")
     vb = F.col("sbb") - F.col("sb") * F.col("sb") / F.col("N")
-    return s.select("feature", F.lit(target).alias("target"),
+    names = F.array(*[F.lit(f) for f in features])
+    return s.select(F.get(names, F.col("f")).alias("feature"), F.lit(target).alias("target"),
                     (cov / F.sqrt(va * vb)).alias("corr"))
 
 
