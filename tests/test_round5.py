@@ -24,3 +24,56 @@ def test_spearman_reads_its_rows_once(spark):
     assert seen.value == 400
     full = spark.createDataFrame(rows, "x double, z double, y double").toPandas().dropna().rank()
     assert got == {c: pytest.approx(full[c].corr(full["y"])) for c in ("x", "z")}
+
+
+def dbscan_by_brute_force(x, ids, eps, m):
+    """{id: cluster}: a repeated id counts the neighbours of all its rows, and all its rows are one node."""
+    near = np.sqrt(((x[:, None] - x[None]) ** 2).sum(-1)) <= eps
+    n = {i: near[ids == i].sum() for i in set(ids.tolist())}
+    core = np.array([n[i] >= m for i in ids.tolist()])
+    link = near | (ids[:, None] == ids[None])
+    lab = np.where(core, ids, -1)
+    while True:
+        new = np.array([min(lab[core & link[r]]) if core[r] else -1 for r in range(len(x))])
+        if (new == lab).all():
+            break
+        lab = new
+    names = {c: k for k, c in enumerate(sorted(set(lab[core].tolist())))}
+    out = {}
+    for r, i in enumerate(ids.tolist()):
+        seen = [lab[r]] if core[r] else lab[core & near[r]].tolist()
+        out[i] = min([out.get(i, 1 << 60)] + [names[c] for c in seen])
+    return {i: -1 if c == 1 << 60 else c for i, c in out.items()}
+
+
+@pytest.mark.parametrize("dims,eps,m,seed", [(1, 0.3, 4, 0), (2, 0.35, 5, 1), (2, 1.5, 12, 2), (3, 0.8, 6, 3)])
+def test_dbscan_by_cells(spark, monkeypatch, dims, eps, m, seed):
+    from tessera.operators import cluster as K
+    from tessera.operators import dbscan_cells
+    monkeypatch.setattr(dbscan_cells, "PAIRS", 200)
+    rng = np.random.default_rng(seed)
+    # two crowded places, a line of points exactly one radius apart, scattered ones, copies
+    x = np.concatenate([rng.normal(0, 0.2, (150, dims)), rng.normal(3, 0.6, (80, dims)), rng.uniform(-4, 7, (90, dims)),
+                        np.outer(np.arange(20), np.eye(dims)[0]) * eps + 9, np.full((15, dims), -6.0)])
+    ids = np.arange(len(x)) * 3 + 5
+    ids[-25:-20] = ids[:5]
+    rows = [(int(i), *map(float, v)) for i, v in zip(ids, x)] + [(2, None, *[0.0] * (dims - 1)), (1, float("nan"), *[0.0] * (dims - 1))]
+    cols = [f"x{t}" for t in range(dims)]
+    df = spark.createDataFrame(rows, "id long, " + ", ".join(f"{c} double" for c in cols))
+    got = K.dbscan(df, cols, "id", eps, m, tile_rows=2).collect()
+    assert len(got) == len(rows)
+    assert {r["id"]: r["Cluster"] for r in got} == dbscan_by_brute_force(x, ids, eps, m) | {1: -1, 2: -1}
+
+
+def test_dbscan_compares_no_crowded_cells(spark, monkeypatch):
+    """Points that all lie within the radius need no distance at all."""
+    from tessera.functions import pairs
+    from tessera.operators import cluster as K
+
+    def refuse(*_):
+        raise AssertionError("a block of distances")
+
+    monkeypatch.setattr(K, "within", refuse)
+    monkeypatch.setattr(pairs, "euclidean", refuse)
+    df = spark.range(3000).select("id", (F.rand(1) / 10).alias("x"), (F.rand(2) / 10).alias("y"))
+    assert K.dbscan(df, ["x", "y"], "id", 0.5, 10).groupBy("Cluster").count().collect() == [(0, 3000)]
