@@ -77,3 +77,26 @@ def test_dbscan_compares_no_crowded_cells(spark, monkeypatch):
     monkeypatch.setattr(pairs, "euclidean", refuse)
     df = spark.range(3000).select("id", (F.rand(1) / 10).alias("x"), (F.rand(2) / 10).alias("y"))
     assert K.dbscan(df, ["x", "y"], "id", 0.5, 10).groupBy("Cluster").count().collect() == [(0, 3000)]
+
+
+def test_tune_gmm_computes_distances_once(spark):
+    from tessera.operators import cluster as K
+    from tessera.operators import cluster_quality as Q
+    rng = np.random.default_rng(4)
+    x = np.concatenate([rng.normal(c, 0.3, (40, 2)) for c in (0, 3, 6)])
+    df = spark.createDataFrame([(i, *map(float, v)) for i, v in enumerate(x)], "id long, x double, y double")
+    want = {}
+    for k in (2, 3, 4):
+        labels = K.gmm(df, ["x", "y"], "id", k=k, seed=42)
+        want[k] = Q.silhouette(df.join(labels, "id"), ["x", "y"], "Cluster", "id").first()[0]
+    calls, whole = [], Q.apply_tiles
+    Q.apply_tiles = lambda *a, **kw: calls.append(1) or whole(*a, **kw)
+    try:
+        got = K.tune_gmm(df, ["x", "y"], "id", k_range=range(2, 5))
+    finally:
+        Q.apply_tiles = whole
+    assert len(calls) == 1
+    best = max(want, key=want.get)
+    assert got["n_components"] == best and got["score"] == pytest.approx(want[best], rel=1e-12)
+    one = df.withColumn("a", F.lit(1)).withColumn("b", F.col("id") % 2)
+    assert Q.silhouettes(one, ["x", "y"], ["a", "b"], "id") == [None, pytest.approx(Q.silhouette(one, ["x", "y"], "b", "id").first()[0])]
