@@ -100,3 +100,12 @@ def test_tune_gmm_computes_distances_once(spark):
     assert got["n_components"] == best and got["score"] == pytest.approx(want[best], rel=1e-12)
     one = df.withColumn("a", F.lit(1)).withColumn("b", F.col("id") % 2)
     assert Q.silhouettes(one, ["x", "y"], ["a", "b"], "id") == [None, pytest.approx(Q.silhouette(one, ["x", "y"], "b", "id").first()[0])]
+
+
+def test_nearest_rows_hold_few_distances(spark, monkeypatch):
+    from tessera.functions import blocks
+    rng = np.random.default_rng(5)
+    d = rng.integers(0, 6, (50, 40)).astype(float)
+    for x in (d, rng.random((50, 40)), np.zeros((3, 40)), np.where(d > 4, np.inf, d), d[:, :3]):
+        assert (blocks._least(x, 3) == np.argsort(x, axis=1, kind="stable")[:, :3]).all()
+    assert blocks.AT_ONCE <= 1 << 20
