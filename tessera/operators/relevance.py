@@ -28,6 +28,8 @@ from tessera.functions.quantiles import cumulative_counts, exact_quantiles
 from tessera.functions.ranking import average_rank
 from tessera.session import cut_lineage
 
+TREE_ROWS = 500_000       # rows of one partition that trees are fitted to
+
 
 def _features(df: DataFrame, targets: list[str], features: list[str] | None) -> list[str]:
     if features is not None:
@@ -107,6 +109,13 @@ def _assemble(df: DataFrame, feats: list[str], target: str) -> DataFrame:
     return VectorAssembler(inputCols=feats, outputCol="_x").transform(clean).select("_x", "_y")
 
 
+def _spread(data: DataFrame, rows: int = TREE_ROWS) -> DataFrame:
+    """``data`` in partitions of at most about ``rows`` rows, for methods that keep them in memory and read
+    them in every step: one split of a compressed file holds many more."""
+    parts = math.ceil(data.count() / rows)
+    return data.repartition(parts) if parts > data.rdd.getNumPartitions() else data
+
+
 def _coef_frame(spark, names, coefs, extra=None):
     rows = []
     for i, (n, c) in enumerate(zip(names, coefs)):
@@ -298,7 +307,7 @@ def gradient_boosting(df: DataFrame, target: str, features: list[str] | None = N
     split-gain importances, so compare ranks with other libraries."""
     feats = _features(df, [target], features)
     m = GBTRegressor(featuresCol="_x", labelCol="_y", maxIter=n_trees, maxDepth=max_depth,
-                     stepSize=step, seed=seed).fit(_assemble(df, feats, target))
+                     stepSize=step, seed=seed).fit(_spread(_assemble(df, feats, target)))
     imp = m.featureImportances.toArray()
     return df.sparkSession.createDataFrame([(f, float(v)) for f, v in zip(feats, imp)],
                                            "feature string, importance double").orderBy("importance", "feature")
@@ -309,7 +318,7 @@ def random_forest(df: DataFrame, target: str, features: list[str] | None = None,
     """Random forest importances, descending."""
     feats = _features(df, [target], features)
     m = RandomForestRegressor(featuresCol="_x", labelCol="_y", numTrees=n_trees, maxDepth=max_depth,
-                              seed=seed).fit(_assemble(df, feats, target))
+                              seed=seed).fit(_spread(_assemble(df, feats, target)))
     imp = m.featureImportances.toArray()
     return df.sparkSession.createDataFrame([(f, float(v)) for f, v in zip(feats, imp)],
                                            "feature string, importance double") \
