@@ -109,3 +109,45 @@ def test_nearest_rows_hold_few_distances(spark, monkeypatch):
     for x in (d, rng.random((50, 40)), np.zeros((3, 40)), np.where(d > 4, np.inf, d), d[:, :3]):
         assert (blocks._least(x, 3) == np.argsort(x, axis=1, kind="stable")[:, :3]).all()
     assert blocks.AT_ONCE <= 1 << 20
+
+
+def test_cuts_are_scored_without_shuffling_sums(spark, monkeypatch):
+    """Stripes of few points, points on one place, an id in three rows: the average of the points' silhouettes,
+    and a row a cut and stripe is all that leaves the pass over the pairs."""
+    from tessera.operators import linkage as L
+    rng = np.random.default_rng(4)
+    x = np.concatenate([rng.normal(m, 0.3, (60, 6)) for m in (0, 1.5, 4)] + [np.full((20, 6), 9.0)])
+    ids = np.arange(len(x))
+    ids[[7, 90]] = 3
+    leaf = np.array([int(v[0] * 2) % 12 for v in x])
+    leaf[[7, 90]] = leaf[3]
+    df = spark.createDataFrame([(int(i), [float(c) for c in v]) for i, v in zip(ids, x)], "id long, x array<double>")
+    labels = spark.createDataFrame([(int(i), int(c)) for i, c in zip(ids, leaf)], "id long, Cluster int")
+    merges = [(0, j, float(j)) for j in range(11, 0, -1)]
+    trees = {"ward": L.MergeTree(labels, "id", 12, merges)}
+    stripes = L._stripe_scores
+    made = []
+
+    def few(*args):
+        out = stripes(*args, stripe_rows=50, tile_rows=16)
+        made.append(out.count())
+        return out
+
+    monkeypatch.setattr(L, "_stripe_scores", few)
+    got = L.cut_scores(df, "x", trees, [1, 2, 3, 5])
+    assert got[("ward", 1)] is None and max(made) <= 3 * 8
+    rows = [(i, v, c) for i, v in zip(ids, x) for j, c in zip(ids, leaf) if i == j]                 # the join by id
+    i, v, c = np.array([r[0] for r in rows]), np.array([r[1] for r in rows]), np.array([r[2] for r in rows])
+    d = np.sqrt(((v[:, None] - v[None]) ** 2).sum(-1))
+    for k in (2, 3, 5):
+        g = np.array(trees["ward"].groups(k))
+        one = np.eye(k)[g[c]]
+        s, n = d @ one, one.sum(0) - one
+        s, n = (np.stack([y[i == a].sum(0) for a in i]) for y in (s, n))
+        mean = s / np.where(n, n, np.nan)
+        each = []
+        for a, own in zip(ids, g[leaf]):
+            m = mean[np.flatnonzero(i == a)[0]].copy()
+            mine, m[own] = m[own], np.nan
+            each.append(0.0 if np.isnan(mine) else (np.nanmin(m) - mine) / max(mine, np.nanmin(m)))
+        assert got[("ward", k)] == pytest.approx(np.mean(each), abs=1e-9), k
