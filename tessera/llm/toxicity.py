@@ -42,7 +42,8 @@ CHARS, CHAR_DIM, CHAR_H = 512, 10, 10
 WORD_DIM, WORD_H = 10, 12
 OWN_WORD = 10                       # texts of the sample that must hold a word for it to get its own embedding
 LETTERS = 16
-WINDOWS_AT_ONCE = 4096
+WINDOWS_AT_ONCE = 1024              # windows read together: their inputs stay near the processor
+WINDOWS_HELD = 32768                # windows of whole texts gathered before they are read
 WORD_CACHE = 150_000
 _words = re.compile(r"[^\W\d_]{1,%d}" % LETTERS).findall
 
@@ -356,7 +357,7 @@ def score(docs: DataFrame, model: dict | None, text_col: str = "text") -> DataFr
             while begin < len(whole) or begin == 0 and not len(whole):
                 ids, starts, count, fresh = [], [], [], []
                 end = begin
-                while end < len(whole) and len(starts) < 8 * WINDOWS_AT_ONCE:
+                while end < len(whole) and len(starts) < WINDOWS_HELD:
                     words = tokens(whole.column(len(keep))[end].as_py())
                     for w in set(words).difference(known):
                         known[w] = len(known)
