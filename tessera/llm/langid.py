@@ -36,6 +36,8 @@ LONGEST_GRAM = 4
 TRAIN_ROWS = 500               # of each language
 SWITCH = 12.0                  # log-probability that a change of language has to gain
 WORDS_AT_ONCE = 1_000_000      # words labelled together by one worker
+TEXTS_AT_ONCE = 512            # texts of a batch that are Python strings together
+NEW_AT_ONCE = 1 << 14          # new words cut into n-grams together
 WORD_CACHE = 200_000           # distinct words remembered by one worker before the cache starts anew
 
 SPANS = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("lang", pa.string())]))
@@ -171,9 +173,11 @@ def identify(docs: DataFrame, model: dict, text_col: str = "text", switch: float
         def scored(new: list[str]) -> np.ndarray:
             """Scores of words, the best allowed language at 0."""
             out = np.zeros((len(new), len(labels)))
-            for bucket, word in _grams(new):
-                for j in range(len(labels)):
-                    out[:, j] += np.bincount(word, log[bucket, j], len(new))
+            for s in range(0, len(new), NEW_AT_ONCE):
+                part = new[s:s + NEW_AT_ONCE]
+                for bucket, word in _grams(part):
+                    for j in range(len(labels)):
+                        out[s:s + len(part), j] += np.bincount(word, log[bucket, j], len(part))
             may = allowed[np.fromiter(map(script, new), np.int64, len(new))]
             out = np.where(may, out, -np.inf)
             out = np.maximum(out - out.max(1, keepdims=True), -1e3)
@@ -181,7 +185,7 @@ def identify(docs: DataFrame, model: dict, text_col: str = "text", switch: float
 
         for f in batches:
             rows, fresh, size, begin = [], [], 0, 0
-            texts = f.column(text_at).to_pylist()
+            texts = (text for s in range(0, f.num_rows, TEXTS_AT_ONCE) for text in f.column(text_at).slice(s, TEXTS_AT_ONCE).to_pylist())
             for i, text in enumerate(texts):
                 words = _WORDS(text) if text and labels else []
                 for w in set(words).difference(known):
@@ -190,7 +194,7 @@ def identify(docs: DataFrame, model: dict, text_col: str = "text", switch: float
                 rows.append((np.fromiter(map(known.__getitem__, words), np.int32, len(words)),
                              np.fromiter(map(len, words), np.int32, len(words))))
                 size += len(words)
-                if size >= WORDS_AT_ONCE or i + 1 == len(texts):
+                if size >= WORDS_AT_ONCE or i + 1 == f.num_rows:
                     n = np.array([len(x) for x, _ in rows])
                     flat = np.concatenate([x for x, _ in rows])
                     if fresh:
