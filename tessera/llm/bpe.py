@@ -36,8 +36,9 @@ from tessera.llm.common import release_memory, without
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
 KNOWN_PAIRS = 300_000    # tested token pairs remembered by one worker
-PIECE_CACHE = 150_000      # distinct pieces remembered by one worker before the cache starts anew
+PIECE_CACHE = 300_000      # distinct pieces remembered before a new cache starts; the one before it is still asked
 CACHED_PIECE = 64          # longer pieces are not remembered
+ROWS_AT_ONCE = 256         # texts whose ids and decoded texts one worker holds
 
 
 def byte_alphabet() -> dict[str, int]:
@@ -102,6 +103,7 @@ class BytePairModel:
         self.cut = regex.compile("(" + "|".join(map(regex.escape, sorted(self.added, key=len, reverse=True))) + ")") \
             if self.added else None
         self.cache: dict[str, tuple[int, ...]] = {}
+        self._before: dict[str, tuple[int, ...]] = {}
 
     def _border_merges(self, a: int, b: int, before: float = float("inf")) -> bool:
         """Whether a merge across the border of a and b happens at a rank
@@ -155,6 +157,15 @@ class BytePairModel:
         ids.reverse()
         return tuple(ids)
 
+    def _remembered(self, piece: str) -> tuple[int, ...]:
+        """The ids of a piece that isn't in the cache."""
+        got = self._before.get(piece) or self.encode_piece(piece)
+        if len(piece) <= CACHED_PIECE:
+            if len(self.cache) >= PIECE_CACHE:
+                self._before, self.cache = self.cache, {}
+            self.cache[piece] = got
+        return got
+
     def encode(self, text: str) -> list[int]:
         ids: list[int] = []
         parts = self.cut.split(text) if self.cut and any(t in text for t in self.added) else [text]
@@ -166,11 +177,8 @@ class BytePairModel:
             for piece in self.split(part):
                 got = cache.get(piece)
                 if got is None:
-                    got = self.encode_piece(piece)
-                    if len(piece) <= CACHED_PIECE:
-                        if len(cache) >= PIECE_CACHE:
-                            cache.clear()
-                        cache[piece] = got
+                    got = self._remembered(piece)
+                    cache = self.cache
                 ids += got
         return ids
 
@@ -183,8 +191,9 @@ def _read(path: str) -> str:
         return f.read()
 
 
-def encode(df: DataFrame, path: str, text_col: str = "text", out: str = "ids", decoded: str | None = None) -> DataFrame:
-    """``df`` with the token ids (array<int>) of a text column and, if
+def encode(df: DataFrame, path: str, text_col: str = "text", out: str = "ids", decoded: str | None = None,
+           keep_text: bool = True) -> DataFrame:
+    """``df`` (without its text, unless kept) with the token ids (array<int>) of a text column and, if
     ``decoded`` names a column, the text that the ids decode to.
 
     The driver reads the tokenizer file (its size is that of a vocabulary, not
@@ -193,21 +202,23 @@ def encode(df: DataFrame, path: str, text_col: str = "text", out: str = "ids", d
     df = without(df, out, *([decoded] if decoded else []))
     spec = df.sparkSession.sparkContext.broadcast(_read(path))
     at = df.columns.index(text_col)
-    fields = [*df.schema.fields, T.StructField(out, T.ArrayType(T.IntegerType(), False), False)]
+    keep = [j for j in range(len(df.columns)) if keep_text or j != at]
+    fields = [*[df.schema.fields[j] for j in keep], T.StructField(out, T.ArrayType(T.IntegerType(), False), False)]
     if decoded:
         fields.append(T.StructField(decoded, T.StringType(), False))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = BytePairModel(spec.value)                  # a third of a second a task; gone with it
         for batch in batches:
-            ids = [np.asarray(model.encode(t or ""), dtype=np.int32) for t in batch.column(at).to_pylist()]
-            offsets = np.zeros(len(ids) + 1, np.int32)
-            np.cumsum([len(x) for x in ids], out=offsets[1:])
-            arrays = [*batch.columns, pa.ListArray.from_arrays(
-                pa.array(offsets), pa.array(np.concatenate(ids) if ids else np.zeros(0, np.int32)))]
-            if decoded:
-                arrays.append(pa.array([model.decode(x.tolist()) for x in ids], pa.string()))
-            yield pa.RecordBatch.from_arrays(arrays, names=[f.name for f in fields])
+            for start in range(0, batch.num_rows, ROWS_AT_ONCE):
+                rows = batch.slice(start, ROWS_AT_ONCE)
+                ids = [np.asarray(model.encode(t or ""), dtype=np.int32) for t in rows.column(at).to_pylist()]
+                offsets = np.zeros(len(ids) + 1, np.int32)
+                np.cumsum([len(x) for x in ids], out=offsets[1:])
+                arrays = [*[rows.column(j) for j in keep], pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(ids)))]
+                if decoded:
+                    arrays.append(pa.array([model.decode(x.tolist()) for x in ids], pa.string()))
+                yield pa.RecordBatch.from_arrays(arrays, names=[f.name for f in fields])
         del model
         release_memory()
 
@@ -233,7 +244,7 @@ def decode(df: DataFrame, path: str, ids_col: str = "ids", out: str = "decoded")
 
 def digests(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, n_tokens, ids_sha256, decoded_sha256): the round trip of every whole text."""
-    got = encode(df.select(id_col, text_col), path, text_col, "_ids", "_decoded")
+    got = encode(df.select(id_col, text_col), path, text_col, "_ids", "_decoded", keep_text=False)
     return got.select(id_col, F.size("_ids").cast("long").alias("n_tokens"),
                       F.sha2(F.concat_ws(",", F.col("_ids").cast("array<string>")).cast("binary"), 256).alias("ids_sha256"),
                       F.sha2(F.col("_decoded").cast("binary"), 256).alias("decoded_sha256"))
