@@ -102,3 +102,57 @@ def test_a_shuffle_puts_one_block_in_a_partition(spark):
         keys = blockgraph.block_keys(spark, n)
         at = spark.createDataFrame([(k,) for k in keys], "key int").select(F.pmod(F.hash("key"), F.lit(n)).alias("p")).collect()
         assert sorted(r["p"] for r in at) == list(range(n))
+
+
+def _by_definition(x, eps, m):
+    """DBSCAN labels: clusters by smallest core, a border point in the smallest adjacent one, -1 for noise."""
+    near = np.sqrt(((x[:, None] - x[None]) ** 2).sum(-1)) <= eps
+    core = near.sum(1) >= m
+    lab = np.where(core, np.arange(len(x)), len(x))
+    while True:
+        new = np.array([lab[core & near[i]].min() if core[i] else len(x) for i in range(len(x))])
+        if (new == lab).all():
+            break
+        lab = new
+    name = {c: k for k, c in enumerate(sorted(set(lab[core].tolist())))} | {len(x): -1}
+    return np.array([name[int(lab[core & near[i]].min(initial=len(x)))] for i in range(len(x))])
+
+
+def _silhouette(x, lab):
+    if len(set(lab.tolist())) < 2:
+        return None
+    d = np.sqrt(((x[:, None] - x[None]) ** 2).sum(-1))
+    out = []
+    for i in range(len(x)):
+        own = lab == lab[i]
+        if own.sum() == 1:
+            out.append(0.0)
+            continue
+        a, b = d[i][own].sum() / (own.sum() - 1), min(d[i][lab == c].mean() for c in set(lab.tolist()) - {lab[i]})
+        out.append((b - a) / max(a, b))
+    return float(np.mean(out))
+
+
+@pytest.mark.parametrize("dims,radii", [(2, [0.1, 0.4, 60.0]), (3, [0.8])])
+def test_dbscan_grid_in_cells(spark, dims, radii):
+    from tessera.operators.dbscan_grid import Grid
+    rng = np.random.default_rng(dims + 5)
+    x = np.concatenate([rng.normal(size=(70, dims)) * 0.3 + c for c in (0, 5)] + [rng.uniform(-4, 9, (25, dims)), np.full((12, dims), 2.5)])
+    cols = ["a", "b", "c"][:dims]
+    df = spark.createDataFrame([(i * 2, *map(float, v)) for i, v in enumerate(x)], "id long, " + ", ".join(f"{c} double" for c in cols))
+    counts = [2, 4, 10, 60]
+    grid = Grid(df, cols, "id", radii, counts, tile_rows=20)
+    assert grid.in_cells
+    for eps in radii:
+        sets = grid.core_sets(eps)
+        asked = sorted(set(sets.values()))
+        got = {(r["id"], r["m"]): r["Cluster"] for r in grid.labels(eps, asked).collect()} if asked else {}
+        scores = grid.scores(eps, asked) if asked else {}
+        for m in counts:
+            want = _by_definition(x, eps, m)
+            if m not in sets:
+                assert set(want.tolist()) == {-1}
+                continue
+            assert [got[i * 2, sets[m]] for i in range(len(x))] == want.tolist()
+            s = _silhouette(x, want)
+            assert scores[sets[m]] == (None if s is None else pytest.approx(s, abs=1e-9))
