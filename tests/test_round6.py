@@ -156,3 +156,18 @@ def test_dbscan_grid_in_cells(spark, dims, radii):
             assert [got[i * 2, sets[m]] for i in range(len(x))] == want.tolist()
             s = _silhouette(x, want)
             assert scores[sets[m]] == (None if s is None else pytest.approx(s, abs=1e-9))
+
+
+def test_tune_dbscan_searches_the_whole_grid(spark):
+    from tessera.operators.cluster import tune_dbscan
+    rng = np.random.default_rng(3)
+    x = np.concatenate([rng.normal(size=(30, 2)) * 0.05, rng.normal(size=(30, 2)) * 0.05 + 6, rng.normal(size=(30, 2)) * 0.05 + [0, 6],
+                        [[3.0, 3.0], [20.0, 20.0]]])
+    df = spark.createDataFrame([(i, *map(float, v)) for i, v in enumerate(x)], "id long, a double, b double")
+    radii, counts = [0.04, 1.0, 40.0], [2, 3, 4, 5, 6, 7]
+    scored = {(e, m): _silhouette(x, lab) for e in radii for m in counts for lab in [_by_definition(x, e, m)] if (lab >= 0).any()}
+    best = max((s for s in scored.values() if s is not None))
+    found = tune_dbscan(df, ["a", "b"], "id", eps_values=radii, min_samples_values=counts)
+    assert found["score"] == pytest.approx(best) and found["eps"] == 1.0
+    early = tune_dbscan(df, ["a", "b"], "id", eps_values=radii, min_samples_values=counts, patience=2)
+    assert early["score"] < best
